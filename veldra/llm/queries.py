@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import bpe, decontam, embeddings, html, langid, lines, quality, simhash, urls
+from veldra.llm import bpe, decontam, embeddings, html, langid, lines, pii, quality, simhash, urls
 from veldra.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_language, op6_url_filter, op8_bpe, op9_html_text, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_language, op6_url_filter, op7_pii, op8_bpe, op9_html_text, op10_decontamination)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
