@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldra.llm.common import materialize
+
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
-#: Distinct strings between white space that a worker remembers before it forgets all of them.
-REMEMBERED = 250_000
+#: Distinct strings that a worker remembers before it forgets those that it hasn't met since as many others.
+REMEMBERED = 150_000
 
 #: The tokenizer of this worker's present job, for its next tasks.
 _LIVE: dict[str, "Tokenizer"] = {}
@@ -46,6 +48,11 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+#: Bits that hold an id; a number that is greater than any rank.
+_BITS = 24
+#: Longer strings are neither counted nor remembered.
+_LONG = 64
+_MASK, _NEVER = (1 << _BITS) - 1, 1 << 60
 _BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -146,16 +153,19 @@ class Tokenizer:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left id, right id in one number -> rank, merged id in one number
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a] << _BITS | self.vocab[b]] = rank << _BITS | self.vocab[a + b]
         chars = byte_chars()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.end) for c in chars]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lexicon = lexicon
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def read(path: str) -> dict:
@@ -172,7 +182,10 @@ class Tokenizer:
     @staticmethod
     def chunks(text: str) -> list[str]:
         """Strings between white space of a normal text."""
-        return [x for x in _SPACES.split(text) if x]
+        # Python's own split also takes the four separators 1C to 1F for space
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [x for x in _SPACES.split(text) if x]
+        return text.split()
 
     @staticmethod
     def pieces(chunk: str) -> list[str]:
@@ -180,67 +193,92 @@ class Tokenizer:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair of the lowest rank, the leftmost of these, is merged until none is left."""
-        inner, pairs = self.inner, self.merges
-        ids: list[int | None] = [inner[b] for b in word]
+        inner, get = self.inner, self.merges.get
+        ids: list = [inner[b] for b in word]
         ids[-1] = self.last[word[-1]]
-        n = len(ids)
-        if n <= 24:
-            return self._merge_short(ids)
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        # of each neighbouring pair its rank and merged id
+        pairs = [get(a << _BITS | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == _NEVER:
+                break
+            k = pairs.index(best)
+            ids[k] = new = best & _MASK
+            del ids[k + 1], pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(new << _BITS | ids[k + 1], _NEVER)
+            if k:
+                pairs[k - 1] = get(ids[k - 1] << _BITS | new, _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list) -> list[int]:
+        """The same in n log n steps."""
+        n, pairs = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], k, p) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in pairs]
+        heap = [(pairs[p], k, p) for k, p in enumerate(a << _BITS | b for a, b in zip(ids, ids[1:], strict=False)) if p in pairs]
         heapq.heapify(heap)
         while heap:
-            _, k, pair = heapq.heappop(heap)
+            value, k, pair = heapq.heappop(heap)
             j = after[k]
-            if ids[k] != pair[0] or j >= n or ids[j] != pair[1]:
+            if ids[k] is None or j >= n or ids[k] << _BITS | ids[j] != pair:
                 continue
-            ids[k], ids[j] = pairs[pair][1], None
+            ids[k], ids[j] = value & _MASK, None
             after[k] = nxt = after[j]
             if nxt < n:
                 before[nxt] = k
-                if (p := (ids[k], ids[nxt])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], k, p))
-            if (prev := before[k]) >= 0 and (p := (ids[prev], ids[k])) in pairs:
-                heapq.heappush(heap, (pairs[p][0], prev, p))
+                if (p := ids[k] << _BITS | ids[nxt]) in pairs:
+                    heapq.heappush(heap, (pairs[p], k, p))
+            if (prev := before[k]) >= 0 and (p := ids[prev] << _BITS | ids[k]) in pairs:
+                heapq.heappush(heap, (pairs[p], prev, p))
         return [i for i in ids if i is not None]
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        while len(ids) > 1:
-            found = [x for x in map(get, zip(ids, ids[1:], strict=False)) if x]
-            if not found:
-                break
-            best = min(found)
-            k = 0
-            while get((ids[k], ids[k + 1])) != best:
-                k += 1
-            ids[k : k + 2] = [best[1]]
-        return ids
-
-    def piece_ids(self, piece: str) -> list[int]:
-        word = piece.encode("utf-8", "replace")
-        found = self.lexicon.find(word) if self.lexicon and len(word) < 64 else None
-        return self.merge(word) if found is None else found
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        got = self.parts.get(piece)
+        if got is None:
+            word = piece.encode("utf-8", "replace")
+            found = self.lexicon.find(word) if self.lexicon and len(word) <= _LONG else None
+            got = tuple(self.merge(word) if found is None else found)
+            if len(piece) <= _LONG:
+                if len(self.parts) >= REMEMBERED:
+                    self.parts = {}
+                self.parts[piece] = got
+        return got
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        got = self.known.get(chunk)
+        """Ids of a string without white space that isn't among those met lately."""
+        got = self.before.get(chunk)
         if got is None:
-            got = tuple(chain.from_iterable(map(self.piece_ids, self.pieces(chunk))))
-            if len(chunk) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[chunk] = got
+            pieces = self.pieces(chunk)
+            got = self.piece_ids(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.piece_ids, pieces)))
+        if len(chunk) <= _LONG:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.before = {}, self.known
+            self.known[chunk] = got
         return got
 
+    def text_ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        other = self.chunk_ids
+        get = self.known.get
+        for chunk in self.chunks(self.normal(text)):
+            got = get(chunk)
+            if got is None:
+                got = other(chunk)
+                get = self.known.get
+            out += got
+        return out
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if self.cut and "<" in text:
             out: list[int] = []
             for k, part in enumerate(self.cut.split(text)):
-                out += [self.special[part]] if k % 2 else chain.from_iterable(map(self.chunk_ids, self.chunks(self.normal(part))))
+                out += [self.special[part]] if k % 2 else self.text_ids(part)
             return out
-        return list(chain.from_iterable(map(self.chunk_ids, self.chunks(self.normal(text)))))
+        return self.text_ids(text)
 
     def decode(self, ids) -> str:
         """Tokens with a space between them, as a tokenizer without a decoder gives them; unknown ids give nothing."""
@@ -251,7 +289,7 @@ class Tokenizer:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of all texts; of equally frequent ones the first in order."""
+    """The most frequent pieces of all texts, twice there at least; of equally frequent ones the first in order."""
 
     def counted(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -261,21 +299,34 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
         def flushed():
             words: Counter = Counter()
             for chunk, n in strings.items():
-                for w in Tokenizer.pieces(chunk):
-                    words[w] += n
+                if len(chunk) <= _LONG:
+                    for w in Tokenizer.pieces(chunk):
+                        words[w] += n
             strings.clear()
             return pd.DataFrame({"word": list(words.keys()), "n": list(words.values())})
 
         for batch in batches:
             for text in batch["t"]:
                 if text:
-                    strings.update(x for x in Tokenizer.chunks(Tokenizer.normal(text)) if len(x) <= 64)
-                if len(strings) > REMEMBERED:
+                    strings.update(Tokenizer.chunks(Tokenizer.normal(text)))
+                if len(strings) > 3 * REMEMBERED:
                     yield flushed()
         yield flushed()
 
     counts = docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # the least count that few enough words reach is found from the number of words of each count, so that no more
+    # than ``most`` words leave the executors
+    counts = materialize(counts.where("n > 1"))
+    room, least = most, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        least, room = r["n"], room - r["words"]
+        if room <= 0:
+            break
+    if least is None:
+        return []
+    sure = [r["word"] for r in counts.where(F.col("n") > least).collect()]
+    edge = counts.where(F.col("n") == least).orderBy("word").limit(most - len(sure)).collect()
+    return sure + [r["word"] for r in edge]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS, keep: list[str] | None = None) -> DataFrame:
