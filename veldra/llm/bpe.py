@@ -29,7 +29,9 @@ from veldra.llm.common import materialize
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
 #: Distinct strings that a worker remembers before it forgets those that it hasn't met since as many others.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Distinct strings that are counted before the counts are passed on.
+COUNTED = 450_000
 
 #: The tokenizer of this worker's present job, for its next tasks.
 _LIVE: dict[str, "Tokenizer"] = {}
@@ -53,6 +55,7 @@ _BITS = 24
 #: Longer strings are neither counted nor remembered.
 _LONG = 64
 _MASK, _NEVER = (1 << _BITS) - 1, 1 << 60
+_HEAD = 3
 _BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -72,6 +75,8 @@ class Automaton:
         self.final, at = take(states, at)
         self.start, at = take(words + 1, at)
         self.ids, at = take(ids, at)
+        #: where words with some first bytes have come to
+        self.heads: dict[bytes, tuple[int, int]] = {}
 
     @staticmethod
     def build(words: dict[bytes, list[int]]) -> bytes:
@@ -123,17 +128,27 @@ class Automaton:
         return head + bytes(labels) + bytes(-len(labels) % 4) + b"".join(np.asarray(p, "<i4").tobytes() for p in parts)
 
     def find(self, word: bytes) -> list[int] | None:
-        state, rank, first, at, find = len(self.final) - 1, 0, self.first, self.label_at, self.blob.find
-        number, target = self.number, self.target
+        head = word[:_HEAD]
+        at = self.heads.get(head)
+        if at is None:
+            if len(self.heads) >= 100_000:
+                self.heads.clear()
+            at = self.heads[head] = self._walk(head, len(self.final) - 1, 0)
+        state, rank = self._walk(word[_HEAD:], *at) if at[0] >= 0 and len(word) > _HEAD else at
+        if state < 0 or not self.final[state]:
+            return None
+        return self.ids[self.start[rank] : self.start[rank + 1]].tolist()
+
+    def _walk(self, word: bytes, state: int, rank: int) -> tuple[int, int]:
+        """State and rank after some bytes; state -1 if no word goes on so."""
+        first, at, find, number, target = self.first, self.label_at, self.blob.find, self.number, self.target
         for b in word:
             k = find(_BYTES[b], at + first[state], at + first[state + 1]) - at
             if k < 0:
-                return None
+                return -1, 0
             rank += number[k]
             state = target[k]
-        if not self.final[state]:
-            return None
-        return self.ids[self.start[rank] : self.start[rank + 1]].tolist()
+        return state, rank
 
 
 def mapped(blob: bytes) -> mmap.mmap:
@@ -309,7 +324,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
             for text in batch["t"]:
                 if text:
                     strings.update(Tokenizer.chunks(Tokenizer.normal(text)))
-                if len(strings) > 3 * REMEMBERED:
+                if len(strings) > COUNTED:
                     yield flushed()
         yield flushed()
 
