@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize
+from veldra.llm.common import materialize, small_batches
 
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
 #: Distinct strings that a worker remembers before it forgets those that it hasn't met since as many others.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Distinct strings that are counted before the counts are passed on.
-COUNTED = 450_000
+COUNTED = 250_000
 
 #: The tokenizer of this worker's present job, for its next tasks.
 _LIVE: dict[str, "Tokenizer"] = {}
@@ -318,7 +318,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
                     for w in Tokenizer.pieces(chunk):
                         words[w] += n
             strings.clear()
-            return pd.DataFrame({"word": list(words.keys()), "n": list(words.values())})
+            return pd.DataFrame({"word": pd.Series(list(words.keys()), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
 
         for batch in batches:
             for text in batch["t"]:
@@ -326,7 +326,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
                     strings.update(Tokenizer.chunks(Tokenizer.normal(text)))
                 if len(strings) > COUNTED:
                     yield flushed()
-        yield flushed()
+        if strings:
+            yield flushed()
 
     counts = docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # the least count that few enough words reach is found from the number of words of each count, so that no more
@@ -356,6 +357,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+    small_batches(docs.sparkSession)
     spec = Tokenizer.read(tokenizer_path)
     spec = {"added_tokens": spec["added_tokens"], "model": {k: spec["model"][k] for k in ("vocab", "merges", "end_of_word_suffix")}}
     words, plain = {}, Tokenizer(spec)
@@ -375,15 +377,13 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon
             text, blob = sent.value
             _LIVE.clear()
             own = _LIVE[job] = Tokenizer(json.loads(text), Automaton(mapped(blob)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [own.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                columns = [*batch.columns[:-1], lists, pa.array([own.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        for batch in batches:
+            ids = [own.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            columns = [*batch.columns[:-1], lists, pa.array([own.decode(x) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(encoded, schema)
 

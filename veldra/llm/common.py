@@ -21,6 +21,17 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows that Python workers get at once: texts may be long, and a batch is held by Spark and by the worker.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches between Spark and its Python workers small, for plans made from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: ``spark.checkpoint.dir`` where it is set.
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize
+from veldra.llm.common import materialize, small_batches
 
 WORDS = 10
 #: Test strings that one pass looks for at most; more are looked for in further passes over all rows.
@@ -139,6 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     passes of bounded size; each pass broadcasts its strings and the tables are rebuilt by every task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("_leak").withColumn("_leak", F.lit(None).cast("struct<n_words:bigint,hits:array<int>,items:array<string>>"))
     passes = _passes(benchmark, item_col, item_text, size)
     now = next(passes, [])

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldra.llm.common import small_batches
+
 #: Elements without content.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
@@ -234,5 +236,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def extracted(html: pd.Series) -> pd.Series:
         return html.map(extract)
 
+    small_batches(pages.sparkSession)
     text = F.pandas_udf(extracted, "string")(F.col(html_col))
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import fold
+from veldra.llm.common import fold, small_batches
 
 #: Longest context in bytes.
 ORDER = 4
@@ -184,7 +184,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 found: Counter = Counter()
                 for t in texts:
                     found.update(w for w in words(t) if len(w) <= _LONG)
-                yield pd.DataFrame({"lang": lang, "word": list(found.keys()), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": lang, "word": list(found.keys()), "n": list(found.values())})
 
     out: dict[str, Counter] = {}
     counts = sample.select("lang", "t").mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -216,6 +217,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     repeated rows get the same, an empty table gives no rows, a null id is in the fold of the empty text, and texts of
     any length are read whole.
     """
+    small_batches(docs.sparkSession)
     got = predict(docs, fit(docs, id_col, text_col, lang_col), F.col(text_col))
     out = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), got.alias("_p"))
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize
+from veldra.llm.common import materialize, small_batches
 
 #: Kinds in their order; what the bootstrap adds is of the last.
 KINDS = ["email", "ip", "card", "phone", "id"]
@@ -156,6 +156,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append((base, mentions(t or "", base)))
             yield pd.DataFrame(rows, columns=["base", "seen"])
 
+    small_batches(docs.sparkSession)
     kind = "base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,instance:long,seed:boolean,patterns:array<string>>>"
     found = F.pandas_udf(marked, kind)(F.col(text_col))
     table = materialize(docs.select(F.col(id_col).alias("doc_id"), found.alias("f")).select("doc_id", "f.base", "f.seen").withColumn("row", F.monotonically_increasing_id()))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import fold
+from veldra.llm.common import fold, small_batches
 
 #: Labelled documents of each label that the field is fitted on (in expectation), and consecutive lines of each.
 FIT_DOCUMENTS, FIT_LINES = 3000, 48
@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["_y"], "x": [document_features("\n".join((t or "").split("\n", FIT_LINES)[:FIT_LINES]))[0].tobytes() for t in b["_text"]]})
+            if len(b):
+                yield pd.DataFrame({"y": b["_y"], "x": [document_features("\n".join((t or "").split("\n", FIT_LINES)[:FIT_LINES]))[0].tobytes() for t in b["_text"]]})
 
     # the sample has some thousand rows by its definition
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").mapInPandas(features, "y int, x binary").collect()
@@ -236,6 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Only texts are inputs of a score.  Rows are scored one by one: repeated rows and ties score alike, an empty table
     gives no rows, a null id is in the fold of the empty text.
     """
+    small_batches(docs.sparkSession)
     field = fit(docs, labels, id_col, text_col)
     out = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), score(field, F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
@@ -243,4 +245,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text scores ``GOOD`` or more, with their own columns."""
+    small_batches(docs.sparkSession)
     return docs.where(score(fit(docs, labels), F.col("text")) >= GOOD)

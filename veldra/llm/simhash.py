@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import components, forest, materialize
+from veldra.llm.common import components, forest, materialize, small_batches
 
 RADIUS = 4
 SHINGLE = 4
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only distinct fingerprints are compared and only those in groups are joined back, so a fingerprint that many
     documents share costs no more than one.
     """
+    small_batches(docs.sparkSession)
     marked = materialize(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col).cast("string")).alias("fp")))
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     groups = components(link(fps.select("fp"), radius))
