@@ -232,7 +232,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     groups = materialize(near_duplicates(docs, radius=radius).select("doc_id", "component_id"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    # the rejected ids grow with the documents and are never broadcast, however few they are today
+    left = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
     if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
