@@ -40,6 +40,14 @@ def test_report(spark, odd, none):
     assert pii.report(odd).count() == odd.count() and pii.report(none).count() == 0
 
 
+def test_counts(spark):
+    text = "a@b.com 10.0.0.1 c@d.org +1 (578) 555-6437 and 4111 1111 1111 1111, 10.0.0.300 e@f.net"
+    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (3, 1, 1, 1)
+    want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(text))
+    assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans == want
+
+
 def test_patterns_find_unseen_identifiers(spark):
     texts = [f"my contact is user{i}@mail.com thanks" for i in range(20)] + ["my contact is KX4471-99 thanks", "see part KX5571-99 there", "my contact is here thanks"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
