@@ -13,6 +13,7 @@ ARTICLE = "<article><h1>Head</h1><p>One, two,  and\n three.</p><p>Four &amp; fiv
         f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav>{ARTICLE}<footer>foot, foot</footer></body></html>",
         f"<body><header>site, head</header><div class='ad banner'>buy, buy, now</div>{ARTICLE}<aside>side, bar</aside><div id=comments><p>so, so, bad</p></div><script>var a='</p>';</script>",
         f"<div class=sidebar><p>Long, long, text, of, a, sidebar, that, goes, on, and, on.</p></div><div>{ARTICLE}<form><p>Your, mail</p><input></form></div><div class='cookie-notice'>We use, cookies, here.</div>",
+        f"<body class='has-sidebar'><div class='main-nav'>a, b, c</div><div class='post comments-open'>{ARTICLE}<div class='post-comments'><p>so, so, bad</p></div></div><div class='content-footer'>x, y</div>",
         f"<!-- c --><main>{ARTICLE.replace('<article>', '<div class=post>').replace('</article>', '</div>')}</main><div role=navigation>a, b</div>",
     ],
 )

@@ -50,23 +50,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "kids", "away", "body", "score", "text_n", "link_n", "commas")
+    __slots__ = ("name", "up", "kids", "away", "hinted", "body", "score", "text_n", "link_n", "commas")
 
     def __init__(self, name: str, up: Node | None, attributes: str = ""):
         self.name, self.up, self.kids = name, up, []
         self.score, self.text_n, self.link_n, self.commas = 0.0, 0, 0, 0
-        self.away, self.body = name in _NEVER, name in ("article", "main")
+        self.away, self.hinted, self.body = name in _NEVER, False, name in ("article", "main")
         if attributes and not self.away:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), unescape(value.strip("\"'"))
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     self.away = True
                 elif key in ("class", "id", "role"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    if words & _BODY and not words & {"comment", "comments", "ad", "ads", "sidebar", "related"}:
-                        self.body = True
-                    elif words & _ASIDE and name not in ("body", "html", "article", "main"):
-                        self.away = True
+                    for one in value.split():
+                        words = [w.lower() for w in _WORD.findall(one)]
+                        if not words or words[0] in ("has", "with", "no", "is"):
+                            continue
+                        # the first or last word says what a part is: ad-box, main-nav
+                        if words[-1] in _ASIDE or words[0] in _ASIDE:
+                            self.hinted = name not in ("body", "html", "article", "main")
+                        elif words[-1] in _BODY or words[0] in _BODY:
+                            self.body = True
+            self.away = self.away or self.hinted
+            self.body = self.body and not self.away
 
 
 def parse(html: str) -> Node:
@@ -115,6 +121,13 @@ def parse(html: str) -> Node:
             here, depth = here.up, depth - 1
         node = Node(name, here, attributes)
         here.kids.append(node)
+        if name in ("article", "main"):
+            # what holds an article is no side part, whatever its class says
+            up = here
+            while up is not None and up.name not in ("article", "main"):
+                if up.hinted:
+                    up.away = up.hinted = False
+                up = up.up
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
