@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
+          .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import rules
 from veldra.functions.dates import clamp, cohort, event_dates, explicit_date
-from veldra.functions.text import _s, clean, planner_text, present, replace, same_identity, strip_tags, trim, whole
+from veldra.functions.text import _s, clean, let, planner_text, present, replace, same_identity, strip_tags, trim, whole
 from veldra.functions.urls import bare_host, canonical_url, clean_url, host, host_in, is_url, links, path, recruitment_channel, registrable_domain
 
 
@@ -31,12 +31,15 @@ def any_of(patterns: list[str], flags: str = "(?is)") -> str:
 
 def source_policy(url: Column, company: Column, title: Column, kind: Column) -> Column:
     """Struct of decision, reasonCode, sourceTier and platform of a search hit."""
-    h, p = bare_host(url), path(url)
+    return let(F.struct(bare_host(url).alias("h"), path(url).alias("p")), lambda u: _policy(u["h"], u["p"], company, title, kind))
+
+
+def _policy(h: Column, p: Column, company: Column, title: Column, kind: Column) -> Column:
     row = lambda decision, reason=None, tier=None, platform=None: F.struct(*(F.lit(v).cast("string").alias(n) for n, v in (("decision", decision), ("reasonCode", reason), ("sourceTier", tier), ("platform", platform))))
     log = "DISCOVERY_LOG_ONLY"
     organic = F.lower(F.coalesce(F.nullif(kind, F.lit("")), F.lit("organic"))) == "organic"
     cases = [
-        (~is_url(url) | ~organic, row(log, "invalid_or_nonorganic")),
+        (h.isNull() | ~organic, row(log, "invalid_or_nonorganic")),
         (host_in(h, rules.SEARCH_ENGINES), row(log, "search_engine_page")),
         (host_in(h, [*rules.HARD_EXCLUDED, *rules.UNIVERSITY_SITES]) | h.rlike(r"\.edu\.cn$"), row(log, "hard_excluded_source")),
         (p.rlike("(?i)/(?:news|article|media|press)(?:/|$)") | _s(title).rlike("(?i)新闻|转载|媒体报道|news|press release"), row(log, "news_or_reprint")),
@@ -63,9 +66,12 @@ def should_open(result: Column) -> Column:
 
 def hinted_role(url: Column, text: Column) -> Column:
     """What a link on a page of postings leads to."""
-    x = F.concat_ws(" ", url, text)
+    return let(F.concat_ws(" ", url, text), _hinted)
+
+
+def _hinted(x: Column) -> Column:
     return first_rule(
-        (x.rlike(rf"(?i)立即投递|立即申请|申请职位|apply(?:(?![A-Za-z0-9_])|/|\?)"), "APPLY"),
+        (x.rlike(r"(?i)立即投递|立即申请|申请职位|apply(?:(?![A-Za-z0-9_])|/|\?)"), "APPLY"),
         (x.rlike(r"(?i)岗位职责|任职要求|职位详情|job/[^/]+|position/[^/]+|jobId=|positionId="), "JOB_DETAIL"),
         (x.rlike(r"(?i)职位列表|招聘岗位|查看职位|view jobs|search jobs|/(?:jobs?|positions?)(?:/|\?|$)"), "JOB_LIST"),
         (x.rlike("(?i)校招|校园招聘|实习|campus|intern"), "CAMPAIGN"),
@@ -76,10 +82,13 @@ def hinted_role(url: Column, text: Column) -> Column:
 
 def surface_page(url: Column, html: Column, status: Column, numeric: bool = False) -> Column:
     """C4: struct of pageState, pageRole and vacancyStatus of a page, by nine rules."""
-    text = strip_tags(html, numeric)
+    read = F.struct(strip_tags(html, numeric).alias("text"), F.size(F.filter(links(html, url), lambda a: hinted_role(a["url"], a["text"]) == "JOB_DETAIL")).alias("details"))
+    return let(read, lambda r: _surface(url, html, status, r["text"], r["details"]))
+
+
+def _surface(url: Column, html: Column, status: Column, text: Column, details: Column) -> Column:
     x = F.concat_ws(" ", url, text)
     h1 = replace(F.regexp_extract(_s(html), r"(?is)<h1(?![A-Za-z0-9_])[^>]*>(.*?)</h1>", 1), "<[^>]+>", " ")
-    details = F.size(F.filter(links(html, url), lambda a: hinted_role(a["url"], a["text"]) == "JOB_DETAIL"))
     row = lambda state, role, vacancy: F.struct(F.lit(state).alias("pageState"), F.lit(role).alias("pageRole"), F.lit(vacancy).alias("vacancyStatus"))
     return first_rule(
         (status.isin(401, 403, 429) | x.rlike("(?i)验证码|安全验证|访问过于频繁|captcha|access denied"), row("BLOCKED_OR_CAPTCHA", "UNKNOWN", "BLOCKED")),
@@ -197,8 +206,8 @@ def _has(lower: Column, keyword: str) -> Column:
     return lower.rlike(f"(?:^|[^a-z0-9]){re.escape(k)}(?:[^a-z0-9]|$)") if re.fullmatch("[a-z0-9+#.]{2,3}", k) else lower.contains(k)
 
 
-def industry_scores(text: Column) -> list[Column]:
-    x = F.lower(_s(text))
+def industry_scores(x: Column) -> list[Column]:
+    """Of a lower-case text."""
     out = []
     for _, words, against in rules.INDUSTRIES.values():
         score = F.lit(0)
@@ -213,9 +222,9 @@ def industry_scores(text: Column) -> list[Column]:
 
 def industry(text: Column) -> Column:
     """C11: the industry with most words less contrary ones, the first of equals; null if none has any."""
-    scored = F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(zip(rules.INDUSTRIES, industry_scores(text), strict=True))))
-    best = F.array_max(scored)
-    return F.when(best["s"] > 0, best["name"])
+    scored = lambda x: F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(zip(rules.INDUSTRIES, industry_scores(x), strict=True))))
+    best = let(F.lower(_s(text)), lambda x: F.array_max(scored(x)))
+    return let(best, lambda b: F.when(b["s"] > 0, b["name"]))
 
 
 def industry_label(bucket: Column) -> Column:
@@ -257,9 +266,12 @@ def recruitment_type(text: Column) -> Column:
 def recruitment_event(page_title: Column, page_text: Column, link_text: Column, job_title: Column, employment: Column, url: Column, page_type: Column, tier: Column, start: Column, close: Column, places: Column) -> Column:
     """Struct of a recruitment event; a page of another type or an invalid address gives violation instead (Q4:
     status is always OPEN)."""
+    return let(clean_url(url), lambda at: _event(at, page_title, page_text, link_text, job_title, employment, page_type, tier, start, close, places))
+
+
+def _event(at: Column, page_title: Column, page_text: Column, link_text: Column, job_title: Column, employment: Column, page_type: Column, tier: Column, start: Column, close: Column, places: Column) -> Column:
     from veldra.functions.values import unique_strings
 
-    at = clean_url(url)
     text = F.concat_ws(" ", *(present(x) for x in (page_title, link_text, job_title, employment, at)))
     dates = event_dates(page_text, start, close)
     wrong = first_rule((~page_type.isin("CAMPAIGN", "JOB_LIST", "CAREER_HOME", "PLATFORM_ONLY") | page_type.isNull(), "unsupported_page_type"), (at.isNull(), "invalid_directory_url"))
@@ -328,14 +340,21 @@ def page_identity(html: Column, names: Column) -> Column:
     x = _s(html)
     part = lambda p: replace(F.regexp_extract(x, p, 1), "<[^>]+>", " ")
     places = {"title": r"(?is)<title[^>]*>(.*?)</title>", "og_site_name": r"""(?is)<meta[^>]+property=["']og:site_name["'][^>]+content=["']([^"']+)""", "json_ld": r'(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', "footer": r"(?is)<footer[^>]*>(.*?)</footer>", "nav": r"(?is)<nav[^>]*>(.*?)</nav>"}
-    signals = F.array_compact(F.array(*(F.when(F.exists(names, lambda n, p=p: (F.length(n) >= 2) & F.lower(part(p)).contains(F.lower(n))), k) for k, p in places.items())))
+
+    def stands(p: str) -> Column:
+        return let(F.lower(part(p)), lambda t: F.exists(names, lambda n: (F.length(n) >= 2) & t.contains(F.lower(n))))
+
+    signals = F.array_compact(F.array(*(F.when(stands(p), k) for k, p in places.items())))
     about = strip_tags(x, False).rlike("(?i)招聘|职位|岗位|career|jobs?|recruit|join us")
-    return F.struct(signals.alias("signals"), ((F.size(signals) >= 2) & about).alias("confirmed"))
+    return let(signals, lambda s: F.struct(s.alias("signals"), ((F.size(s) >= 2) & about).alias("confirmed")))
 
 
 def hard_negative(url: Column, text: Column) -> Column:
     """C20: the code of evidence against a page; null if none."""
-    h = bare_host(url)
+    return let(bare_host(url), lambda h: _negative(h, url, text))
+
+
+def _negative(h: Column, url: Column, text: Column) -> Column:
     return first_rule(
         (host_in(h, [*rules.CN_AGGREGATORS, *rules.HARD_EXCLUDED]), "aggregator_domain"),
         (h.rlike(r"\.edu(?:\.cn)?$") | host_in(h, rules.UNIVERSITY_SITES), "university_employment_site"),
@@ -403,19 +422,25 @@ def trust(url: Column, company: Column, suspicious: list[str], allowed: list[str
     flags = F.when(u == "", F.array(F.lit("missing_apply_url"))).when(~is_url(url), F.array(F.lit("invalid_url"))).otherwise(
         F.array_compact(F.array(F.when(host_in(h, suspicious), "suspicious_domain"), F.when((trim(_s(company)) != "") & ~host_in(h, allowed) & ~matches, "company_domain_mismatch")))
     )
+    return let(flags, _level)
+
+
+def _level(flags: Column) -> Column:
     cost = F.create_map(*(F.lit(v) for kv in rules.TRUST.items() for v in kv))
     score = clamp(100 - F.aggregate(flags, F.lit(0), lambda a, f: a + cost[f]), 0, 100)
-    return F.struct(score.alias("score"), flags.alias("flags"), first_rule((score >= 90, "high"), (score >= 60, "medium"), default="low").alias("level"))
+    return let(score, lambda s: F.struct(s.alias("score"), flags.alias("flags"), first_rule((s >= 90, "high"), (s >= 60, "medium"), default="low").alias("level")))
 
 
 def official_score(url: Column, title: Column, snippet: Column, company: Column, official_domain: Column, tenant: Column, year: Column, kind: Column, rank: Column) -> Column:
     """Struct of totalScore and decision of a candidate for a company's own page."""
     from veldra.functions.urls import ats
 
-    d, x = host(canonical_url(url)), F.concat_ws(" ", title, snippet)
+    return let(F.struct(host(canonical_url(url)).alias("d"), F.concat_ws(" ", title, snippet).alias("x"), ats(url).isNotNull().alias("v")), lambda u: _official(u["d"], u["x"], u["v"], company, official_domain, tenant, year, kind, rank))
+
+
+def _official(d: Column, x: Column, vendor: Column, company: Column, official_domain: Column, tenant: Column, year: Column, kind: Column, rank: Column) -> Column:
     has_name = (_s(company) != "") & F.lower(x).contains(F.lower(_s(company)))
     own = F.coalesce((_s(official_domain) != "") & ((d == official_domain) | F.endswith(d, F.concat(F.lit("."), official_domain))), F.lit(False))
-    vendor = ats(url).isNotNull()
     points = lambda c, n: F.when(c, n).otherwise(0)
     score = (
         points(host_in(d, rules.CN_AGGREGATORS), -50)
@@ -430,25 +455,29 @@ def official_score(url: Column, title: Column, snippet: Column, company: Column,
         + points(x.rlike("已结束|已截止|停止"), -20)
     )
     strong = own | tenant | (vendor & has_name)
-    return F.struct(score.alias("totalScore"), first_rule(((score >= 75) & strong, "auto_verify"), (score < 55, "reject"), default="review").alias("decision"))
+    return let(score, lambda s: F.struct(s.alias("totalScore"), first_rule(((s >= 75) & strong, "auto_verify"), (s < 55, "reject"), default="review").alias("decision")))
 
 
 def site_score(url: Column, title: Column, snippet: Column, tokens: Column, cjk: Column) -> Column:
     """0 to 1.5 for a search hit as a company's own site (Q3: each career word counts half a point)."""
-    h = bare_host(url)
+    return let(F.struct(bare_host(url).alias("h"), path(url).alias("p")), lambda u: _site(u["h"], u["p"], title, snippet, tokens, cjk))
+
+
+def _site(h: Column, where: Column, title: Column, snippet: Column, tokens: Column, cjk: Column) -> Column:
     labels = F.filter(F.split(h, r"\."), lambda x: F.length(x) >= 4)
     plain = F.filter(F.transform(tokens, lambda t: replace(F.lower(t), "[^a-z0-9]+")), lambda t: F.length(t) >= 4)
     owned = F.exists(labels, lambda x: F.exists(plain, lambda t: x.contains(t))) & ~h.rlike(r"\.wd[0-9]+\.myworkdayjobs\.com$|\.myworkday\.com$|^myworkdayjobs\.com$") & ~h.isin(rules.VENDOR_HOSTS)
     has_cjk = F.length(_s(cjk)) >= 2
-    in_path = has_cjk & F.concat(h, path(url)).contains(_s(cjk))
+    in_path = has_cjk & F.concat(h, where).contains(_s(cjk))
     in_text = has_cjk & F.concat_ws(" ", title, snippet).contains(_s(cjk))
     base = first_rule((owned, F.when(F.size(F.split(h, r"\.")) > 3, 0.8).otherwise(1.0)), (in_path, 0.7), (in_text, 0.5), (h.isin(rules.VENDOR_HOSTS), 0.4), (h.isin(rules.AGGREGATOR_HOSTS), 0.2), default=0.0)
     x = F.lower(F.concat_ws(" ", title, snippet))
     hits = F.lit(0)
     for w in rules.CAREER_WORDS:
         hits = hits + x.contains(w).cast("int")
-    score = base + F.when(in_text & (base < 1), 0.3).otherwise(0.0) + hits * 0.5
-    return F.when(h.isNull() | h.isin(rules.SEARCH_HOSTS) | (base == 0), 0.0).otherwise(clamp(score, 0.0, 1.5))
+    score = lambda b, n: clamp(b + F.when(in_text & (b < 1), 0.3).otherwise(0.0) + n * 0.5, 0.0, 1.5)
+    value = let(F.struct(base.alias("b"), hits.alias("n")), lambda v: F.when(v["b"] == 0, 0.0).otherwise(score(v["b"], v["n"])))
+    return F.when(h.isNull() | h.isin(rules.SEARCH_HOSTS), 0.0).otherwise(value)
 
 
 def identity(strong: Column, medium: Column, risks: Column, role: Column, vacancy: Column, http_status: Column, reachable: Column, semantics: Column) -> Column:
@@ -469,19 +498,23 @@ def identity(strong: Column, medium: Column, risks: Column, role: Column, vacanc
 
 def domain_risks(url: Column, official: Column, page_text: Column) -> Column:
     """Signals against an address: literals, punycode, shape, forms, look-alikes, requests for money."""
-    from veldra.functions.text import is_lookalike
     from veldra.functions.urls import port
 
-    h = host(url)
-    return F.when(~is_url(url), F.array(F.lit("invalid_url"))).otherwise(
+    return let(F.struct(host(url).alias("h"), port(url).alias("o")), lambda u: _risks(u["h"], u["o"], official, page_text))
+
+
+def _risks(h: Column, o: Column, official: Column, page_text: Column) -> Column:
+    from veldra.functions.text import is_lookalike
+
+    return F.when(h.isNull(), F.array(F.lit("invalid_url"))).otherwise(
         F.array_compact(
             F.array(
                 F.when(h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") | h.contains(":"), "ip_literal_host"),
                 F.when(h.contains("xn--"), "punycode_domain"),
-                F.when(port(url).isNotNull() & ~port(url).isin("80", "443"), "non_standard_port"),
+                F.when(o.isNotNull() & ~o.isin("80", "443"), "non_standard_port"),
                 F.when((F.length(h) - F.length(F.replace(h, F.lit("-"), F.lit(""))) >= 4) | F.split(h, r"\.")[0].rlike("(?i)[a-z0-9]{18,}"), "abnormal_domain_shape"),
                 F.when(host_in(h, ["docs.qq.com", "pan.baidu.com", "weiyun.com", "qun.qq.com", "chat.whatsapp.com"]), "personal_form_or_cloud_drive"),
-                F.when(F.exists(official, lambda o: is_lookalike(registrable_domain(h), registrable_domain(o))), "lookalike_official_domain"),
+                F.when(F.exists(official, lambda d: is_lookalike(registrable_domain(h), registrable_domain(d))), "lookalike_official_domain"),
                 F.when(_s(page_text).rlike("(?i)培训费|押金|体检费|材料费|个人账户转账|加微信|QQ群|下载APK"), "payment_or_private_contact_risk"),
             )
         )

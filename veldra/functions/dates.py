@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veldra.functions.text import B, E, _s, canonical_company, clean, company_alias, normalize_text, planner_company, planner_text, replace, title_key, trim
+from veldra.functions.text import B, E, _s, canonical_company, clean, company_alias, let, normalize_text, planner_company, planner_text, replace, title_key, trim
 from veldra.functions.urls import clean_url
 
 _YMD = r"(20\d{2})[-/](\d{1,2})[-/](\d{1,2})"
@@ -77,7 +77,10 @@ _EXPERIENCE = [
 
 def experience(text: Column) -> Column:
     """Struct of minYears, maxYears and evidence, over all statements; maxYears is null if one is open."""
-    x = planner_text(replace(_s(text), "[‐‑‒–—−]", "-"))
+    return let(planner_text(replace(_s(text), "[‐‑‒–—−]", "-")), lambda x: _experience(x, text))
+
+
+def _experience(x: Column, text: Column) -> Column:
     # statements about the past or about old things are blanked first, with their numbers
     x = replace(x, r"\d{1,2}\s*(?:years? ago|year-old)", " ")
     found = []
@@ -88,7 +91,10 @@ def experience(text: Column) -> Column:
         found.append(F.transform(rows, lambda r: F.struct(r["a"].try_cast("int").alias("a"), r["b"].try_cast("int").alias("b"), F.trim(r["e"]).alias("e"))))
     none = F.when(_s(text).rlike("(?i)no (?:prior|professional) experience|required experience.*none|无需经验|经验不限|freshers? welcome"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("no prior experience required").alias("e")))
     every = F.filter(F.concat(*found), lambda r: (r["a"] <= 30) & (r["b"].isNull() | ((r["b"] >= r["a"]) & (r["b"] <= 40))))
-    every = F.concat(every, F.array_compact(F.array(none)))
+    return let(F.concat(every, F.array_compact(F.array(none))), _range)
+
+
+def _range(every: Column) -> Column:
     open_end = F.exists(every, lambda r: r["b"].isNull())
     return F.struct(
         F.array_min(F.transform(every, lambda r: r["a"])).alias("minYears"),

@@ -28,6 +28,11 @@ def _s(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: keeps expressions small."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def replace(x: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(x, pattern, by)
 
@@ -178,9 +183,9 @@ def spaced_key(x: Column) -> Column:
 
 def company_match(a: Column, b: Column) -> Column:
     """Equal keys, or one name is a run of whole words of the other."""
-    x, y = spaced_key(a), spaced_key(b)
     inside = lambda small, large: F.concat(F.lit(" "), large, F.lit(" ")).contains(F.concat(F.lit(" "), small, F.lit(" ")))
-    return (latin_key(a) == latin_key(b)) | ((x != "") & (y != "") & (inside(x, y) | inside(y, x)))
+    words = let(F.struct(spaced_key(a).alias("x"), spaced_key(b).alias("y")), lambda k: (k["x"] != "") & (k["y"] != "") & (inside(k["x"], k["y"]) | inside(k["y"], k["x"])))
+    return (latin_key(a) == latin_key(b)) | words
 
 
 def has_keyword(lower: Column, keyword: str) -> Column:
@@ -222,14 +227,17 @@ def _planner_text(s: str) -> str:
 
 def skills(text: Column) -> Column:
     """The known skills that a text names as whole words."""
-    x = planner_text(text)
-    found = []
-    for s in SKILLS:
-        # a cheap test comes first: most texts lack most skills
-        key = _planner_text(s)
-        hit = x.contains(key) & x.rlike(rf"(?:^|[^\p{{L}}\p{{N}}+#]){re.escape(key)}(?:$|[^\p{{L}}\p{{N}}+#])")
-        found.append(F.when(hit, F.lit(s)))
-    return F.array_compact(F.array(*found))
+
+    def named(x: Column) -> Column:
+        found = []
+        for s in SKILLS:
+            # a cheap test comes first: most texts lack most skills
+            key = _planner_text(s)
+            hit = x.contains(key) & x.rlike(rf"(?:^|[^\p{{L}}\p{{N}}+#]){re.escape(key)}(?:$|[^\p{{L}}\p{{N}}+#])")
+            found.append(F.when(hit, F.lit(s)))
+        return F.array_compact(F.array(*found))
+
+    return let(planner_text(text), named)
 
 
 #: Headings at which a section ends.
@@ -245,23 +253,29 @@ def _lines(text: Column) -> Column:
 def section(text: Column, starts: list[str], most: int = 1200) -> Column:
     """The lines under the first heading that begins with one of ``starts``, up to the next heading or so many
     characters."""
-    lines = _lines(text)
+    return let(_lines(text), lambda lines: _section(lines, starts, most))
+
+
+def _section(lines: Column, starts: list[str], most: int) -> Column:
     any_of = lambda x, names: F.exists(F.array(*map(F.lit, names)), lambda n: F.startswith(x, n))
     headed = F.transform(lines, lambda x, i: F.when(any_of(planner_text(x), starts), i))
     at = F.array_min(F.array_compact(headed))
-    below = F.slice(lines, at + 2, F.greatest(F.size(lines) - at - 1, F.lit(0)))
+    below = let(at, lambda k: F.slice(lines, k + 2, F.greatest(F.size(lines) - k - 1, F.lit(0))))
+    return F.coalesce(let(below, lambda b: _body(b, most)), F.lit(""))
+
+
+def _body(below: Column, most: int) -> Column:
     stop = lambda x: F.exists(F.array(*map(F.lit, SECTION_STOPS)), lambda n: (x == n) | F.startswith(x, F.concat(n, F.lit(" "))))
     stops = F.array_min(F.array_compact(F.transform(below, lambda x, i: F.when(stop(planner_text(replace(x, ":$"))), i))))
     body = F.transform(F.slice(below, 1, F.coalesce(stops, F.size(below))), lambda x: replace(x, rf"^[-*•][{WS}]*"))
     joined = F.aggregate(body, F.lit(""), lambda a, x: F.when(F.length(a) >= most, a).when(a == "", x).otherwise(F.concat(a, F.lit(" "), x)))
-    return F.coalesce(F.when(at.isNotNull(), F.trim(joined)), F.lit(""))
+    return F.when(below.isNotNull(), F.trim(joined))
 
 
 def responsibilities(text: Column) -> Column:
     """The section, or else the first five lines of 35 characters and more, cut at 1200."""
-    found = section(text, RESPONSIBILITIES)
     long = F.slice(F.filter(_lines(text), lambda x: F.length(x) >= 35), 1, 5)
-    return F.when(found != "", found).otherwise(F.substring(F.array_join(long, " "), 1, 1200))
+    return F.coalesce(F.nullif(section(text, RESPONSIBILITIES), F.lit("")), F.substring(F.array_join(long, " "), 1, 1200))
 
 
 def requirements(text: Column) -> Column:
@@ -415,7 +429,10 @@ def tokens(x: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the smaller number of tokens."""
-    x, y = tokens(a), tokens(b)
+    return let(F.struct(tokens(a).alias("x"), tokens(b).alias("y")), lambda t: _overlap(t["x"], t["y"]))
+
+
+def _overlap(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.least(F.size(x), F.size(y)).cast("double")), F.lit(0.0))
 
 

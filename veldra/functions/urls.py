@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veldra.functions.text import WS, _s, clean, replace, trim
+from veldra.functions.text import WS, _s, clean, let, replace, trim
 
 _URL = rf"^(?i:(https?))://(?:[^/?#@{WS}]*@)?([^/?#:@{WS}]+)(?::(\d*))?(?=[/?#]|$)([^?#{WS}]*)(\?[^#{WS}]*)?(#.*)?$"
 
@@ -23,16 +23,31 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(trim(_s(url)), _URL, group)
 
 
+def _parts(url: Column, body) -> Column:
+    """``body`` of a url's struct of scheme, host, port, path, query and fragment, taken apart once."""
+
+    def cut(u: Column) -> Column:
+        get = lambda i: F.regexp_extract(u, _URL, i)
+        raw = F.struct(F.lower(get(1)).alias("s"), F.lower(get(2)).alias("h"), get(3).alias("o"), get(4).alias("p"), get(5).alias("q"), get(6).alias("f"))
+        return F.when(u.rlike(_URL), raw)
+
+    def tidy(r: Column) -> Column:
+        own = F.when(r["s"] == "https", "443").otherwise("80")
+        return F.when(r.isNotNull(), F.struct(r["s"].alias("scheme"), r["h"].alias("host"), F.when((r["o"] != "") & (r["o"] != own), r["o"]).alias("port"), F.when(r["p"] == "", "/").otherwise(r["p"]).alias("path"), F.when(r["q"] == "?", "").otherwise(r["q"]).alias("query"), r["f"].alias("fragment")))
+
+    return let(trim(_s(url)), lambda u: let(cut(u), lambda r: let(tidy(r), body)))
+
+
 def is_url(url: Column) -> Column:
     return trim(_s(url)).rlike(_URL)
 
 
 def scheme(url: Column) -> Column:
-    return F.when(is_url(url), F.lower(_part(url, 1)))
+    return F.lower(F.nullif(_part(url, 1), F.lit("")))
 
 
 def host(url: Column) -> Column:
-    return F.when(is_url(url), F.lower(_part(url, 2)))
+    return F.lower(F.nullif(_part(url, 2), F.lit("")))
 
 
 def bare_host(url: Column) -> Column:
@@ -42,56 +57,55 @@ def bare_host(url: Column) -> Column:
 
 def port(url: Column) -> Column:
     """The port unless it is the scheme's own."""
-    p = _part(url, 3)
-    default = F.when(F.lower(_part(url, 1)) == "https", "443").otherwise("80")
-    return F.when(is_url(url) & (p != "") & (p != default), p)
+    return _parts(url, lambda u: u["port"])
 
 
 def path(url: Column) -> Column:
-    p = _part(url, 4)
-    return F.when(is_url(url), F.when(p == "", "/").otherwise(p))
+    return _parts(url, lambda u: u["path"])
 
 
 def query(url: Column) -> Column:
     """With its question mark; empty if there is none or nothing in it."""
-    q = _part(url, 5)
-    return F.when(is_url(url), F.when(q == "?", "").otherwise(q))
+    return _parts(url, lambda u: u["query"])
 
 
 def fragment(url: Column) -> Column:
-    return F.when(is_url(url), _part(url, 6))
+    return _parts(url, lambda u: u["fragment"])
+
+
+def _parameter(search: Column, name: str) -> Column:
+    return F.when(search.rlike(rf"[?&]{name}="), F.try_url_decode(F.regexp_extract(search, rf"[?&]{name}=([^&]*)", 1)))
 
 
 def parameter(url: Column, name: str) -> Column:
     """The decoded value of the first parameter of that name; null if there is none."""
-    raw = F.regexp_extract(query(url), rf"[?&]{name}=([^&]*)", 1)
-    return F.when(query(url).rlike(rf"[?&]{name}="), F.try_url_decode(raw))
+    return _parts(url, lambda u: _parameter(u["query"], name))
 
 
-def _join(url: Column, search: Column, tail: Column | None = None, where: Column | None = None) -> Column:
-    at = F.coalesce(F.concat(F.lit(":"), port(url)), F.lit(""))
-    return F.concat(scheme(url), F.lit("://"), host(url), at, path(url) if where is None else where, search, F.lit("") if tail is None else tail)
+def _join(u: Column, search: Column, tail: Column | None = None, where: Column | None = None) -> Column:
+    at = F.coalesce(F.concat(F.lit(":"), u["port"]), F.lit(""))
+    return F.concat(u["scheme"], F.lit("://"), u["host"], at, u["path"] if where is None else where, search, F.lit("") if tail is None else tail)
 
 
 def clean_url(url: Column) -> Column:
     """Http and https only, without fragment; null if invalid."""
-    return _join(url, query(url))
+    return _parts(url, lambda u: _join(u, u["query"]))
 
 
-def _without(url: Column, drop: str) -> Column:
+def _without(search: Column, drop: str) -> Column:
     """The query without parameters whose name matches."""
-    kept = F.filter(F.split(F.substring(query(url), 2, 1 << 30), "&"), lambda p: ~p.rlike(rf"(?i)^(?:{drop})(?:=|$)") & (p != ""))
-    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    kept = F.filter(F.split(F.substring(search, 2, 1 << 30), "&"), lambda p: ~p.rlike(rf"(?i)^(?:{drop})(?:=|$)") & (p != ""))
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(""))
 
 
 def canonical_url(url: Column) -> Column:
     """``clean_url`` without tracking parameters; empty if invalid."""
-    return F.coalesce(_join(url, _without(url, "|".join(["utm_[^=]*", *TRACKING]))), F.lit(""))
+    return F.coalesce(_parts(url, lambda u: _join(u, _without(u["query"], "|".join(["utm_[^=]*", *TRACKING])))), F.lit(""))
 
 
 def document_url(url: Column, drop: list[str] | None = None) -> Column:
     """The same with a list of one's own; null if invalid."""
-    return _join(url, _without(url, "|".join(drop or ["utm_[^=]*", "spm", "from", "source", "share", "timestamp"])))
+    return _parts(url, lambda u: _join(u, _without(u["query"], "|".join(drop or ["utm_[^=]*", "spm", "from", "source", "share", "timestamp"]))))
 
 
 def is_static_asset(url: Column) -> Column:
@@ -110,38 +124,48 @@ def governed_url(url: Column) -> Column:
 
     Redirect wrappers are unwrapped, tracking parameters and trailing slashes go.
     """
-    original = clean(url)
-    u = unwrap(original)
-    where = F.when(F.length(path(u)) > 1, replace(path(u), "/+$")).otherwise(path(u))
-    tail = F.when(path(u).rlike(r"(?i)/(?:#|index\.html$)"), fragment(u)).otherwise("")
-    whole = _join(u, _without(u, "|".join(["utm_[^=]*", "spm", "from", "source", "ref"])), tail, where)
-    reason = F.when(~is_url(u), "invalid_url").when(is_static_asset(path(u)), "static_asset").otherwise("")
-    return F.struct(original.alias("originalUrl"), F.when(reason == "", whole).otherwise("").alias("canonicalUrl"), reason.alias("reason"))
+
+    def governed(original: Column) -> Column:
+        def parts(u: Column) -> Column:
+            where = F.when(F.length(u["path"]) > 1, replace(u["path"], "/+$")).otherwise(u["path"])
+            tail = F.when(u["path"].rlike(r"(?i)/(?:#|index\.html$)"), u["fragment"]).otherwise("")
+            whole = _join(u, _without(u["query"], "|".join(["utm_[^=]*", "spm", "from", "source", "ref"])), tail, where)
+            reason = F.when(u.isNull(), "invalid_url").when(is_static_asset(u["path"]), "static_asset").otherwise("")
+            return let(reason, lambda r: F.struct(original.alias("originalUrl"), F.when(r == "", whole).otherwise("").alias("canonicalUrl"), r.alias("reason")))
+
+        return _parts(unwrap(original), parts)
+
+    return let(clean(url), governed)
 
 
 def unwrap(url: Column) -> Column:
     """The target of a job site's jump page or of a captcha page; others as they are, invalid ones empty."""
-    jump = host_in(host(url), ["nowcoder.com"]) & (path(url) == "/jump")
-    captcha = host_in(host(url), ["mp.weixin.qq.com"]) & path(url).rlike("(?i)wappoc_appmsgcaptcha")
-    target = F.when(jump, parameter(url, "url")).when(captcha, F.coalesce(parameter(url, "target_url"), parameter(url, "url")))
-    return F.coalesce(F.nullif(target, F.lit("")), F.when(is_url(url), trim(_s(url))), F.lit(""))
+
+    def target(u: Column) -> Column:
+        jump = host_in(u["host"], ["nowcoder.com"]) & (u["path"] == "/jump")
+        captcha = host_in(u["host"], ["mp.weixin.qq.com"]) & u["path"].rlike("(?i)wappoc_appmsgcaptcha")
+        wrapped = F.when(jump, _parameter(u["query"], "url")).when(captcha, F.coalesce(_parameter(u["query"], "target_url"), _parameter(u["query"], "url")))
+        return F.coalesce(F.nullif(wrapped, F.lit("")), F.when(u.isNotNull(), trim(_s(url))), F.lit(""))
+
+    return _parts(url, target)
 
 
 def search_target(href: Column) -> Column:
     """The target of a search engine's redirect link."""
     link = F.when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).when(F.startswith(href, F.lit("/")), F.concat(F.lit("https://duckduckgo.com"), href)).otherwise(href)
-    found = F.when(host_in(host(link), ["duckduckgo.com"]) & (path(link) == "/l/"), parameter(link, "uddg"))
+    found = _parts(link, lambda u: F.when(host_in(u["host"], ["duckduckgo.com"]) & (u["path"] == "/l/"), _parameter(u["query"], "uddg")))
     return F.coalesce(F.nullif(found, F.lit("")), href)
 
 
 def registrable_domain(name: Column) -> Column:
     """The last two labels of a host, three under a suffix of two.  A public suffix list isn't at hand."""
     h = replace(replace(replace(replace(F.lower(_s(name)), "^https?://"), r"^www\."), ":[0-9]+(?=/|$)"), "/.*$")
-    labels = F.filter(F.split(replace(h, r"\.$"), r"\."), lambda x: x != "")
-    n = F.size(labels)
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    three = F.array_join(F.slice(labels, -3, 3), ".")
-    return F.when(n <= 2, replace(h, r"\.$")).when(two.isin(TWO_LABEL_SUFFIXES), three).otherwise(two)
+
+    def short(x: Column) -> Column:
+        labels = F.filter(F.split(x, r"\."), lambda p: p != "")
+        return let(labels, lambda p: let(F.array_join(F.slice(p, -2, 2), "."), lambda two: F.when(two.isin(TWO_LABEL_SUFFIXES), F.array_join(F.slice(p, -F.least(F.size(p), F.lit(3)), 3), ".")).otherwise(two)))
+
+    return let(replace(h, r"\.$"), lambda x: F.when(F.size(F.split(x, r"\.")) <= 2, x).otherwise(short(x)))
 
 
 def host_in(name: Column, domains: list[str]) -> Column:
@@ -170,24 +194,31 @@ def _octet(name: Column, i: int) -> Column:
 
 def is_private_host(name: Column) -> Column:
     """A name or address literal that isn't public."""
-    h = replace(replace(F.lower(_s(name)), r"^\[|\]$"), "%.*$")
-    a, b = _octet(h, 0), _octet(h, 1)
-    v4 = h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
-    inner = (a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.isin(18, 19))
-    v6 = h.contains(":") & (h.isin("::", "::1") | h.rlike("^(?:f[cd]|fe[89ab])"))
-    local = (h == "localhost") | h.rlike(r"\.(?:localhost|local|internal)$")
-    return (h == "") | local | (v4 & inner) | v6
+
+    def private(h: Column) -> Column:
+        a, b = _octet(h, 0), _octet(h, 1)
+        v4 = h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
+        inner = (a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.isin(18, 19))
+        v6 = h.contains(":") & (h.isin("::", "::1") | h.rlike("^(?:f[cd]|fe[89ab])"))
+        local = (h == "localhost") | h.rlike(r"\.(?:localhost|local|internal)$")
+        return F.coalesce((h == "") | local | (v4 & inner) | v6, F.lit(False))
+
+    return let(replace(replace(F.lower(_s(name)), r"^\[|\]$"), "%.*$"), private)
 
 
 def public_target(url: Column) -> Column:
     """Struct of safe and reasonCode, as far as the address itself tells (no name is resolved)."""
-    reason = (
-        F.when(~is_url(url), "unsupported_protocol")
-        .when(host(url).rlike(r"^(?:localhost|.*\.(?:localhost|local|internal))$"), "local_hostname")
-        .when(port(url).isNotNull(), "non_standard_port")
-        .when(is_private_host(host(url)), "private_ip")
-    )
-    return F.struct(reason.isNull().alias("safe"), reason.alias("reasonCode"))
+
+    def judged(u: Column) -> Column:
+        reason = (
+            F.when(u.isNull(), "unsupported_protocol")
+            .when(u["host"].rlike(r"^(?:localhost|.*\.(?:localhost|local|internal))$"), "local_hostname")
+            .when(u["port"].isNotNull(), "non_standard_port")
+            .when(is_private_host(u["host"]), "private_ip")
+        )
+        return let(reason, lambda r: F.struct(r.isNull().alias("safe"), r.alias("reasonCode")))
+
+    return _parts(url, judged)
 
 
 #: Hosts of applicant tracking systems, in the order they are tried.
@@ -211,10 +242,14 @@ ATS_HOSTS = [
 
 def ats(url: Column) -> Column:
     """The applicant tracking system of a host; null if it is none."""
-    h, out = host(url), F.lit(None).cast("string")
-    for domain, vendor in reversed(ATS_HOSTS):
-        out = F.when(host_in(h, [domain]), vendor).otherwise(out)
-    return out
+
+    def vendor_of(h: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for domain, vendor in reversed(ATS_HOSTS):
+            out = F.when(host_in(h, [domain]), vendor).otherwise(out)
+        return out
+
+    return let(host(url), vendor_of)
 
 
 def ats_fingerprint(url: Column, html: Column, signs: dict[str, tuple[str, str]]) -> Column:
@@ -229,9 +264,8 @@ def ats_fingerprint(url: Column, html: Column, signs: dict[str, tuple[str, str]]
 
 def source(url: Column) -> Column:
     """Struct of source and sourceType by host."""
-    h = bare_host(url)
     row = lambda a, b: F.struct((F.lit(a) if isinstance(a, str) else a).alias("source"), F.lit(b).alias("sourceType"))
-    return (
+    return let(bare_host(url), lambda h: (
         F.when(h.isNull(), row("unknown", "unknown"))
         .when(F.endswith(h, F.lit("linkedin.com")), row("LinkedIn", "discovery"))
         .when(F.endswith(h, F.lit("indeed.com")) | h.contains(".indeed."), row("Indeed", "discovery"))
@@ -242,29 +276,34 @@ def source(url: Column) -> Column:
         .when(F.endswith(h, F.lit("smartrecruiters.com")), row("SmartRecruiters", "official_ats"))
         .when(F.endswith(h, F.lit("teamtailor.com")), row("Teamtailor", "official_ats"))
         .otherwise(row(h, "company_site"))
-    )
+    ))
 
 
 #: Sites that only list jobs of others.
 INDEX_HOSTS = ["nowcoder.com", "yingjiesheng.com", "shixiseng.com", "ncss.cn", "zhipin.com", "liepin.com", "iguopin.com", "job.mohrss.gov.cn", "sasac.gov.cn", "sydwgkzp.cn", "jobonline.cn", "lagou.com", "51job.com", "kanzhun.com", "gankinterview.com", "gankinterview.cn", "langlangwangshen.com", "langlangws.com", "niuqizp.com", "niuqizhipin.com", "niuqizhipin.cn"]
 
 
+CHANNEL_RANK = {"official_careers": 5, "official_wechat": 4, "delegated_official": 3, "official_candidate": 2, "discovery_index": 1, "invalid": 0}
+
+
 def recruitment_channel(url: Column) -> Column:
     """Struct of url (https, unwrapped), channel and rank."""
-    u = unwrap(url)
-    https = replace(_join(u, query(u), fragment(u)), "^http:", "https:")
-    h = bare_host(u)
-    row = lambda channel, rank: F.struct(https.alias("url"), F.lit(channel).alias("channel"), F.lit(rank).alias("rank"))
-    careers = F.concat(h, path(u), fragment(u)).rlike("(?i)job|position|career|recruit|campus|join|apply")
-    return (
-        F.when(~is_url(u), F.struct(F.lit("").alias("url"), F.lit("invalid").alias("channel"), F.lit(0).alias("rank")))
-        .when(h == "mp.weixin.qq.com", row("official_wechat", 4))
-        .when(host_in(h, INDEX_HOSTS), row("discovery_index", 1))
-        .when(h.isin("zhaopin.com", "sou.zhaopin.com", "jobs.zhaopin.com"), row("discovery_index", 1))
-        .when(host_in(h, ["zhaopin.com"]), row("delegated_official", 3))
-        .when(careers, row("official_careers", 5))
-        .otherwise(row("official_candidate", 2))
-    )
+
+    def channel(u: Column) -> Column:
+        h = replace(u["host"], r"^www\.")
+        https = replace(_join(u, u["query"], u["fragment"]), "^http:", "https:")
+        name = (
+            F.when(u.isNull(), "invalid")
+            .when(h == "mp.weixin.qq.com", "official_wechat")
+            .when(host_in(h, INDEX_HOSTS) | h.isin("zhaopin.com", "sou.zhaopin.com", "jobs.zhaopin.com"), "discovery_index")
+            .when(host_in(h, ["zhaopin.com"]), "delegated_official")
+            .when(F.concat(h, u["path"], u["fragment"]).rlike("(?i)job|position|career|recruit|campus|join|apply"), "official_careers")
+            .otherwise("official_candidate")
+        )
+        rank = lambda c: F.create_map(*(F.lit(v) for kv in CHANNEL_RANK.items() for v in kv))[c]
+        return let(name, lambda c: F.struct(F.coalesce(https, F.lit("")).alias("url"), c.alias("channel"), rank(c).alias("rank")))
+
+    return _parts(unwrap(url), channel)
 
 
 def best_channel(urls: Column) -> Column:
@@ -313,22 +352,31 @@ def infer_market(given: Column, country: Column, *addresses: Column) -> Column:
 def resolve(href: Column, base: Column) -> Column:
     """An address as a page means it: absolute, of the same scheme, of the same host, or beside the page; dot segments
     at its start are followed.  Null if it isn't one of http."""
-    x = trim(_s(href))
-    root = F.concat(scheme(base), F.lit("://"), host(base), F.coalesce(F.concat(F.lit(":"), port(base)), F.lit("")))
-    folder = replace(path(base), "[^/]*$")
-    for _ in range(3):
-        up = F.startswith(x, F.lit("../"))
-        folder, x = F.when(up, replace(folder, "[^/]+/$")).otherwise(folder), F.when(up, F.substring(x, 4, 1 << 30)).otherwise(replace(x, r"^\./"))
-    whole = (
-        F.when(x.rlike("(?i)^https?://"), x)
-        .when(x.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
-        .when(F.startswith(x, F.lit("//")), F.concat(scheme(base), F.lit(":"), x))
-        .when(F.startswith(x, F.lit("/")), F.concat(root, x))
-        .when(F.startswith(x, F.lit("?")), F.concat(root, path(base), x))
-        .when((x == "") | F.startswith(x, F.lit("#")), F.concat(root, path(base), query(base)))
-        .otherwise(F.concat(root, folder, x))
-    )
-    return clean_url(whole)
+
+
+    def absolute(at: Column) -> Column:
+        root = F.concat(at["scheme"], F.lit("://"), at["host"], F.coalesce(F.concat(F.lit(":"), at["port"]), F.lit("")))
+
+        def beside(x: Column) -> Column:
+            # each ../ at the start takes a folder away, three at most
+            ups = F.length(F.regexp_extract(x, r"^((?:\.\./){0,3})", 1)) / 3
+            folder = replace(at["path"], "[^/]*$")
+            for n in (1, 2, 3):
+                folder = F.when(ups >= n, replace(folder, "[^/]+/$")).otherwise(folder)
+            return F.concat(root, folder, replace(x, r"^(?:\.\./){1,3}|^\./"))
+
+        return let(
+            trim(_s(href)),
+            lambda x: F.when(x.rlike("(?i)^https?://"), x)
+            .when(x.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+            .when(F.startswith(x, F.lit("//")), F.concat(at["scheme"], F.lit(":"), x))
+            .when(F.startswith(x, F.lit("/")), F.concat(root, x))
+            .when(F.startswith(x, F.lit("?")), F.concat(root, at["path"], x))
+            .when((x == "") | F.startswith(x, F.lit("#")), F.concat(root, at["path"], at["query"]))
+            .otherwise(beside(x)),
+        )
+
+    return clean_url(_parts(base, absolute))
 
 
 def links(html: Column, base: Column | None = None) -> Column:
@@ -338,35 +386,38 @@ def links(html: Column, base: Column | None = None) -> Column:
     at = (lambda h: resolve(h, base)) if base is not None else trim
     found = F.transform(pairs, lambda p: F.struct(at(p["h"]).alias("url"), clean(replace(p["t"], "<[^>]+>", " ")).alias("text")))
     found = F.filter(found, lambda x: x["url"].isNotNull())
-    seen = F.transform(found, lambda x: x["url"])
-    return F.filter(found, lambda x, i: F.array_position(seen, x["url"]) == i + 1)
+    return let(found, lambda f: let(F.transform(f, lambda x: x["url"]), lambda seen: F.filter(f, lambda x, i: F.array_position(seen, x["url"]) == i + 1)))
 
 
 def link_role(url: Column, text: Column) -> Column:
     """What a link leads to, by its address and text."""
-    x = F.lower(F.concat_ws(" ", _s(text), path(url), query(url)))
-    return (
+    blob = F.lower(F.concat_ws(" ", _s(text), _parts(url, lambda u: F.concat(u["path"], F.lit(" "), u["query"]))))
+    return let(blob, lambda x: (
         F.when(x.rlike(r"apply|application|投递|网申|立即申请"), "APPLY")
         .when(x.rlike(r"(?:job|position|vacanc)[a-z]*[/_-]?(?:detail|id)|(?:jobs?|positions?)/[^/?]*\d|职位详情"), "JOB_DETAIL")
         .when(x.rlike(r"jobs|positions|vacanc|openings|职位|岗位列表"), "JOB_LIST")
         .when(x.rlike(r"campus|graduate|校招|校园招聘|宣讲"), "CAMPAIGN")
         .when(x.rlike(r"career|join-?us|recruit|talent|加入我们|人才招聘"), "CAREER_HOME")
         .otherwise("UNKNOWN")
-    )
+    ))
 
 
 def best_entry(apply: Column, detail: Column, listing: Column, campaign: Column, home: Column) -> Column:
     """U16: struct of role and url: the first valid of these; null if none is."""
-    row = lambda role, u: F.when(clean_url(u).isNotNull(), F.struct(F.lit(role).alias("role"), clean_url(u).alias("url")))
+    row = lambda role, u: let(clean_url(u), lambda c: F.when(c.isNotNull(), F.struct(F.lit(role).alias("role"), c.alias("url"))))
     return F.coalesce(row("DIRECT_APPLICATION", apply), row("JOB_DETAIL", detail), row("JOB_LIST", listing), row("CAMPAIGN_LANDING", campaign), row("CAREER_HOME", home))
 
 
 def wechat_key(url: Column) -> Column:
     """The account key of a WeChat page."""
-    h = bare_host(url)
-    biz = F.coalesce(F.nullif(parameter(url, "__biz"), F.lit("")), F.nullif(parameter(url, "biz"), F.lit("")))
-    article = replace(replace(replace(path(url), "/+", "/"), "^/|/$"), "^s/")
-    return F.when(h.isNull(), "mp.weixin.qq.com|invalid").when(biz.isNotNull(), F.concat(h, F.lit("|"), biz)).otherwise(F.concat(h, F.lit("|article:"), F.when(article == "", "unknown").otherwise(article)))
+
+    def key(u: Column) -> Column:
+        h = replace(u["host"], r"^www\.")
+        biz = F.coalesce(F.nullif(_parameter(u["query"], "__biz"), F.lit("")), F.nullif(_parameter(u["query"], "biz"), F.lit("")))
+        article = F.nullif(replace(replace(replace(u["path"], "/+", "/"), "^/|/$"), "^s/"), F.lit(""))
+        return F.when(u.isNull(), "mp.weixin.qq.com|invalid").otherwise(F.concat(h, F.lit("|"), F.coalesce(biz, F.concat(F.lit("article:"), F.coalesce(article, F.lit("unknown"))))))
+
+    return _parts(url, key)
 
 
 def rediscovered(hrefs: Column, domain: Column) -> Column:
@@ -377,7 +428,11 @@ def rediscovered(hrefs: Column, domain: Column) -> Column:
 
 def is_company_ats_host(url: Column) -> Column:
     """A host whose first label below its domain names a company."""
-    h = bare_host(F.when(_s(url).contains("://"), url).otherwise(F.concat(F.lit("https://"), url)))
-    below = F.length(h) - F.length(registrable_domain(h)) - 1
-    label = F.when(below > 0, F.split(F.substring(h, F.lit(1), below), r"\.")[0])
-    return F.coalesce((label != "") & ~label.isin("www", "app", "wecruit", "jobs", "career", "careers", "recruit"), F.lit(False))
+    whole = F.when(_s(url).contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
+
+    def labelled(h: Column) -> Column:
+        below = F.length(h) - F.length(registrable_domain(h)) - 1
+        label = let(below, lambda n: F.when(n > 0, F.split(F.substring(h, F.lit(1), n), r"\.")[0]))
+        return F.coalesce(let(label, lambda x: (x != "") & ~x.isin("www", "app", "wecruit", "jobs", "career", "careers", "recruit")), F.lit(False))
+
+    return let(bare_host(whole), labelled)

@@ -35,7 +35,10 @@ def has_forbidden_key(text: Column, keys: list[str] = FORBIDDEN_KEYS) -> Column:
 
 def json_document(text: Column) -> Column:
     """M4: struct of valid, text (all strings in it) and urls (distinct, in order) of a JSON document."""
-    strings = F.transform(F.regexp_extract_all(_s(text), F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1)), lambda s: F.replace(s, F.lit("\\/"), F.lit("/")))
+    # every string, key or value, so that none is taken from between two others; keys have a colon after them
+    p = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+    every = F.arrays_zip(F.regexp_extract_all(_s(text), p, F.lit(1)).alias("s"), F.regexp_extract_all(_s(text), p, F.lit(2)).alias("k"))
+    strings = F.transform(F.filter(every, lambda x: x["k"] == ""), lambda x: F.replace(x["s"], F.lit("\\/"), F.lit("/")))
     urls = F.array_distinct(F.filter(strings, lambda s: s.rlike("^https?://")))
     return F.struct(F.try_parse_json(text).isNotNull().alias("valid"), clean(F.array_join(strings, " ")).alias("text"), urls.alias("urls"))
 

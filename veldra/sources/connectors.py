@@ -271,5 +271,5 @@ def parse_all(payloads: DataFrame, providers: list[str] | None = None) -> DataFr
 def resolve_provider(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries (entry, provider, url) with the explicit provider, or else the first rule (pos, id, pattern) that
     fits the url.  ``rules`` is the list of providers."""
-    hit = entries.join(F.broadcast(rules.select("pos", "id", "pattern")), F.coalesce("url", F.lit("")).rlike(F.col("pattern"))).groupBy("entry").agg(F.min_by("id", "pos").alias("_p"))
+    hit = entries.join(F.broadcast(rules.select("pos", "id", "pattern")), F.rlike(F.coalesce("url", F.lit("")), F.col("pattern"))).groupBy("entry").agg(F.min_by("id", "pos").alias("_p"))
     return entries.join(hit, "entry", "left").withColumn("provider", F.coalesce(F.nullif("provider", F.lit("")), "_p")).drop("_p")
