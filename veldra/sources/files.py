@@ -205,3 +205,19 @@ def digest_lines(digest: DataFrame) -> Iterator[str]:
             section = r["section"]
             yield f"## {section}"
         yield f"- {r['company']}｜{r['project_id']}｜{r['deadline'] or '待确认'}"
+
+
+#: Columns of the scan runs' table.
+RUN_COLUMNS = ["companies", "boards", "found", "title", "tier", "location", "age", "salary", "content", "cooldown", "seen", "added", "errors"]
+
+
+def run_summary(staged: DataFrame, timestamp: str, companies: int, boards: int, errors: int = 0) -> DataFrame:
+    """One row of counters of a scan, from its postings' stages."""
+    n = {c: F.count_if(F.col("stage") == c) for c in RUN_COLUMNS if c not in ("companies", "boards", "found", "seen", "errors")}
+    n |= {"companies": F.lit(companies), "boards": F.lit(boards), "found": F.count("*"), "seen": F.count_if(F.col("stage").isin("seen_url", "seen_role")), "errors": F.lit(errors)}
+    return staged.agg(*(n[c].alias(c) for c in RUN_COLUMNS)).select(F.lit(timestamp).alias("timestamp"), F.lit("completed").alias("status"), *RUN_COLUMNS)
+
+
+def append_runs(summary: DataFrame, path: str) -> None:
+    """Append-only."""
+    summary.write.mode("append").option("sep", "\t").option("header", True).csv(path)
