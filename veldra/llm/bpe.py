@@ -7,6 +7,7 @@ Words that it lacks are merged exactly as the merge list says.  Ids never depend
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import mmap
@@ -17,6 +18,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -29,7 +31,7 @@ from veldra.llm.common import materialize, small_batches
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
 #: Distinct strings that a worker remembers before it forgets those that it hasn't met since as many others.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Distinct strings that are counted before the counts are passed on.
 COUNTED = 250_000
 
@@ -38,9 +40,13 @@ _LIVE: dict[str, "Tokenizer"] = {}
 
 #: What the tokenizer file's patterns mean.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES = re.compile(f"[{_SPACE}]+")
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PIECES = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same for texts of ASCII, and of ASCII and Latin letters, which the plain engine splits faster.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_ASCII_PIECES = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_LATIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
+_LATIN_PIECES = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 
 
 def byte_chars() -> list[str]:
@@ -151,6 +157,18 @@ class Automaton:
         return state, rank
 
 
+@contextmanager
+def without_cycles():
+    """No search for cycles meanwhile: there are none, and it would walk all that is remembered again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def mapped(blob: bytes) -> mmap.mmap:
     """``blob`` from a file without a name that is mapped into memory."""
     with tempfile.TemporaryFile() as f:
@@ -180,7 +198,6 @@ class Tokenizer:
         self.lexicon = lexicon
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def read(path: str) -> dict:
@@ -195,16 +212,9 @@ class Tokenizer:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Strings between white space of a normal text."""
-        # Python's own split also takes the four separators 1C to 1F for space
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [x for x in _SPACES.split(text) if x]
-        return text.split()
-
-    @staticmethod
-    def pieces(chunk: str) -> list[str]:
-        return (_ASCII_PIECES if chunk.isascii() else _PIECES).findall(chunk)
+    def pieces(text: str) -> list[str]:
+        """Pieces of a normal text, white space dropped."""
+        return (_ASCII_PIECES if text.isascii() else _LATIN_PIECES if _LATIN.fullmatch(text) else _PIECES).findall(text)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair of the lowest rank, the leftmost of these, is merged until none is left."""
@@ -250,40 +260,27 @@ class Tokenizer:
         return [i for i in ids if i is not None]
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
-        got = self.parts.get(piece)
+        """Ids of a piece that isn't among those met lately."""
+        got = self.before.get(piece)
         if got is None:
             word = piece.encode("utf-8", "replace")
             found = self.lexicon.find(word) if self.lexicon and len(word) <= _LONG else None
             got = tuple(self.merge(word) if found is None else found)
-            if len(piece) <= _LONG:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts = {}
-                self.parts[piece] = got
-        return got
-
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a string without white space that isn't among those met lately."""
-        got = self.before.get(chunk)
-        if got is None:
-            pieces = self.pieces(chunk)
-            got = self.piece_ids(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.piece_ids, pieces)))
-        if len(chunk) <= _LONG:
+        if len(piece) <= _LONG:
             if len(self.known) >= REMEMBERED:
                 self.known, self.before = {}, self.known
-            self.known[chunk] = got
+            self.known[piece] = got
         return got
 
     def text_ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        other = self.chunk_ids
-        get = self.known.get
-        for chunk in self.chunks(self.normal(text)):
-            got = get(chunk)
-            if got is None:
-                got = other(chunk)
-                get = self.known.get
-            out += got
-        return out
+        pieces = self.pieces(self.normal(text))
+        parts = list(map(self.known.get, pieces))
+        k = -1
+        for _ in range(parts.count(None)):
+            k = parts.index(None, k + 1)
+            # a piece that the same text has again is known by now
+            parts[k] = self.known.get(pieces[k]) or self.piece_ids(pieces[k])
+        return list(chain.from_iterable(parts))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -309,25 +306,23 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
     def counted(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        strings: Counter = Counter()
+        words: Counter = Counter()
 
         def flushed():
-            words: Counter = Counter()
-            for chunk, n in strings.items():
-                if len(chunk) <= _LONG:
-                    for w in Tokenizer.pieces(chunk):
-                        words[w] += n
-            strings.clear()
-            return pd.DataFrame({"word": pd.Series(list(words.keys()), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
-
-        for batch in batches:
-            for text in batch["t"]:
-                if text:
-                    strings.update(Tokenizer.chunks(Tokenizer.normal(text)))
-                if len(strings) > COUNTED:
-                    yield flushed()
-        if strings:
-            yield flushed()
+            # what is longer isn't looked up
+            kept = {w: n for w, n in words.items() if len(w) <= _LONG}
+            words.clear()
+            return pd.DataFrame({"word": pd.Series(list(kept.keys()), dtype=object), "n": pd.Series(list(kept.values()), dtype="int64")})
+
+        with without_cycles():
+            for batch in batches:
+                for text in batch["t"]:
+                    if text:
+                        words.update(Tokenizer.pieces(Tokenizer.normal(text)))
+                    if len(words) > COUNTED:
+                        yield flushed()
+            if words:
+                yield flushed()
 
     counts = docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # the least count that few enough words reach is found from the number of words of each count, so that no more
@@ -377,13 +372,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon
             text, blob = sent.value
             _LIVE.clear()
             own = _LIVE[job] = Tokenizer(json.loads(text), Automaton(mapped(blob)))
-        for batch in batches:
-            ids = [own.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1])))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            columns = [*batch.columns[:-1], lists, pa.array([own.decode(x) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        with without_cycles():
+            for batch in batches:
+                ids = [own.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = pa.array(np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1])))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                columns = [*batch.columns[:-1], lists, pa.array([own.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(encoded, schema)
 
