@@ -31,7 +31,7 @@ from veldra.llm.common import materialize, small_batches
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
 #: Distinct strings that a worker remembers before it forgets those that it hasn't met since as many others.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Distinct strings that are counted before the counts are passed on.
 COUNTED = 250_000
 
