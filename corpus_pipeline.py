@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veldra.llm import bpe, decontam, lines, quality, simhash
-from veldra.llm.common import materialize, table
+from veldra.llm.common import discard, materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            discard(before)
     return docs

@@ -52,7 +52,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/veldra/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for a table that nothing will read again."""
+    where = getattr(df, "_scratch", None)
+    if where:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forest(pairs) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, small_batches
+from veldra.llm.common import discard, materialize, small_batches
 
 WORDS = 10
 #: Test strings that one pass looks for at most; more are looked for in further passes over all rows.
@@ -142,13 +142,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     small_batches(spark)
     docs = docs.drop("_leak").withColumn("_leak", F.lit(None).cast("struct<n_words:bigint,hits:array<int>,items:array<string>>"))
     passes = _passes(benchmark, item_col, item_text, size)
-    now = next(passes, [])
+    # what the caller gave is the caller's
+    now, last = next(passes, []), docs
     while True:
         docs = docs.withColumn("_leak", _scanner(spark.sparkContext.broadcast(now))(F.col(text_col), F.col("_leak")))
         now = next(passes, None)
         if now is None:
             return docs
         docs = materialize(docs)
+        discard(last)  # the pass before, if it was written at all
+        last = docs
 
 
 def _scanner(items):
