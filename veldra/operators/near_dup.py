@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.functions.text import latin_key
+from veldra.operators.scratch import materialize
 
 #: Shortest text, least similarity and window in days of a cross listing.
 MIN_TEXT, THRESHOLD, WINDOW_DAYS = 200, 0.92, 90
@@ -86,7 +87,8 @@ def near_pairs(docs: DataFrame, radius: int = 5) -> DataFrame:
     Distinct fingerprints are compared, each standing for its rows by its smallest id, so that copies don't pair up;
     ``members`` tells who they stand for.
     """
-    one = docs.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("id").alias("id"))
+    # written once: fingerprints cost most, and both sides of the join read them
+    one = materialize(docs.groupBy("fingerprint").agg(F.min("id").alias("id"))).where("fingerprint <> ''")
     wide = one.withColumn("band", F.explode(bands(F.col("fingerprint"), radius + 1)))
     x, y = wide.alias("x"), wide.alias("y")
     close = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).where(distance(F.col("x.fingerprint"), F.col("y.fingerprint")) <= radius)
