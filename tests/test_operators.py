@@ -96,6 +96,12 @@ def test_band_join_equals_the_nested_loop(spark, sf):
     assert {(r.a, r.b, r.bits) for r in near_dup.near_pairs(docs).collect()} == want
 
 
+def test_members_has_a_row_of_every_document(spark):
+    a, b = "00ff00ff00ff00ff", "ffff0000ffff0000"
+    docs = spark.createDataFrame([(5, a), (3, a), (4, a), (9, b), (1, ""), (2, ""), (7, None)], "id long, fingerprint string")
+    assert sorted(tuple(r) for r in near_dup.members(docs).collect()) == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (7, 7), (9, 9)]
+
+
 def test_cross_listings(spark):
     base = "00ff00ff00ff00ff"
     near = f"{int(base, 16) ^ 0b10110:016x}"

@@ -96,9 +96,13 @@ def near_pairs(docs: DataFrame, radius: int = 5) -> DataFrame:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(id, class_id): the smallest id with the same fingerprint."""
-    least = docs.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("id").alias("class_id"))
-    return docs.join(least, "fingerprint").select("id", "class_id")
+    """(id, class_id) of every row (id, fingerprint): the smallest id with the same fingerprint; a row without a
+    fingerprint is its own class."""
+    # written once: fingerprints cost most, and both sides of the join read them
+    rows = materialize(docs.select("id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")))
+    some = rows.where("fingerprint <> ''")
+    least = some.groupBy("fingerprint").agg(F.min("id").alias("class_id"))
+    return some.join(least, "fingerprint").select("id", "class_id").unionByName(rows.where("fingerprint = ''").select("id", F.col("id").alias("class_id")))
 
 
 def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:

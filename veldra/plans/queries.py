@@ -350,6 +350,17 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(d)
 
 
+@query(f"""
+WITH {_FP},
+o AS (SELECT fp, min(doc_id) AS class_id FROM f GROUP BY fp)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN o USING (fp)
+""")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stands for it in ``near_dup_pairs``."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), near_dup.fingerprints(F.col("text")).alias("fingerprint"))
+    return near_dup.members(d).select(F.col("id").alias("doc_id"), "class_id")
+
+
 @query("""
 WITH o AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad, count(*) FILTER (quality = 0) AS junk FROM labels)
 SELECT round(good / n, 4) AS officialVerificationRate, round(bad / nullif(good, 0), 4) AS duplicateRate, round(junk / n, 4) AS falsePositiveRate, CAST(NULL AS DOUBLE) AS blockedRate FROM o
