@@ -483,6 +483,24 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_targets(i, s).select("id", F.size("targets").cast("long").alias("targets"), "target", "conflict")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS id, c_custkey // 15 AS k, c_custkey % 2 AS odd FROM customer),
+i AS (SELECT id, 'name ' || k AS name, 'd' || (k + odd) || '.com' AS domain FROM c),
+s AS (SELECT s_suppkey + 1000000000000 AS target, 'name ' || s_suppkey AS name, 'd' || s_suppkey || '.com' AS domain FROM supplier),
+m AS (SELECT id, target FROM i JOIN s ON i.name = s.name UNION SELECT id, target FROM i JOIN s ON i.domain = s.domain),
+g AS (SELECT id, count(DISTINCT target) AS n, min(target) AS t FROM m GROUP BY id)
+SELECT id, n AS targets, CASE WHEN n = 1 THEN t END AS target, n > 1 AS conflict FROM g
+""")
+def entity_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers against all suppliers, by keys that few share."""
+    none, k = F.lit(None).cast("array<string>"), F.expr("c_custkey div 15")
+    domain = lambda x: F.array(F.concat(F.lit("d"), x.cast("string"), F.lit(".com"))).alias("domains")
+    name = lambda x: F.concat(F.lit("name "), x.cast("string")).alias("name")
+    i = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name(k), domain(k + F.col("c_custkey") % 2), none.alias("aliases"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000_000).alias("id"), name(F.col("s_suppkey")), domain(F.col("s_suppkey")), none.alias("aliases"))
+    return resolve.merge_targets(i, s).select("id", F.size("targets").cast("long").alias("targets"), "target", "conflict")
+
+
 @query("""
 WITH o AS (SELECT o_custkey AS id, max(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
 n AS (SELECT o_custkey AS id, min(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 3 <> 0 GROUP BY 1)
@@ -497,6 +515,19 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("id", "name", F.col("seen").cast("date").cast("string").alias("seen"), F.col("first").cast("date").cast("string").alias("first"), F.round("v", 2).alias("v"))
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS id, max(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+n AS (SELECT o_custkey AS id, min(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(n.seen, o.seen)::DATE::VARCHAR AS seen, coalesce(o.first, n.first)::DATE::VARCHAR AS first, round(coalesce(n.v, o.v), 2) AS v FROM o FULL JOIN n ON o.id = n.id
+""")
+def upsert_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is on one of the two sides."""
+    o = table(spark, sf_dir, "orders")
+    side = lambda rows, f: rows.groupBy(F.col("o_custkey").alias("id")).agg(f("o_orderpriority").alias("name"), F.max("o_orderdate").alias("seen"), F.min("o_orderdate").alias("first"), F.sum("o_totalprice").alias("v"))
+    merged = store.upsert(side(o.where("o_orderkey % 2 = 0"), F.max), side(o.where("o_orderkey % 2 = 1"), F.min), ["id"], {"name": store.OLD, "first": store.OLD})
+    return merged.select("id", "name", F.col("seen").cast("date").cast("string").alias("seen"), F.col("first").cast("date").cast("string").alias("first"), F.round("v", 2).alias("v"))
+
+
 @query("""
 WITH e AS (SELECT c_nationkey AS company, min(c_custkey) AS by FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
 SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN e.by END AS superseded FROM supplier LEFT JOIN e ON s_nationkey = company
