@@ -45,3 +45,9 @@ def test_entity_resolution_and_upsert_read_whole_tables(spark):
     assert max(r.target for r in met if r.target) > 1_000_000_000_050 and {r.conflict for r in met} == {True, False}
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert plans.QUERIES["upsert_merge_whole"](spark, sf).count() == orders.select("o_custkey").distinct().count()
+
+
+def test_dedupe_by_whole_text_loses_no_text(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("source", "text").distinct().count()
+    assert plans.QUERIES["dedupe_whole_text"](spark, sf).count() == texts > plans.QUERIES["dedupe_richest"](spark, sf).count()

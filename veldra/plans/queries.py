@@ -245,6 +245,17 @@ def dedupe_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick.best_by(d, ["source", "k"], F.col("rich"), F.col("doc_id"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, source, sha256(text) AS k, length(text) + 50 + CASE WHEN lang = '' THEN 0 ELSE 30 END AS rich FROM documents)
+SELECT source, k, doc_id, rich FROM d QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY rich DESC, doc_id) = 1
+""")
+def dedupe_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the whole text, so that only equal texts of a source are merged."""
+    rich = pick.richness(F.col("text"), F.col("source"), F.col("lang"), F.lit(None))
+    d = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("k"), "doc_id", rich.cast("long").alias("rich"))
+    return pick.best_by(d, ["source", "k"], F.col("rich"), F.col("doc_id"))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W7"""
