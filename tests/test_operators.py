@@ -195,6 +195,25 @@ def test_merge_records(spark):
     assert (r.seenCount, r.newInRun, r.officialVerified, r.verificationStatus) == (2, False, False, "discovered")
 
 
+def test_merge_records_keeps_what_a_sparse_record_lacks(spark):
+    link = "array<struct<url:string,source:string>>"
+    names = f"id string, scope string, officialVerified boolean, verificationCheckedAt long, verificationState string, primaryUrl string, officialUrl string, organizationType string, recruitmentLinks string, graduationYears array<int>, graduationYearRaw string, audienceType string, companyRawName string, recruitmentType string, companyStandardId string, officialCandidateFound boolean, searchStatus string, ats string, redirectChain array<string>, deadlineType string, positions array<string>, sourceLinks {link}, sources array<string>, recordType string"
+    stored = ("r", "campus", True, 10, "VERIFIED", "p", "o", "private", "links", [2026], "2026", "campus", "Raw", "autumn", "c1", True, "done", "ats", ["a"], "fixed", ["dev"], [("https://liepin.com/1", "liepin")], ["liepin"], "job")
+    sparse = ("r", "social", None, None, None, None, "", "state", None, [], "", None, "Other", "spring", "c2", None, "", None, None, "", None, [("https://nowcoder.com/1", "nowcoder"), ("https://liepin.com/1", "again"), ("https://acme.com/careers/1", "acme")], None, None)
+    go = lambda a, b: store.merge_records(spark.createDataFrame([a], names), spark.createDataFrame([b], names)).head().asDict()
+    got = go(stored, sparse)
+    links = got.pop("sourceLinks")
+    assert [x.source for x in links] == got.pop("sources") == ["acme", "liepin", "nowcoder"]
+    fields = [f.split()[0] for f in names.split(", ")]
+    assert got == {n: v for n, v in zip(fields, stored, strict=True) if n not in ("sourceLinks", "sources")} | {"scope": "social"}
+    verified = sparse[:2] + (True, 11, None, "p2", "o2", "state", "new", [2027], "27", "all", *sparse[12:])
+    got = go(stored, verified)
+    assert (got["primaryUrl"], got["officialUrl"], got["recruitmentLinks"], got["graduationYears"], got["audienceType"], got["verificationState"], got["officialCandidateFound"]) == ("p2", "o2", "new", [2027], "all", None, False)
+    empty = ("r", *[None] * (len(fields) - 1))
+    got = go(empty, empty)
+    assert (got["primaryUrl"], got["audienceType"], got["deadlineType"], got["positions"], got["verificationState"], got["sourceLinks"]) == ("", "unknown", "unknown", [], "UNVERIFIED", [])
+
+
 def test_frontier(spark):
     edges = spark.createDataFrame([("s", "a", 0), ("s", "b", 1), ("s", "c", 2), ("a", "s", 0), ("a", "d", 1), ("d", "e", 0), ("b", "d", 0)], "src string, dst string, pos int")
     seeds = spark.createDataFrame([("k", "s"), ("k", "s")], "company string, url string")

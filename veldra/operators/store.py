@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from veldra.functions.urls import host, host_in, recruitment_channel
+from veldra.functions.values import first_by as first_of
+
 #: Rules of a column when a row is both stored and incoming.
 OLD, NEW = "old", "new"
 
@@ -55,6 +58,10 @@ _later = lambda x, y: F.greatest(x, y)
 _filled = lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y)
 _newer = lambda x, y: F.coalesce(F.nullif(y, F.lit("")), x)
 _longer = lambda x, y: F.when(F.length(F.coalesce(y, F.lit(""))) > F.length(F.coalesce(x, F.lit(""))), y).otherwise(x)
+_newer_or = lambda default: lambda x, y: F.coalesce(F.nullif(y, F.lit("")), F.nullif(x, F.lit("")), F.lit(default))
+_listed = lambda x, y: F.when(F.size(F.coalesce(y, F.array())) > 0, y).otherwise(F.coalesce(x, F.array()))
+_number = lambda x, y: F.nullif(F.coalesce(F.nullif(y, F.lit(0)), x), F.lit(0))
+KEEP = lambda x, y: x
 #: X11: columns of a record of the bucketed database.
 RECORD_RULES = {
     "company": _filled, "title": _filled, "location": _filled, "batchName": _filled, "projectId": _filled, "cohortYear": OLD, "firstSeenAt": OLD, "firstRunId": OLD,
@@ -63,16 +70,59 @@ RECORD_RULES = {
     "staleOrExpired": lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)),
     "seenCount": lambda x, y: F.coalesce(x, F.lit(1)) + 1,
     "newInRun": lambda x, y: F.lit(False),
+    "scope": NEW, "jobType": NEW, "lastSeenAt": prefer_new, "lastRunId": prefer_new,
+    "organizationType": lambda x, y: F.when(x == "待确认", y).otherwise(x),
+    "recruitmentLinks": prefer_new, "verification": prefer_new,
+    "recruitmentType": _filled, "companyStandardId": _filled, "companyRawName": lambda x, y: F.coalesce(_filled(x, y), F.lit("")),
+    **{c: _newer_or("") for c in ("companyCleanName", "graduationYearRaw", "searchStatus", "ats")}, "audienceType": _newer_or("unknown"), "deadlineType": _newer_or("unknown"),
+    **dict.fromkeys(("graduationYears", "redirectChain", "positions", "majors", "requirements", "campaignSources"), _listed),
+    "searchDeferredByBudgetAt": _number, "officialLinkGovernedAt": _number,
+    "positionsIncomplete": lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)),
 }
 
+#: Places of the sites in the order of a scope's records; other scopes have the last.  The order also names nowcoder,
+#: which has no domain in the reference's catalogue and so ranks with the rest.
+_SITES = {"internship": {"shixiseng.com": 50, "zhipin.com": 48, "liepin.com": 47}, "social": {"liepin.com": 50, "zhipin.com": 49, "zhaopin.com": 48}, "": {"zhipin.com": 49, "yingjiesheng.com": 48, "ncss.cn": 47}}
+
+
+def _link_rank(url: Column, scope: Column) -> Column:
+    """Official channels, then the scope's sites in their order, then the rest."""
+    h = F.regexp_replace(F.coalesce(host(url), F.lit("")), r"^www\.", "")
+    place = lambda sites: reduce(lambda out, s: F.when(host_in(h, [s[0]]), s[1]).otherwise(out), sites.items(), F.lit(1))
+    official = recruitment_channel(url)["rank"]
+    site = F.when(scope == "internship", place(_SITES["internship"])).when(scope == "social", place(_SITES["social"])).otherwise(place(_SITES[""]))
+    return F.when(official >= 3, official + 100).otherwise(site)
+
 
 def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """X11: records merged by id; a verification at least as new as the stored one decides all its columns."""
-    current = F.coalesce(F.col("n_verificationCheckedAt"), F.lit(0)) > 0
-    current &= F.coalesce(F.col("n_verificationCheckedAt"), F.lit(0)) >= F.coalesce(F.col("o_verificationCheckedAt"), F.lit(0))
-    verified = {c: (lambda x, y: F.when(current, y).otherwise(F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)))) for c in ("officialVerified", "reachable", "officialIdentityConfirmed", "campaignConfirmed")}
-    states = {c: (lambda x, y: F.when(current, y).otherwise(F.coalesce(F.nullif(x, F.lit("")), y))) for c in ("verificationStatus", "verificationReason")}
-    return upsert(old, new, ["id"], RECORD_RULES | verified | states)
+    """X11: records merged by id; a verification at least as new as the stored one decides all its columns.  A column
+    without a rule keeps its stored value."""
+    for field in old.schema:
+        if field.name not in new.columns:
+            new = new.withColumn(field.name, F.lit(None).cast(field.dataType))
+    checked = lambda side, df: F.coalesce(F.col(f"{side}_verificationCheckedAt"), F.lit(0)) if "verificationCheckedAt" in df.columns else F.lit(0)
+    current = (checked("n", new) > 0) & (checked("n", new) >= checked("o", old))
+    official = F.coalesce(F.col("n_officialVerified"), F.lit(False)) if "officialVerified" in new.columns else F.lit(False)
+    some = lambda x, y: F.coalesce(F.nullif(x, F.lit("")), F.nullif(y, F.lit("")))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    rules = {c: KEEP for c in old.columns} | RECORD_RULES
+    rules |= {c: (lambda x, y: F.when(current, yes(y)).otherwise(yes(x) | yes(y))) for c in ("officialVerified", "reachable", "officialCandidateFound", "officialIdentityConfirmed", "campaignConfirmed")}
+    rules |= {c: (lambda x, y: F.when(current | official, y).otherwise(some(x, y))) for c in ("verificationStatus", "verificationReason")}
+    rules["verificationState"] = lambda x, y: F.when(current, y).when(official, F.coalesce(F.nullif(y, F.lit("")), F.lit("VERIFIED"))).otherwise(F.coalesce(some(x, y), F.lit("UNVERIFIED")))
+    rules["applicationActive"] = lambda x, y: F.when(current, y).otherwise(F.coalesce(y, x))
+    rules["primaryUrl"] = lambda x, y: F.coalesce(F.when(official, some(y, x)).otherwise(some(x, y)), F.lit(""))
+    rules["officialUrl"] = lambda x, y: F.when(official, some(y, x)).otherwise(some(x, y))
+    if "sourceLinks" in old.columns:
+        scope = F.coalesce(F.col("n_scope"), F.lit("")) if "scope" in new.columns else F.lit("")
+
+        def links(x: Column, y: Column) -> Column:
+            both = F.filter(F.concat(F.coalesce(x, F.slice(y, 1, 0)), F.coalesce(y, F.slice(x, 1, 0))), lambda l: F.coalesce(l["url"], F.lit("")) != "")
+            ranked = F.transform(first_of(both, "url"), lambda l, i: F.struct((-_link_rank(l["url"], scope)).alias("r"), i.alias("i"), l.alias("l")))
+            return F.coalesce(F.transform(F.array_sort(ranked), lambda l: l["l"]), F.array())
+
+        rules["sourceLinks"] = links
+        rules["sources"] = lambda x, y: F.array_distinct(F.filter(F.transform(links(F.col("o_sourceLinks"), F.col("n_sourceLinks")), lambda l: l["source"]), lambda v: F.coalesce(v, F.lit("")) != ""))
+    return upsert(old, new, ["id"], rules)
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
