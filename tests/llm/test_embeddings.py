@@ -72,3 +72,20 @@ def test_repeated_rows_and_null_ids(spark):
 def test_only_one_dimension_of_pivots(spark):
     rows = [(i, [float(i + 1)], 0) for i in range(5)]
     assert check(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("lengths", [1, 16])
+def test_two_lengths_with_many_pivots(spark, monkeypatch, lengths):
+    monkeypatch.setattr(embeddings, "LENGTHS", lengths)
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    rows = []
+    for size, groups in ((32, 30), (16, 15)):
+        for _ in range(groups):
+            x = rng.normal(size=size)
+            rows += [(len(rows) + k, (x + rng.normal(size=size) * 0.05).astype("f4").tolist(), 1) for k in range(5)]
+    got, want = check(spark, rows), brute(rows)
+    for size in (32, 16):
+        ids = [i for i, v, _ in rows if len(v) == size]
+        found, true = sum(got[i][0] for i in ids), sum(want[i][0] for i in ids)
+        assert true > 200 and 0.98 * true <= found <= true

@@ -25,6 +25,8 @@ SHARED = 3
 #: Vectors the pivots are chosen from, and the cosine that no two pivots exceed: a group of near copies in the sample
 #: gives one pivot.
 PIVOT_SAMPLE, PIVOT_COSINE = 4096, 0.7
+#: Lengths of vectors that have pivots: the ones with most vectors.  Vectors of other lengths are compared with all.
+LENGTHS = 16
 #: Members of an inverted list beyond which it is split into blocks, each asked by all that ask the list.
 BLOCK = 1024
 
@@ -34,15 +36,14 @@ def _finite(x):
 
 
 def pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """At most ``n`` unit vectors, no two close, drawn in hash order from a bounded sample of the distinct vectors."""
+    """At most ``n`` unit vectors, no two close, drawn in hash order from a bounded sample of the distinct vectors, which
+    have one length."""
     rows = vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(PIVOT_SAMPLE).collect()
     sample = [np.asarray(r["v"], dtype=np.float64) for r in rows]
     sample = [x / np.linalg.norm(x) for x in sample]
-    sizes = [len(x) for x in sample]
-    common = max(set(sizes), key=sizes.count)
     chosen: list[np.ndarray] = []
     for x in sample:
-        if len(x) == common and (not chosen or np.max(np.stack(chosen) @ x) <= PIVOT_COSINE):
+        if not chosen or np.max(np.stack(chosen) @ x) <= PIVOT_COSINE:
             chosen.append(x)
             if len(chosen) == n:
                 break
@@ -64,13 +65,13 @@ def near(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     good &= F.forall("v", _finite) & F.exists("v", lambda x: x != 0)
     e = materialize(e.withColumn("good", F.coalesce(good, F.lit(False))))
     classes = materialize(e.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
-    size = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("l")).head()
+    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("l")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
     alone = e.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not size["n"]:
+    if not sizes:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
     # about eight vectors to a list, as far as bounded pivots can give it
-    wanted = min(1024, max(32, math.ceil(math.sqrt(size["n"] / 4 / max(1, size["l"])))))
-    sent = spark.sparkContext.broadcast(pivots(classes, wanted))
+    wanted = {r["d"]: min(1024, max(32, math.ceil(math.sqrt(r["n"] / 4 / max(1, r["l"]))))) for r in sizes}
+    sent = spark.sparkContext.broadcast({d: pivots(classes.where(F.size("v") == d), n) for d, n in wanted.items()})
     label = classes.schema["label"].dataType.simpleString()
     posts = classes.select("rep", "m", "label", "v").mapInPandas(_posts(sent), f"rep long, m long, label {label}, v array<double>, dim int, near array<int>, home int, asks array<int>")
     posts = materialize(posts)
@@ -101,27 +102,29 @@ def _single(embeddings: DataFrame, vector_col: str) -> bool:
 
 def _posts(sent):
     def posts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = sent.value
-        p = len(at)
         for whole in batches:
             for start in range(0, len(whole), 2000):
                 b = whole.iloc[start : start + 2000].reset_index(drop=True)
-                dims = b["v"].map(len)
-                b["dim"] = dims.astype("int32")
-                near = np.zeros((len(b), min(PREFIX, p)), dtype=np.int32)
-                ok = (dims == at.shape[1]).to_numpy()
-                if ok.any():
-                    x = np.stack(b["v"][ok].to_list())
-                    near[ok] = np.argsort(-(x @ at.T) / np.linalg.norm(x, axis=1)[:, None], axis=1, kind="stable")[:, : near.shape[1]]
-                b["near"] = list(near)
-                if near.shape[1] < 2:
-                    keys = np.zeros((len(b), 1), dtype=np.int32)
-                else:
-                    i, j = np.triu_indices(near.shape[1], 1)  # the first is the pair of the two nearest
-                    keys = np.minimum(near[:, i], near[:, j]) * p + np.maximum(near[:, i], near[:, j])
-                    keys[~ok] = 0
-                b["home"] = keys[:, 0]
-                b["asks"] = [np.unique(k) for k in keys]
+                b["dim"] = b["v"].map(len).astype("int32")
+                home = np.zeros(len(b), dtype=np.int32)
+                nearest: list = [None] * len(b)
+                asks: list = [None] * len(b)
+                for d, at_rows in b.groupby("dim").indices.items():
+                    at = sent.value.get(int(d))
+                    p = 0 if at is None else len(at)
+                    near = np.zeros((len(at_rows), min(PREFIX, p)), dtype=np.int32)
+                    if p:
+                        x = np.stack(b["v"].iloc[at_rows].to_list())
+                        near[:] = np.argsort(-(x @ at.T) / np.linalg.norm(x, axis=1)[:, None], axis=1, kind="stable")[:, : near.shape[1]]
+                    if near.shape[1] < 2:
+                        keys = np.zeros((len(at_rows), 1), dtype=np.int32)
+                    else:
+                        i, j = np.triu_indices(near.shape[1], 1)  # the first is the pair of the two nearest
+                        keys = np.minimum(near[:, i], near[:, j]) * p + np.maximum(near[:, i], near[:, j])
+                    home[at_rows] = keys[:, 0]
+                    for r, own, k in zip(at_rows, near, keys, strict=True):
+                        nearest[r], asks[r] = own, np.unique(k)
+                b["near"], b["home"], b["asks"] = nearest, home, asks
                 yield b[["rep", "m", "label", "v", "dim", "near", "home", "asks"]]
 
     return posts
@@ -151,7 +154,7 @@ def _compared(threshold: float):
             rep, m = g["rep"].to_numpy(), g["m"].to_numpy()
             members = np.nonzero(here)[0]
             homes = np.sort(near[:, :2], axis=1)
-            p = int(near.max()) + 1
+            p = int(near.max()) + 1 if near.size else 0
             bits = np.zeros((len(g), p), dtype=np.float32)
             np.put_along_axis(bits, near.astype(np.int64), 1, axis=1)
             for start in range(0, len(g), 2048):
