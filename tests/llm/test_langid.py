@@ -43,3 +43,10 @@ def test_odd_rows(odd, none):
     assert by[0].lang_pred == "en" and math.isclose(by[0].score, by[4].score) and all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(none).count() == 0
     assert {r.lang_pred for r in langid.identify(odd.drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_all_languages_and_long_runs_are_learned(spark):
+    rows = [(i, "".join(chr(97 + (i // 8 * 7 + k) % 26) for k in range(5)), f"l{i // 8:03}") for i in range(8 * 205)]
+    rows += [(9000 + i, "xyz" * 40, "run") for i in range(20)]
+    counts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(counts) == 206 and counts["run"]["xyz" * 40] > 0

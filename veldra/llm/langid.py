@@ -25,15 +25,12 @@ from veldra.llm.common import fold, small_batches
 ORDER = 4
 #: Documents of each language whose words the trees grow from (in expectation), drawn by a hash of the text.
 FIT_DOCUMENTS = 400
-#: Languages that may have a tree: the ones with most documents.
-LANGUAGES = 200
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _END = b" "
-_LONG = 64
 
 
 def words(text: str | None) -> list[str]:
@@ -168,22 +165,23 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counter]:
     """Word counts of a bounded sample of each language's documents that aren't held out; null languages don't count.
 
-    About ``FIT_DOCUMENTS`` documents of each of the ``LANGUAGES`` languages with most documents, chosen by a hash of
-    the text; words are counted on the executors.
+    About ``FIT_DOCUMENTS`` documents of each language, chosen by a hash of the text; words of any length are counted,
+    on the executors.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), fold(id_col, FOLDS).alias("f")).where(f"lang is not null and f <> {HELD_OUT} and t is not null")
-    n = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    n = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not n:
         return {}
-    share = F.create_map(*(x for r in n for x in (F.lit(r["lang"]), F.lit(int(min(1.0, FIT_DOCUMENTS / r["n"]) * (1 << 30))))))
-    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share[F.col("lang")])
+    share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, FIT_DOCUMENTS / r["n"]) * (1 << 30))) for r in n], "lang string, share long")
+    # a row for each language
+    sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("share"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["t"]:
                 found: Counter = Counter()
                 for t in texts:
-                    found.update(w for w in words(t) if len(w) <= _LONG)
+                    found.update(words(t))
                 if found:
                     yield pd.DataFrame({"lang": lang, "word": list(found.keys()), "n": list(found.values())})
 
