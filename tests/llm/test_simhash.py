@@ -90,8 +90,48 @@ def test_any_two_within_the_radius_share_a_band():
             assert any(x & m == y & m for m in masks)
 
 
+def test_blocks_are_abandoned_one_by_one():
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 1 << 63, 64 * 40, dtype=np.uint64)
+    values[65] = values[3] ^ np.uint64(5)  # a close pair in the blocks 0 and 1
+    i, j = np.triu_indices(40, 1)
+    work = []
+    found = [(int(a), int(b)) for x, y in simhash.near_pairs(values, i, j, 4, work) for a, b in zip(x, y, strict=True)]
+    assert (3, 65) in found
+    batches = -(-len(i) // 512)
+    # the pair's blocks are counted to the end and nearly all others left long before
+    assert len(work) > 64 and work[63] < 20 and sum(work) < 0.75 * 64 * len(i) and batches == 2
+
+
 def test_keep_one(spark, odd, none):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [0, 1, 3, 6]
     assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a, b = "one text of some words that are its own", "quite another page about something else here"
+    rows = [(5, a), (5, b), (2, b), (7, None), (7, ""), (None, a), (None, "third text with words of no other one"), (None, "third text with words of no other one")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _gone string, _id string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    want = [(5, a), (2, b), (7, ""), (None, "third text with words of no other one")]
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    r = random.Random(9)
+    rows = make(4, 60)
+    rows = [(r.choice([None, r.randrange(40)]), t) for _, t in rows] + rows[:30] + rows[:10]
+    rows = [(i, t if r.random() < 0.95 else None) for i, t in rows]
+    groups = {}
+    for k, (_, _, c) in enumerate(brute_components([(k, t) for k, (_, t) in enumerate(rows)])):
+        groups.setdefault(c, 0)
+    got = [(x.doc_id, x.text) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(groups)
+    kept = {simhash.fingerprint(t) for _, t in got}
+    by = {}
+    for _, f, c in brute_components([(k, t) for k, (_, t) in enumerate(rows)]):
+        by.setdefault(c, set()).add(int(f, 16))
+    assert all(len(own & kept) == 1 for own in by.values())

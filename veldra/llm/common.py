@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,28 +22,47 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, longer by as many underscores as it takes to be none of the columns ``taken`` (in any case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 #: Rows that Python workers get at once: texts may be long, and a batch is held by Spark and by the worker.
 BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the batches between Spark and its Python workers small, for plans made from now on."""
+    """Keep the batches between Spark and its Python workers small.
+
+    Spark reads the setting when it plans an action, and the operators return plans, so it has to stay lowered in the
+    caller's session; a setting that is lower already is left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Folder of each application that has no ``spark.checkpoint.dir``.
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where it is unset (tests, a single machine) a temporary folder takes its place.
+    Only where it is unset (tests, a single machine) a temporary folder takes its place; the session's settings stay
+    as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="veldra-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="veldra-")
+        root = _OWN[app]
     return root.rstrip("/")
 
 
@@ -57,12 +77,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for a table that nothing will read again."""
-    where = getattr(df, "_scratch", None)
-    if where:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing will read again; other tables are left alone."""
+    for df in tables:
+        where = getattr(df, "_scratch", None)
+        if where:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forest(pairs) -> list[tuple[int, int]]:
@@ -101,8 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for the nodes of ``edges`` (columns a, b: long); root is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each contracted within its partitions first; every round is
-    written to the shared folder.  No group of edges is gathered in one task: minima are partial aggregates and
-    the joins on a node are ones that adaptive execution may split.
+    written to the shared folder, and the round before it is deleted.  No group of edges is gathered in one task:
+    minima are partial aggregates and the joins on a node are ones that adaptive execution may split.  ``discard``
+    deletes what the result reads.
     """
     now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = materialize(now.mapInPandas(_contract, "a long, b long").distinct())
@@ -117,8 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(new.mapInPandas(_contract, "a long, b long").distinct())
+        discard(now)
         # done when every node has one root and no root is itself below another
         if new.groupBy("a").count().where("count > 1").isEmpty() and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             roots = new.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+            out = new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+            out._scratch = new._scratch
+            return out
         now = new

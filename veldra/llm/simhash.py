@@ -2,7 +2,7 @@
 
 Distinct fingerprints meet in bands that any two within the radius must share.  Within a band the bit planes of
 64 fingerprints at a time stand in one machine word; a carry-save counter adds the differing planes for 64 pairs
-at once, and a batch of blocks is abandoned once every pair in it exceeds the radius.
+at once, and a block is abandoned once every pair in it exceeds the radius.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import components, forest, materialize, small_batches
+from veldra.llm.common import components, discard, forest, fresh, materialize, small_batches
 
 RADIUS = 4
 SHINGLE = 4
@@ -61,10 +61,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS, work: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of the pairs of ``values`` (uint64) within ``radius``.
 
-    ``left`` and ``right`` list pairs of blocks: block b holds the 64 values from 64 * b on.
+    ``left`` and ``right`` list pairs of blocks: block b holds the 64 values from 64 * b on.  Every few bits the pairs
+    of blocks in which no pair is left within the radius are taken out.  ``work`` is given the number of pairs of
+    blocks that each bit was counted for.
     """
     n = len(values)
     padded = np.zeros(-(-n // 64) * 64, dtype=np.uint64)
@@ -82,20 +84,24 @@ def near_pairs(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius:
     need = max(1, (radius + 1).bit_length())
     for at in range(0, len(left), _BLOCKS_AT_ONCE):
         a, b = left[at : at + _BLOCKS_AT_ONCE], right[at : at + _BLOCKS_AT_ONCE]
-        live = np.where((a == b)[:, None], later[None, :], full) & exists[b][:, None]
+        over = ~(np.where((a == b)[:, None], later[None, :], full) & exists[b][:, None])
         # a query beyond the end asks nothing
-        live &= np.where((exists[a][:, None] >> lane[None, :]) & np.uint64(1), full, np.uint64(0))
-        count = [np.zeros_like(live) for _ in range(need)]
-        over = ~live
+        over |= np.where((exists[a][:, None] >> lane[None, :]) & np.uint64(1), np.uint64(0), full)
+        count = [np.zeros_like(over) for _ in range(need)]
         for bit in range(64):
+            if work is not None:
+                work.append(len(a))
             carry = asks[bit][a] ^ planes[bit][b][:, None]
             for c in count:
                 c ^= carry
                 carry &= ~c  # the carry of a half adder: what was set before and is not now
             over |= carry
             if bit % 4 == 3 and bit > radius:
-                if (over | _exceeds(count, radius) == full).all():
+                live = ((over | _exceeds(count, radius)) != full).any(axis=1)
+                if not live.any():
                     break
+                if live.mean() < 0.9:
+                    a, b, over, count = a[live], b[live], over[live], [c[live] for c in count]
         else:
             found = ~(over | _exceeds(count, radius))
             p, q = np.nonzero(found)
@@ -191,6 +197,7 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("band", "key"))
     large = materialize(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > PART))
     if large.isEmpty():
+        discard(large)
         parted = keyed.withColumn("part", F.lit(0))
     else:
         # a large band is cut into s parts by hash; each member goes to the groups of its part with every part
@@ -202,6 +209,18 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.select("band", "key", "part", "fp").mapInPandas(_compared(radius), "a long, b long")
 
 
+def _grouped(marked: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, least): the smallest ``least`` of each group, for the fingerprints ``fp`` that are in one with others or
+    that several rows of ``marked`` have.  Only distinct fingerprints are compared."""
+    fps = materialize(marked.groupBy("fp").agg(F.min(least).alias("first"), F.count("*").alias("n")))
+    groups = components(link(fps.select("fp"), radius))
+    rooted = fps.join(groups, F.col("fp") == F.col("node"), "left").where("n > 1 or node is not null").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    known = materialize(rooted.join(best, "root").select("fp", "least"))
+    discard(fps, groups)
+    return known
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id; other columns are dropped.
 
@@ -213,12 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     marked = materialize(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col).cast("string")).alias("fp")))
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    groups = components(link(fps.select("fp"), radius))
-    rooted = fps.join(groups, F.col("fp") == F.col("node"), "left").where("n > 1 or node is not null").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = materialize(rooted.join(least, "root").select("fp", "component_id"))
-    return marked.join(known, "fp", "left").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = _grouped(marked, F.col("doc_id"), radius)
+    return marked.join(known, "fp", "left").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def hexadecimal(x: Column) -> Column:
@@ -226,14 +241,28 @@ def hexadecimal(x: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id.
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id, and its own columns.
 
-    Rows with a null id stay (nothing tells them apart); of rows with the same id and component one stays.
+    A row is told by its id and 128 bits of its text, so rows of one id and different texts are rows of their own.  A
+    null id is greater than all others; of equal ids the text's bits decide, and of rows that are alike in both one
+    stays.  Whatever else is equal or null, each group keeps one row.  An empty table gives no rows.
     """
-    groups = materialize(near_duplicates(docs, radius=radius).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    # the rejected ids grow with the documents and are never broadcast, however few they are today
-    left = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
-    if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    small_batches(docs.sparkSession)
+    names = {n: fresh(f"_{n}", docs.columns) for n in ("id", "a", "b")}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = [F.col("doc_id").alias(names["id"]), F.xxhash64(text).alias(names["a"]), F.xxhash64(F.lit(1), text).alias(names["b"])]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    marked = materialize(docs.select(F.col("doc_id"), told[1].alias("a"), told[2].alias("b"), _fingerprints(F.col("text").cast("string")).alias("fp")))
+    known = _grouped(marked, row, radius)
+    inside = materialize(marked.join(known, "fp").select("doc_id", "a", "b", row.eqNullSafe(F.col("least")).alias("stays")).groupBy("doc_id", "a", "b", "stays").agg(F.count("*").alias("n")))
+    gone = inside.where("not stays").select(F.col("doc_id").alias(names["id"]), F.col("a").alias(names["a"]), F.col("b").alias(names["b"]))
+    same = lambda df: F.col("doc_id").eqNullSafe(df[names["id"]]) & (told[1] == df[names["a"]]) & (told[2] == df[names["b"]])
+    # the rejected rows grow with the documents and are never broadcast, however few they are today
+    left = docs.join(gone.hint("merge"), same(gone), "left_anti")
+    again = inside.where("stays and n > 1").select(F.col("doc_id").alias(names["id"]), F.col("a").alias(names["a"]), F.col("b").alias(names["b"]))
+    discard(marked, known)
+    if again.isEmpty():
         return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # rows alike in id and text that stay: one of each
+    alone, alike = left.join(again.hint("merge"), same(again), "left_anti"), left.join(again.hint("merge"), same(again), "left_semi")
+    return alone.unionByName(alike.select("*", *told).dropDuplicates(list(names.values())).drop(*names.values()))
