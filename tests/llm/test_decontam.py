@@ -15,9 +15,9 @@ def brute(docs, items, size=10):
     wins = {}
     for i, t in items:
         w = words(t)
-        if i is not None and w:
+        if w:
             for k in range(max(1, len(w) - size + 1)):
-                wins.setdefault(tuple(w[k : k + size]), set()).add(str(i))
+                wins.setdefault(tuple(w[k : k + size]), set()).add(None if i is None else str(i))
     out = []
     for i, t in docs:
         w, hit, own = words(t), set(), set()
@@ -26,7 +26,7 @@ def brute(docs, items, size=10):
                 if (g := tuple(w[k : k + size_])) in wins:
                     hit |= set(range(k, k + size_))
                     own |= wins[g]
-        out.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
+        out.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
@@ -45,15 +45,33 @@ def make(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, limit in ((1, 40_000), (2, 12)):
+    for seed, limit, size in ((1, 40_000, 1 << 25), (2, 12, 1 << 25), (3, 50, 200)):
         monkeypatch.setattr(decontam, "STRINGS_PER_PASS", limit)
+        monkeypatch.setattr(decontam, "GATHERED", size)
         docs, items = make(seed)
         d = spark.createDataFrame([(*x, "l") for x in docs], "doc_id long, text string, _leak string")
         b = spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, doc_id string")
         got = sorted((tuple(r) for r in decontam.report(d, b).collect()), key=str)
         assert got == brute(docs, items)
-        kept = decontam.drop_contaminated(d.select("doc_id", "text"), b)
-        assert kept.columns == ["doc_id", "text"] and kept.count() == sum(not r[-1] for r in got)
+        kept = decontam.drop_contaminated(d, b)
+        assert kept.columns == d.columns and kept.count() == sum(not r[-1] for r in got)
+        assert {r._leak for r in kept.collect()} == {"l"}
+
+
+def test_an_item_without_an_id_hits_as_the_sql_says(spark):
+    import duckdb
+
+    from veldra.llm.queries import OP10
+
+    docs, items = make(5)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+    docs = [(k, t) for k, (_, t) in enumerate(docs)] + [(900, "x the of y")]
+    db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {r[0]: r for r in db.execute(OP10).fetchall()}
+    assert {r.doc_id: tuple(r) for r in got} == want and want[900][2] >= 2
 
 
 def test_search_against_find():

@@ -20,6 +20,25 @@ def test_against_brute_force(spark):
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute(rows, ratio, least), key=str)
 
 
+def test_clashing_names(spark):
+    rows = [(i, f"menu\nbody {i}", "a", "1", "2", "3", "4") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _host string, _LINES string, _bad string, _common string")
+    got = lines.clean_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"body {i}", "a", "1", "2", "3", "4") for i in range(9)]
+
+
+def test_query_and_sql_agree_on_nulls_and_repeated_rows(spark):
+    import duckdb
+
+    rows = [(i % 7, f"menu\nbody {i}\n\n menu ", "a") for i in range(20)] + [(30, None, "a"), (30, None, None), (31, "", None), (32, "menu", None), (32, "menu", None), (32, "menu", None)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert sorted((tuple(r) for r in got), key=str) == sorted(db.execute(lines.ORACLE).fetchall(), key=str)
+
+
 def test_no_python_in_the_plan(spark, odd):
     plan = lines.clean_documents(odd)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import discard, materialize, small_batches
+from veldra.llm.common import fresh, small_batches
 
 WORDS = 10
-#: Test strings that one pass looks for at most; more are looked for in further passes over all rows.
+#: Test strings that are compiled into one set of tables; a task goes through its texts once for each set.
 STRINGS_PER_PASS = 40_000
+#: Characters of text that a task gathers to go through them with more than one set.
+GATHERED = 32 << 20
 
 #: ASCII letters in lower case, digits and all bytes over 0x7F are word characters; the rest separates.
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -69,9 +71,9 @@ class WuManber:
             at += 1
 
 
-def compile_strings(items: list[tuple[str, list[bytes]]]) -> list[WuManber]:
+def compile_strings(items: list[tuple[str | None, list[bytes]]]) -> list[WuManber]:
     """Short and long strings apart, so that a short one doesn't shorten the shifts of all."""
-    owners: dict[bytes, list[str]] = {}
+    owners: dict[bytes, list[str | None]] = {}
     for item, strings in items:
         for s in strings:
             owners.setdefault(s, []).append(item)
@@ -81,14 +83,14 @@ def compile_strings(items: list[tuple[str, list[bytes]]]) -> list[WuManber]:
     return [WuManber(g) for g in groups.values()]
 
 
-def scan(text: str | None, searches: list[WuManber]) -> tuple[int, list[int], list[str]]:
+def scan(text: str | None, searches: list[WuManber]) -> tuple[int, list[int], set[str | None]]:
     """Number of words, hit words as merged (first, end) intervals laid flat, and the items found."""
     w = words(text)
     if not w:
-        return 0, [], []
+        return 0, [], set()
     line = b" " + b" ".join(w) + b" "
     found: list[tuple[int, int]] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     for search in searches:
         word = seen = 0
         for start, s, owners in search.find(line):
@@ -96,7 +98,7 @@ def scan(text: str | None, searches: list[WuManber]) -> tuple[int, list[int], li
             seen = start
             found.append((word, word + s.count(b" ") - 1))
             items.update(owners)
-    return len(w), merged(found), sorted(items)
+    return len(w), merged(found), items
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[int]:
@@ -109,15 +111,13 @@ def merged(intervals: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The benchmark's strings, at most ``STRINGS_PER_PASS`` at a time, drawn partition by partition.
 
-    An item of more windows than that fills passes of its own."""
+    An item of more windows than that fills sets of its own."""
     batch, n = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for row in rows.toLocalIterator():
-        if row["i"] is None:
-            continue
         strings = list(dict.fromkeys(windows(row["t"], size)))
         for k in range(0, len(strings), STRINGS_PER_PASS):
             part = strings[k : k + STRINGS_PER_PASS]
@@ -130,49 +130,60 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
         yield batch
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WORDS) -> DataFrame:
-    """``docs`` with ``_leak`` struct<n_words long, hits array<int>, items array<string>> in place of any such column.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WORDS, name: str = "_leak") -> DataFrame:
+    """``docs`` with a struct<n_words long, hits array<int>, n_items long, items array<string>> in place of any column ``name``.
 
-    hits holds merged (first, end) word positions; items the ids, sorted as strings, of the items of which a window
-    occurs.  A null or empty text has no words, an item without words or with a null id never occurs, and an empty
-    benchmark hits nothing.  Rows are scanned one by one, whole, whatever they repeat.  The benchmark is looked for in
-    passes of bounded size; each pass broadcasts its strings and the tables are rebuilt by every task.
+    hits holds merged (first, end) word positions; n_items counts the items of which a window occurs, those with a null
+    id as one; items are their ids, sorted as strings, without the null.  A null or empty text has no words, an item
+    without words never occurs, and an empty benchmark hits nothing.  Rows are scanned one by one, whole, whatever they
+    repeat, and nothing is shuffled or written.  The benchmark goes to the executors as sets of bounded size, each a
+    broadcast of its own; where there are several, a task gathers rows of ``GATHERED`` characters, compiles one set
+    after the other and goes through them with each.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("_leak").withColumn("_leak", F.lit(None).cast("struct<n_words:bigint,hits:array<int>,items:array<string>>"))
-    passes = _passes(benchmark, item_col, item_text, size)
-    # what the caller gave is the caller's
-    now, last = next(passes, []), docs
-    while True:
-        docs = docs.withColumn("_leak", _scanner(spark.sparkContext.broadcast(now))(F.col(text_col), F.col("_leak")))
-        now = next(passes, None)
-        if now is None:
-            return docs
-        docs = materialize(docs)
-        discard(last)  # the pass before, if it was written at all
-        last = docs
-
-
-def _scanner(items):
-    @F.pandas_udf("n_words long, hits array<int>, items array<string>")
-    def scanned(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        searches = compile_strings(items.value)
-        for texts, before in batches:
-            got = []
-            for text, hits, own in zip(texts, before["hits"], before["items"], strict=True):
-                n, h, i = scan(text, searches)
-                if hits is not None and len(hits):
-                    flat = [int(x) for x in hits] + h
-                    h = merged(list(zip(flat[::2], flat[1::2], strict=True)))
-                if own is not None and len(own):
-                    i = sorted({*own, *i})
-                got.append((n, h, i))
-            yield pd.DataFrame(got, columns=["n_words", "hits", "items"])
+    sets = [spark.sparkContext.broadcast(x) for x in _passes(benchmark, item_col, item_text, size)]
+    keep = [c for c in docs.columns if c.lower() != name.lower()]
+    return docs.select(*keep, _scanner(sets)(F.col(text_col)).alias(name))
+
+
+def _scanner(sets):
+    def frame(found: list[tuple[int, list[int], set]]) -> pd.DataFrame:
+        return pd.DataFrame([(n, h, len(i), sorted(x for x in i if x is not None)) for n, h, i in found], columns=["n_words", "hits", "n_items", "items"])
+
+    @F.pandas_udf("n_words long, hits array<int>, n_items long, items array<string>")
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if len(sets) < 2:
+            searches = compile_strings(sets[0].value) if sets else []
+            for texts in batches:
+                yield frame([scan(t, searches) for t in texts])
+            return
+        for texts in gathered(batches):
+            found: list = [(0, [], set())] * len(texts)
+            for one in sets:
+                searches = compile_strings(one.value)
+                for k, t in enumerate(texts):
+                    n, g, new = scan(t, searches)
+                    _, h, old = found[k]
+                    found[k] = n, merged([*zip(h[::2], h[1::2], strict=True), *zip(g[::2], g[1::2], strict=True)]), old | new
+            yield frame(found)
 
     return scanned
 
 
+def gathered(batches: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        texts.extend(batch)
+        size += sum(len(t) for t in batch if t)
+        if size >= GATHERED:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.  See ``find_leaks``."""
     leaks = find_leaks(docs.select(F.col(id_col).alias("doc_id"), "text"), benchmark)
@@ -183,13 +194,13 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> Dat
         "doc_id",
         F.col("_leak.n_words").alias("n_words"),
         (total(ends) - total(firsts)).alias("n_hit"),
-        F.size("_leak.items").cast("long").alias("n_items"),
+        F.col("_leak.n_items").alias("n_items"),
         F.sha2(F.array_join("_leak.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("_leak.hits") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in which no benchmark window occurs, with their own columns."""
-    columns = docs.columns
-    return find_leaks(docs, benchmark).where(F.size("_leak.hits") == 0).select(*columns)
+    """Rows of ``docs`` in which no benchmark window occurs, with their own columns, whatever their names."""
+    name = fresh("_leak", docs.columns)
+    return find_leaks(docs, benchmark, name=name).where(F.size(f"{name}.hits") == 0).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize
+from veldra.llm.common import fresh, materialize
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.05
@@ -24,8 +24,8 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines array<struct<a, b>>): keys of each host's boilerplate lines.  A host of p pages of n lines each has
-    at most n / ratio of them, whatever p."""
+    """(host, lines array<struct<a, b>>): keys of each host's boilerplate lines.  A host of p pages of n lines
+    each has at most n / ratio of them, whatever p."""
     page = docs.select(F.col(host_col).alias("host"), F.array_compact(F.array_distinct(F.transform(_lines(F.col(text_col)), _key))).alias("keys"))
     # a page's line and the page itself (key null) are counted by one aggregate that combines before it shuffles
     one = page.select("host", F.explode(F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), "keys")).alias("k"))
@@ -41,17 +41,23 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
 
     Lines are compared trimmed of spaces and kept as they are; blank lines never count.  A null text counts as a page
     without lines and stays null; null hosts are one host.  Repeated rows are pages of their own.  An empty table
-    gives no rows; a column named _dropped is replaced.  Only keys and counts are shuffled; the texts are joined with
-    the hosts' lists, which Spark broadcasts if their written size is under its threshold, and joins by host, splitting
-    large hosts, if not.
+    gives no rows; a column named _dropped is replaced, all others are kept, whatever their names.  Only keys and
+    counts are shuffled; the texts are joined with the hosts' lists, which Spark broadcasts if their written size is
+    under its threshold, and joins by host, splitting large hosts, if not.  A page goes through its host's list once,
+    by hash of the first 64 bits, and looks its lines up among the few keys that it shares with it.
     """
-    columns = [c for c in docs.columns if c != "_dropped"]
-    lists = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages)).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    joined = docs.select(*columns).join(lists, docs[host_col].eqNullSafe(F.col("_host")), "left")
+    columns = [c for c in docs.columns if c.lower() != "_dropped"]
+    host, listed, common, bad = (fresh(n, columns) for n in ("_host", "_lines", "_common", "_bad"))
+    lists = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages)).select(F.col("host").alias(host), F.col("lines").alias(listed))
+    joined = docs.select(*columns).join(lists, docs[host_col].eqNullSafe(F.col(host)), "left")
     every = _lines(F.col(text_col))
-    kept = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), _key(x)), F.lit(False)))
-    clean = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    gone = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(every) - F.size(kept))
+    shared = F.array_intersect(F.array_compact(F.transform(every, lambda x: _key(x)["a"])), F.col(f"{listed}.a"))
+    joined = joined.withColumn(common, shared)
+    joined = joined.withColumn(bad, F.when(F.size(common) > 0, F.filter(F.col(listed), lambda k: F.array_contains(F.col(common), k["a"]))))
+    kept = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col(bad), _key(x)), F.lit(False)))
+    none = F.col(bad).isNull() | F.col(text_col).isNull()
+    clean = F.when(none, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    gone = F.when(none, 0).otherwise(F.size(every) - F.size(kept))
     return joined.select(*(clean.alias(c) if c == text_col else F.col(c) for c in columns), gone.cast("long").alias("_dropped"))
 
 
@@ -70,11 +76,13 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     return out.select(*columns)
 
 
+#: Rows are told by their place, so that repeated rows are pages of their own.
 ORACLE = f"""
-WITH l AS (SELECT doc_id, source, pos, line FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents)),
-c AS (SELECT source, trim(line, ' ') AS t, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+l AS (SELECT r, doc_id, source, text, pos, line FROM (SELECT r, doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM d)),
+c AS (SELECT source, trim(line, ' ') AS t, count(DISTINCT r) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
 h AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
 b AS (SELECT c.source, c.t FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages >= {MIN_PAGES} AND pages > {RATIO} * total),
 x AS (SELECT l.*, b.t IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.t)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM x GROUP BY doc_id
+SELECT doc_id, CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') END AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM x GROUP BY r, doc_id
 """
