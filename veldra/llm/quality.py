@@ -1,7 +1,8 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad.
 
 A line's features are its own and its neighbours'; the marginals of forward-backward, weighted by the lengths of the
-lines, make the document's score.
+lines, make the document's score.  The labels of lines are latent: only a document's label is known, and it is the
+length-weighted mean of the marginals that is fitted to it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 
 from veldra.llm.common import fold, small_batches
 
-#: Labelled documents of each label that the field is fitted on (in expectation), and consecutive lines of each.
-FIT_DOCUMENTS, FIT_LINES = 3000, 48
+#: Labelled documents of each label that the field is fitted on (in expectation), with their whole texts.
+FIT_DOCUMENTS = 3000
+#: Lines of one chain while fitting: longer documents are several chains, all of which count.
+CHAIN = 256
+#: A feature counts up to so many spreads from its mean, so that one odd line can't outweigh a page.
+CLIP = 6.0
 #: A document is good if its score reaches this.
 GOOD = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -69,7 +74,7 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines, features) and the lines' lengths; an empty text is one empty line."""
     lines = (text or "").split("\n")
     seen = Counter(lines)
-    return np.array([line_features(x, min(seen[x], 1000)) for x in lines], dtype=np.float32), np.array([len(x) + 1 for x in lines], dtype=np.float64)
+    return np.array([line_features(x, seen[x]) for x in lines], dtype=np.float32), np.array([len(x) + 1 for x in lines], dtype=np.float64)
 
 
 def with_neighbours(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,7 +96,7 @@ class Field:
         self.centre, self.spread, self.weights, self.steps = centre, spread, weights, steps
 
     def lines(self, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return with_neighbours(((own - self.centre) / self.spread).clip(-6, 6), starts) @ self.weights
+        return with_neighbours(((own - self.centre) / self.spread).clip(-CLIP, CLIP), starts) @ self.weights
 
     def marginals(self, emit: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """P(good) of every line of many documents, which are laid end to end; exact, in log space.
@@ -124,42 +129,85 @@ class Field:
         total = fore + back
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700)))
 
+    def slopes(self, emit: np.ndarray, starts: np.ndarray, eps: float = 1e-3) -> np.ndarray:
+        """Expected number of equal neighbours in each document: the slope of the log partition function."""
+        more, less = (Field(self.centre, self.spread, self.weights, self.steps + d * np.eye(2)).log_partition(emit, starts) for d in (eps, -eps))
+        return (more - less) / (2 * eps)
+
     @classmethod
-    def fit(cls, documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, ridge: float = 3e-3) -> Field:
-        """Maximum likelihood of the lines' labels, each its document's, by Adam over all documents at once."""
-        own = np.concatenate([x for x, _ in documents])
+    def fit(cls, documents: list[tuple[np.ndarray, int]], lengths: list[np.ndarray] | None = None, rounds: int = 120, rate: float = 0.05, ridge: float = 3e-3) -> Field:
+        """Greatest likelihood of the documents' labels, by Adam over all documents at once.
+
+        It starts from the field without steps whose lines all have their document's label.  Then lines are latent:
+        a document is good with the probability that its score states.
+        """
+        lengths = lengths or [np.ones(len(x)) for x, _ in documents]
+        documents, lengths = cls.chains(documents, lengths)
+        own, w = np.concatenate([x for x, _ in documents]), np.concatenate(lengths)
         sizes = np.array([len(x) for x, _ in documents])
         starts = np.cumsum(sizes) - sizes
+        w = w / np.repeat(np.add.reduceat(w, starts), sizes)
         centre, spread = own.mean(axis=0), own.std(axis=0) + 1e-3
-        x = with_neighbours(((own - centre) / spread).clip(-6, 6), starts)
-        label = np.repeat(np.array([y for _, y in documents], dtype=np.float64), sizes)
+        x = with_neighbours(((own - centre) / spread).clip(-CLIP, CLIP), starts)
+        y = np.array([y for _, y in documents], dtype=np.float64)
         # the two labels weigh alike, and so do all documents
-        y = np.array([y for _, y in documents])
-        share = np.array([0.5 / max(1, (y == v).sum()) for v in (0, 1)])
-        weight = np.repeat(share[y] / np.sqrt(sizes), sizes)
+        each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
         field = cls(centre, spread, np.zeros(x.shape[1]), np.zeros((2, 2)))
         theta = np.zeros(x.shape[1] + 1)
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
-        inner = np.ones(len(own), dtype=bool)
-        inner[starts] = False
-        for k in range(1, rounds + 1):
-            field.weights, field.steps = theta[:-1], np.array([[theta[-1], 0.0], [0.0, theta[-1]]])
-            emit = x @ field.weights
-            p = field.marginals(emit, starts)
-            grad = np.zeros_like(theta)
-            grad[:-1] = x.T @ ((p - label) * weight)
-            # the expected share of equal neighbours, by a difference of the log partition function
-            eps = 1e-3
-            z = [cls(centre, spread, field.weights, np.array([[theta[-1] + d, 0.0], [0.0, theta[-1] + d]])).log_partition(emit, starts) for d in (eps, -eps)]
-            each = weight[starts]
-            grad[-1] = (each * (z[0] - z[1])).sum() / (2 * eps) - (each * (sizes - 1)).sum()
-            grad += ridge * theta
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-            theta[-1] = min(theta[-1], 3.0)
-        field.weights, field.steps = theta[:-1], np.array([[theta[-1], 0.0], [0.0, theta[-1]]])
+
+        def descend(gradient, rounds: int, rate: float) -> None:
+            nonlocal theta
+            m, v = np.zeros_like(theta), np.zeros_like(theta)
+            for k in range(1, rounds + 1):
+                grad = gradient() + ridge * theta
+                m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+                theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+
+        label, weight = np.repeat(y, sizes), np.repeat(each, sizes) * w
+
+        def alone() -> np.ndarray:
+            p = 1 / (1 + np.exp(-np.clip(x @ theta[:-1], -700, 700)))
+            return np.append(x.T @ ((p - label) * weight), 0.0)
+
+        def latent() -> np.ndarray:
+            return field.gradient(theta, x, w, starts, y, each)[1]
+
+        descend(alone, rounds, 2 * rate)
+        descend(latent, rounds, rate)
+        field.weights, field.steps = theta[:-1], theta[-1] * np.eye(2)
         return field
 
+    def gradient(self, theta: np.ndarray, x: np.ndarray, w: np.ndarray, starts: np.ndarray, y: np.ndarray, each: np.ndarray, eps: float = 1e-3) -> tuple[float, np.ndarray]:
+        """Loss of the documents' labels, and its gradient by the features' weights and the step's.
+
+        A document's score is the slope of its log partition function as its lines' emissions move by their shares
+        ``w`` of its length; so the score's own slopes are differences of marginals, and of expected numbers of equal
+        neighbours, on both sides of that move.
+        """
+        sizes = np.diff(np.append(starts, len(x)))
+        self.weights, self.steps = theta[:-1], theta[-1] * np.eye(2)
+        emit = x @ self.weights
+        # moved far enough for long documents to show, not so far that it bends
+        move = eps / np.repeat(np.maximum.reduceat(w, starts), sizes)
+        score = np.clip(np.add.reduceat(self.marginals(emit, starts) * w, starts), 1e-6, 1 - 1e-6)
+        slope = each * (score - y) / (score * (1 - score))
+        up, down = emit + move * w, emit - move * w
+        one = move[starts]
+        by_emit = (self.marginals(up, starts) - self.marginals(down, starts)) / (2 * move)
+        by_step = (self.slopes(up, starts) - self.slopes(down, starts)) / (2 * one)
+        loss = -(each * (y * np.log(score) + (1 - y) * np.log(1 - score))).sum()
+        return float(loss), np.append(x.T @ (by_emit * np.repeat(slope, sizes)), (by_step * slope).sum())
+
+    @staticmethod
+    def chains(documents: list[tuple[np.ndarray, int]], lengths: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, int]], list[np.ndarray]]:
+        """Documents longer than ``CHAIN`` lines as several of at most as many."""
+        out, sizes = [], []
+        for (x, y), n in zip(documents, lengths, strict=True):
+            for at in range(0, len(x), CHAIN):
+                out.append((x[at : at + CHAIN], y))
+                sizes.append(n[at : at + CHAIN])
+        return out, sizes
+
     def log_partition(self, emit: np.ndarray, starts: np.ndarray) -> np.ndarray:
         sizes = np.diff(np.append(starts, len(emit)))
         out = np.zeros(len(starts))
@@ -192,7 +240,7 @@ class Field:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field | None:
     """Fitted on a bounded sample, drawn by a hash of the id, of the labelled documents that aren't held out.
 
-    Of each label about ``FIT_DOCUMENTS`` documents with their first ``FIT_LINES`` lines; fewer if there are fewer.
+    Of each label about ``FIT_DOCUMENTS`` documents with their whole texts; fewer if there are fewer.
     Labels other than 0 and 1 and null ids count for nothing; an id with both labels has the lower.  None if a label
     has no document: nothing can be told apart then.
     """
@@ -208,14 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"y": b["_y"], "x": [document_features("\n".join((t or "").split("\n", FIT_LINES)[:FIT_LINES]))[0].tobytes() for t in b["_text"]]})
+                found = [document_features(t) for t in b["_text"]]
+                yield pd.DataFrame({"y": b["_y"], "x": [x.tobytes() for x, _ in found], "n": [n.tobytes() for _, n in found]})
 
     # the sample has some thousand rows by its definition
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").mapInPandas(features, "y int, x binary").collect()
-    documents = sorted(((bytes(r["x"]), r["y"]) for r in rows))
-    if len({y for _, y in documents}) < 2:
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").mapInPandas(features, "y int, x binary, n binary").collect()
+    documents = sorted((bytes(r["x"]), r["y"], bytes(r["n"])) for r in rows)
+    if len({y for _, y, _ in documents}) < 2:
         return None
-    return Field.fit([(np.frombuffer(x, dtype=np.float32).reshape(-1, OWN), y) for x, y in documents])
+    return Field.fit([(np.frombuffer(x, dtype=np.float32).reshape(-1, OWN), y) for x, y, _ in documents], [np.frombuffer(n) for _, _, n in documents])
 
 
 def score(field: Field | None, text: Column) -> Column:
