@@ -26,7 +26,6 @@ def test_marginals_are_those_of_all_labellings():
             total += np.exp(s)
             good += np.exp(s) * np.array(labels)
         assert np.allclose(got[start : start + size], good / total)
-        assert np.isclose(f.log_partition(emit, starts)[list(starts).index(start)], np.log(total))
 
 
 def test_gradient_of_the_latent_likelihood():

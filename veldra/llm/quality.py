@@ -89,6 +89,18 @@ def with_neighbours(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.hstack([own, before, after, first[:, None], last[:, None], np.ones((n, 1))]).astype(np.float64)
 
 
+class Pack:
+    """The lines of many documents by their place: all first lines, longest document first, then all second ones."""
+
+    def __init__(self, starts: np.ndarray, n: int):
+        sizes = np.diff(np.append(starts, n))
+        self.order = np.argsort(-sizes, kind="stable")
+        first, sizes = starts[self.order], sizes[self.order]
+        there = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # documents longer than t, for each t
+        self.cuts = np.concatenate([[0], np.cumsum(there)]).astype(int)
+        self.lines = np.concatenate([first[:k] + t for t, k in enumerate(there)]) if len(there) else np.zeros(0, dtype=int)
+
+
 class Field:
     """Two labels, bad 0 and good 1.  ``weights``: what a line's features say for good; ``steps``: from label to label."""
 
@@ -98,44 +110,32 @@ class Field:
     def lines(self, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return with_neighbours(((own - self.centre) / self.spread).clip(-CLIP, CLIP), starts) @ self.weights
 
-    def marginals(self, emit: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def marginals(self, emit: np.ndarray, starts: np.ndarray, pack: Pack | None = None, steps: np.ndarray | None = None) -> np.ndarray:
         """P(good) of every line of many documents, which are laid end to end; exact, in log space.
 
-        All documents advance together, so the work is a row of vector operations for each line of the longest.
+        Messages are log odds.  All documents advance together, so the work is a few vector operations for each line
+        of the longest.  ``steps``: 2 by 2 by documents, where documents have steps of their own.
         """
-        sizes = np.diff(np.append(starts, len(emit)))
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        fore, back = np.zeros((len(emit), 2)), np.zeros((len(emit), 2))
-        s = self.steps
-        there = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # documents longer than t, for each t
-        for t in range(sizes[0]):
-            at = starts[: there[t]] + t
-            e = emit[at]
-            if t == 0:
-                fore[at, 1] = e
-            else:
-                p = fore[at - 1]
-                a, b = np.logaddexp(p[:, 0] + s[0, 0], p[:, 1] + s[1, 0]), np.logaddexp(p[:, 0] + s[0, 1], p[:, 1] + s[1, 1]) + e
-                m = np.maximum(a, b)
-                fore[at, 0], fore[at, 1] = a - m, b - m
-        for t in range(sizes[0] - 2, -1, -1):
-            at = starts[: there[t + 1]] + t
-            q = back[at + 1]
-            e = q[:, 1] + emit[at + 1]
-            a, b = np.logaddexp(q[:, 0] + s[0, 0], e + s[0, 1]), np.logaddexp(q[:, 0] + s[1, 0], e + s[1, 1])
-            m = np.maximum(a, b)
-            back[at, 0], back[at, 1] = a - m, b - m
-        total = fore + back
-        return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700)))
-
-    def slopes(self, emit: np.ndarray, starts: np.ndarray, eps: float = 1e-3) -> np.ndarray:
-        """Expected number of equal neighbours in each document: the slope of the log partition function."""
-        more, less = (Field(self.centre, self.spread, self.weights, self.steps + d * np.eye(2)).log_partition(emit, starts) for d in (eps, -eps))
-        return (more - less) / (2 * eps)
+        pack = pack or Pack(starts, len(emit))
+        s = (self.steps[:, :, None] if steps is None else steps)[:, :, pack.order if steps is not None else slice(None)]
+        s = np.broadcast_to(s, (2, 2, len(starts)))
+        fore, cuts = emit[pack.lines], pack.cuts
+        e = fore.copy()
+        for t in range(1, len(cuts) - 1):
+            k = cuts[t + 1] - cuts[t]
+            p, u = fore[cuts[t - 1] : cuts[t - 1] + k], s[:, :, :k]
+            fore[cuts[t] : cuts[t + 1]] += np.logaddexp(u[0, 1], p + u[1, 1]) - np.logaddexp(u[0, 0], p + u[1, 0])
+        back = np.zeros(len(emit))
+        for t in range(len(cuts) - 3, -1, -1):
+            k = cuts[t + 2] - cuts[t + 1]
+            q, u = back[cuts[t + 1] : cuts[t + 2]] + e[cuts[t + 1] : cuts[t + 2]], s[:, :, :k]
+            back[cuts[t] : cuts[t] + k] = np.logaddexp(u[1, 0], q + u[1, 1]) - np.logaddexp(u[0, 0], q + u[0, 1])
+        out = np.empty(len(emit))
+        out[pack.lines] = 1 / (1 + np.exp(-np.clip(fore + back, -700, 700)))
+        return out
 
     @classmethod
-    def fit(cls, documents: list[tuple[np.ndarray, int]], lengths: list[np.ndarray] | None = None, rounds: int = 120, rate: float = 0.05, ridge: float = 3e-3) -> Field:
+    def fit(cls, documents: list[tuple[np.ndarray, int]], lengths: list[np.ndarray] | None = None, rounds: int = 40, rate: float = 0.05, ridge: float = 3e-3) -> Field:
         """Greatest likelihood of the documents' labels, by Adam over all documents at once.
 
         It starts from the field without steps whose lines all have their document's label.  Then lines are latent:
@@ -163,6 +163,8 @@ class Field:
                 m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
                 theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
 
+        # five fields at once: as it is, emissions moved up and down, steps moved up and down
+        pack = Pack(np.concatenate([starts + k * len(own) for k in range(5)]), 5 * len(own))
         label, weight = np.repeat(y, sizes), np.repeat(each, sizes) * w
 
         def alone() -> np.ndarray:
@@ -170,33 +172,34 @@ class Field:
             return np.append(x.T @ ((p - label) * weight), 0.0)
 
         def latent() -> np.ndarray:
-            return field.gradient(theta, x, w, starts, y, each)[1]
+            return field.gradient(theta, x, w, starts, y, each, pack)[1]
 
-        descend(alone, rounds, 2 * rate)
+        descend(alone, 2 * rounds, 2 * rate)
         descend(latent, rounds, rate)
         field.weights, field.steps = theta[:-1], theta[-1] * np.eye(2)
         return field
 
-    def gradient(self, theta: np.ndarray, x: np.ndarray, w: np.ndarray, starts: np.ndarray, y: np.ndarray, each: np.ndarray, eps: float = 1e-3) -> tuple[float, np.ndarray]:
+    def gradient(self, theta: np.ndarray, x: np.ndarray, w: np.ndarray, starts: np.ndarray, y: np.ndarray, each: np.ndarray, pack: Pack | None = None, eps: float = 1e-3) -> tuple[float, np.ndarray]:
         """Loss of the documents' labels, and its gradient by the features' weights and the step's.
 
         A document's score is the slope of its log partition function as its lines' emissions move by their shares
-        ``w`` of its length; so the score's own slopes are differences of marginals, and of expected numbers of equal
-        neighbours, on both sides of that move.
+        ``w`` of its length; so its slopes by the emissions are differences of marginals on both sides of that move.
         """
-        sizes = np.diff(np.append(starts, len(x)))
+        n, d = len(x), len(starts)
+        sizes = np.diff(np.append(starts, n))
         self.weights, self.steps = theta[:-1], theta[-1] * np.eye(2)
         emit = x @ self.weights
         # moved far enough for long documents to show, not so far that it bends
         move = eps / np.repeat(np.maximum.reduceat(w, starts), sizes)
-        score = np.clip(np.add.reduceat(self.marginals(emit, starts) * w, starts), 1e-6, 1 - 1e-6)
+        pack = pack or Pack(np.concatenate([starts + k * n for k in range(5)]), 5 * n)
+        steps = np.eye(2)[:, :, None] * (theta[-1] + np.repeat([0, 0, 0, eps, -eps], d))
+        p = self.marginals(np.concatenate([emit, emit + move * w, emit - move * w, emit, emit]), np.concatenate([starts + k * n for k in range(5)]), pack, steps).reshape(5, n)
+        score, more, less = (np.add.reduceat(p[k] * w, starts) for k in (0, 3, 4))
+        score = np.clip(score, 1e-6, 1 - 1e-6)
         slope = each * (score - y) / (score * (1 - score))
-        up, down = emit + move * w, emit - move * w
-        one = move[starts]
-        by_emit = (self.marginals(up, starts) - self.marginals(down, starts)) / (2 * move)
-        by_step = (self.slopes(up, starts) - self.slopes(down, starts)) / (2 * one)
+        by_emit = (p[1] - p[2]) / (2 * move)
         loss = -(each * (y * np.log(score) + (1 - y) * np.log(1 - score))).sum()
-        return float(loss), np.append(x.T @ (by_emit * np.repeat(slope, sizes)), (by_step * slope).sum())
+        return float(loss), np.append(x.T @ (by_emit * np.repeat(slope, sizes)), ((more - less) / (2 * eps) * slope).sum())
 
     @staticmethod
     def chains(documents: list[tuple[np.ndarray, int]], lengths: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, int]], list[np.ndarray]]:
@@ -208,23 +211,6 @@ class Field:
                 sizes.append(n[at : at + CHAIN])
         return out, sizes
 
-    def log_partition(self, emit: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        sizes = np.diff(np.append(starts, len(emit)))
-        out = np.zeros(len(starts))
-        state = np.zeros((len(starts), 2))
-        s = self.steps
-        for t in range(sizes.max()):
-            on = np.nonzero(sizes > t)[0]
-            e = emit[starts[on] + t]
-            p = state[on]
-            if t == 0:
-                new = np.stack([np.zeros(len(on)), e], axis=1)
-            else:
-                new = np.stack([np.logaddexp(p[:, 0] + s[0, 0], p[:, 1] + s[1, 0]), np.logaddexp(p[:, 0] + s[0, 1], p[:, 1] + s[1, 1]) + e], axis=1)
-            state[on] = new
-        out[:] = np.logaddexp(state[:, 0], state[:, 1])
-        return out
-
     def score(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1 for each text."""
         found = [document_features(t) for t in texts]
