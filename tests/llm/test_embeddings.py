@@ -5,7 +5,8 @@ from veldra.llm import embeddings
 
 
 def brute(rows):
-    good = {i: (np.array(v, float), y) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    unit = lambda v: np.array(v, float) / max(abs(x) for x in v)
+    good = {i: (unit(v), y) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(good)
     links = {i: set() for i in ids}
     for a in ids:
@@ -46,7 +47,7 @@ def test_recall_against_brute_force(spark):
 
 
 def test_a_large_group_is_split_and_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "MOST_BLOCK", 64)
     rng = np.random.default_rng(4)
     x = rng.normal(size=16)
     rows = [(i, (x + rng.normal(size=16) * 0.03).astype("f4").tolist(), 1) for i in range(400)] + [(400 + i, x.astype("f4").tolist(), 1) for i in range(50)]
@@ -77,7 +78,8 @@ def test_only_one_dimension_of_pivots(spark):
 @pytest.mark.parametrize("lengths", [1, 16])
 def test_two_lengths_with_many_pivots(spark, monkeypatch, lengths):
     monkeypatch.setattr(embeddings, "LENGTHS", lengths)
-    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    monkeypatch.setattr(embeddings, "MOST_BLOCK", 32)
+    monkeypatch.setattr(embeddings, "LEAST_BLOCK", 8)
     rng = np.random.default_rng(8)
     rows = []
     for size, groups in ((32, 30), (16, 15)):
@@ -89,3 +91,51 @@ def test_two_lengths_with_many_pivots(spark, monkeypatch, lengths):
         ids = [i for i, v, _ in rows if len(v) == size]
         found, true = sum(got[i][0] for i in ids), sum(want[i][0] for i in ids)
         assert true > 200 and 0.98 * true <= found <= true
+
+
+def test_components_of_any_magnitude(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for size in (1e200, 1e-200, 1e300):
+        x = rng.normal(size=24)
+        rows += [(len(rows) + k, ((x + rng.normal(size=24) * 0.01) * size).tolist(), 1) for k in range(6)]
+    got = embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows) and all(r.n_links >= 5 for r in got)
+
+
+def test_rare_lengths_beside_many_pivots(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=16).astype("f4").tolist(), 1) for i in range(150)]
+    x = rng.normal(size=8)
+    rows += [(500 + i, (x + rng.normal(size=8) * 0.01).astype("f4").tolist(), 1) for i in range(6)]
+    got, want = check(spark, rows), brute(rows)
+    assert all(got[500 + i] == want[500 + i] == (5, 500) for i in range(6))
+
+
+def test_one_id_with_different_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 2)]
+    got = embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 0, 0), (0, 1, 0), (1, 1, 0), (2, 0, 2)]
+
+
+def test_pairs_of_a_list_against_a_loop():
+    import pandas as pd
+
+    rng = np.random.default_rng(13)
+    n = 300
+    frame = pd.DataFrame({"label": 1, "dim": 8, "key": np.repeat([5, 6], n // 2), "mine": 0, "other": 0, "member": rng.random(n) < 0.5, "cid": np.arange(n), "m": 1, "near": 0})
+    near = np.argsort(rng.random((n, 9)), axis=1)[:, : embeddings.PREFIX]
+    frame["near"] = (near << (10 * np.arange(embeddings.PREFIX))).sum(axis=1) | embeddings.PREFIX << 60
+    for chunk in (7, 1000):
+        cut = [frame.iloc[i : i + chunk] for i in range(0, n, chunk)]
+        got = set()
+        for f in embeddings.blocks(iter(cut), 20):
+            for x, y in embeddings.pairs(f):
+                got |= {(int(f["cid"][a]), int(f["cid"][b])) for a, b in zip(x, y, strict=True)}
+        want = set()
+        for a in range(n):
+            for b in range(n):
+                if frame["member"][a] and not frame["member"][b] and frame["key"][a] == frame["key"][b] and len(set(near[a]) & set(near[b])) >= embeddings.SHARED:
+                    if not set(near[b][:2]) <= set(near[a]) or a < b:
+                        want.add((a, b))
+        assert got == want
