@@ -71,7 +71,7 @@ def near(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     and counted with their number.  An empty table gives no rows.  Every vector is indexed; the pivots come from a
     bounded sample, and the share of links found is measured against brute force in the tests.
 
-    Through the shuffles go, for each distinct vector, its hashes and id, up to 15 asks of 40 bytes, the vector once,
+    Through the shuffles go, for each distinct vector, its hashes and id, up to 15 asks of some 40 bytes, the vector once,
     and once more for each part of a list in which it has a candidate.  No part of a list holds more than
     ``MOST_BLOCK`` members and as many askers.
     """
@@ -82,7 +82,7 @@ def near(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     good &= F.forall("v", _finite) & F.exists("v", lambda x: x != 0)
     # 128 bits tell vectors apart; a vector that links with nothing has none
     hashed = [F.when(F.coalesce(good, F.lit(False)), h).alias(n) for n, h in (("a", F.xxhash64("v")), ("b", F.xxhash64(F.lit(1), "v")))]
-    e = e.select("vec_id", "label", "v", *hashed)
+    e = materialize(e.select("vec_id", "label", "v", *hashed))
     usable = e.where("a is not null")
     sizes = usable.groupBy(F.size("v").alias("d")).agg(F.approx_count_distinct("a").alias("n"), F.approx_count_distinct("label").alias("l")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
     alone = e.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -96,11 +96,11 @@ def near(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classes = described.groupBy("label", "a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.max("dim").alias("dim"), F.max("near").alias("near"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     needed = _candidates(classes, label)
+    needed = needed.join(classes.select("cid", "a", "b", "m"), "cid")
     vectors = usable.groupBy("label", "a", "b").agg(F.first("v").alias("v"))
     place = ["label", "dim", "key", "mine", "other"]
     fetched = needed.join(vectors, ["label", "a", "b"]).select(*place, "member", "cid", "m", "near", "v")
     found = materialize(fetched.repartition(*place).sortWithinPartitions(*place).mapInPandas(_compared(threshold), "a long, b long, n long"))
-    discard(needed)
     # rows with b: links of the forest; rows without: so many vectors linked with a
     roots = components(found.where("b is not null").select("a", "b"))
     others = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "c")
@@ -142,11 +142,10 @@ def _candidates(classes: DataFrame, label: str) -> DataFrame:
     pair = lambda i, j: F.when(count > j, F.least(pivot(i), pivot(j)) * (1 << _BITS) + F.greatest(pivot(i), pivot(j)))
     home = F.coalesce(pair(0, 1), F.lit(_EVERY))
     asks = F.when(count < 2, F.array(F.lit(_EVERY))).otherwise(F.array_compact(F.array(*(pair(i, j) for i in range(PREFIX) for j in range(i + 1, PREFIX)))))
-    own = ["label", "dim", "a", "b", "cid", "m", "near"]
+    own = ["label", "dim", "cid", "near"]
     homes = classes.groupBy("label", "dim", home.alias("key")).agg(F.count("*").alias("members"))
-    asked = classes.select(*own, home.alias("home"), F.explode(asks).alias("key")).join(homes, ["label", "dim", "key"])
     # lists without members are gone by the join
-    asked = materialize(asked)
+    asked = materialize(classes.select(*own, F.explode(asks).alias("key")).join(homes, ["label", "dim", "key"]))
     rows = asked.count()
     even = rows // max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // 2
     block = min(MOST_BLOCK, max(LEAST_BLOCK, even))
@@ -159,9 +158,9 @@ def _candidates(classes: DataFrame, label: str) -> DataFrame:
     # a member meets every part of the askers, an asker every part of the members
     asker = F.transform(every(s), lambda i: F.struct(i.alias("mine"), part(t).alias("other"), F.lit(False).alias("member")))
     member = F.transform(every(t), lambda j: F.struct(part(s).alias("mine"), j.alias("other"), F.lit(True).alias("member")))
-    dealt = cut.select(*own, "key", F.explode(F.when(F.col("key") == F.col("home"), F.concat(asker, member)).otherwise(asker)).alias("x")).select(*own, "key", "x.*")
+    dealt = cut.select(*own, "key", F.explode(F.when(F.col("key") == home, F.concat(asker, member)).otherwise(asker)).alias("x")).select(*own, "key", "x.*")
     place = ["label", "dim", "key", "mine", "other"]
-    kept = dealt.repartition(*place).sortWithinPartitions(*place).mapInPandas(_shared, f"label {label}, dim int, key int, mine int, other int, member boolean, a long, b long, cid long, m long, near long")
+    kept = dealt.repartition(*place).sortWithinPartitions(*place).mapInPandas(_shared, f"label {label}, dim int, key int, mine int, other int, member boolean, cid long, near long")
     out = materialize(kept)
     discard(asked)
     return out
@@ -232,7 +231,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.zeros(len(frame), dtype=bool)
         for x, y in pairs(frame):
             wanted[x] = wanted[y] = True
-        yield frame.loc[wanted, ["label", "dim", "key", "mine", "other", "member", "a", "b", "cid", "m", "near"]]
+        yield frame.loc[wanted, ["label", "dim", "key", "mine", "other", "member", "cid", "near"]]
 
 
 def _compared(threshold: float):
