@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from veldra.llm import pii
 
@@ -55,3 +56,65 @@ def test_patterns_find_unseen_identifiers(spark):
     at = texts[20].index("KX")
     assert rows[20] == f"id:{at}:{at + 9}" and rows[21] == "" and rows[22] == ""
     assert all(rows[i].startswith("email:14:") for i in range(20))
+
+
+def test_a_found_identifier_leads_to_further_patterns(spark):
+    """Two hops: addresses make the first pattern trusted, what it finds the second, and that finds what no other has."""
+    texts = [f"Then my contact is user{i}@mail.com thanks" for i in range(60)]
+    texts += [f"so my contact is KX44{i}-99 thanks" for i in range(12)] + [f"the badge number KX44{i}-99 of ours" for i in range(12)]
+    last = len(texts)
+    texts += ["a badge number ZZ9981-00 of theirs", "see part ZZ5571-99 there", "badge number nine of theirs"]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = texts[last].index("ZZ")
+    assert rows[last].spans == f"id:{at}:{at + 9}" and rows[last].n_id == 1
+    assert rows[last + 1].spans == rows[last + 2].spans == ""
+    assert all(rows[k].n_id == 1 for k in range(60, 84)) and all(rows[k].n_id == 0 and rows[k].n_email == 1 for k in range(60))
+
+
+def test_an_identifier_of_any_length(spark):
+    texts = [f'x token = "{i:040x}" y' for i in range(10 ** 17, 10 ** 17 + 9)] + ['x token = "' + "a1b2" * 50 + '" y', 'x token = "none of it" y', "hash " + "0a" * 20 + " alone"]
+    rows = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[9] == "id:11:211" and rows[10] == rows[11] == ""
+
+
+def plain_trusted(rows):
+    graph = {}
+    for p, i, seed in rows:
+        graph.setdefault(p, {})
+        graph[p][i] = graph[p].get(i, False) or seed
+    score = {i: 1.0 for own in graph.values() for i, s in own.items() if s}
+    while True:
+        rated = {p: sum(score.get(i, 0.0) for i in own) / (len(own) + 1) for p, own in graph.items()}
+        trusted = {p: x for p, x in rated.items() if x >= pii.CONFIDENCE and sum(i in score for i in graph[p]) >= pii.SEEDS}
+        new = dict(score)
+        for i in {i for p in trusted for i in graph[p]}:
+            doubt = 1.0
+            for p, x in trusted.items():
+                if i in graph[p]:
+                    doubt *= 1 - min(x, 0.999)
+            new[i] = max(new.get(i, 0.0), 1 - doubt)
+        if len(new) == len(score):
+            return set(trusted)
+        score = new
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trusted_patterns_against_a_plain_loop(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for p in range(40):
+        kind = p % 4
+        for _ in range(r.randrange(3, 30)):
+            i = r.randrange(25) + 25 * (kind if r.random() < 0.97 else r.randrange(4))
+            rows.append((f"p{p}", i, i < 20))
+    rows += [("q", 1000 + i, True) for i in range(4)] + [("q2", 1000 + i % 6, i < 5) for i in range(6)] * 2
+    got = pii.trusted_patterns(spark.createDataFrame(rows, "pattern string, instance long, seed boolean"))
+    assert {x.pattern for x in got.collect()} == plain_trusted(rows)
+    assert pii.trusted_patterns(spark.createDataFrame([], "pattern string, instance long, seed boolean")).count() == 0
+
+
+def test_secrets_of_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    secret = F.regexp_extract(F.lower("text"), 'token = "([0-9a-f]+)"', 1)
+    got = pii.report(docs).join(docs.select("doc_id", (secret != "").alias("has")), "doc_id").toPandas()
+    assert got.has.sum() > 100 and (got[got.has].n_id > 0).mean() > 0.98 and (got[~got.has].n_id > 0).sum() == 0

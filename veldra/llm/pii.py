@@ -1,8 +1,10 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
-Base patterns find e-mail addresses, IP addresses, cards and phones.  They seed the bootstrap: the words around them
-are lexical patterns, patterns and the identifiers they stand by form a graph, and Spark scores both in turns.  The
-patterns that end with high confidence mark identifiers that no base pattern knows.
+Base patterns find e-mail addresses, IP addresses, cards and phones.  They, and long random strings of hexadecimal
+digits, seed the bootstrap: the words around them are lexical patterns, patterns and the identifiers they stand by form
+a graph, and Spark scores both in turns.  What a trusted pattern stands by counts as known in the next turn and may
+make other patterns trusted, until nothing new is known.  The trusted patterns mark identifiers that no base pattern
+knows.
 """
 
 from __future__ import annotations
@@ -15,21 +17,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, small_batches
+from veldra.llm.common import discard, materialize, small_batches
 
 #: Kinds in their order; what the bootstrap adds is of the last.
 KINDS = ["email", "ip", "card", "phone", "id"]
-#: Turns of scoring; least share of known identifiers among all that a pattern stands by, and least number of
-#: different seeds among them, for the pattern to be trusted.
-TURNS, CONFIDENCE, SEEDS = 3, 0.8, 5
+#: Least share of known identifiers among all that a pattern stands by (one unknown is added to them), and least number
+#: of different known ones among them, for the pattern to be trusted.
+CONFIDENCE, SEEDS = 0.8, 5
+#: Characters before and after an identifier in which its patterns' words are looked for.
+BEFORE, AFTER = 200, 60
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may be an identifier: a run of at least six of these with at least three digits, up to 64.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9][A-Za-z0-9_-]{5,63}(?![A-Za-z0-9_-])")
+#: What may be an identifier: a run of at least six of these with at least three digits.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9][A-Za-z0-9_-]{5,}+")
+#: What is one by itself and seeds patterns, without being marked by itself.
+_SECRET = re.compile(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}")
 _HAS_DIGIT = re.compile(r"[0-9]")
 _AROUND = re.compile(r"[^\W\d_]+|[^\w\s]")
 
@@ -81,23 +87,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def shape(word: str) -> str:
+    """a for letters, A for letters that begin with a capital; signs stand for themselves."""
+    return word if not word[0].isalpha() else "A" if word[0].isupper() else "a"
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of an identifier's place: two and three words or signs before it, one on either side."""
-    left = _AROUND.findall(text[max(0, start - 60) : start].lower())[-3:]
-    right = _AROUND.findall(text[end : end + 30].lower())[:1]
+    """The lexical patterns of an identifier's place: two and three words or signs before it, one on either side, and
+    one of shapes: two before it, its own and the one after it."""
+    left = _AROUND.findall(text, max(0, start - BEFORE), start)[-3:]
+    right = _AROUND.findall(text, end, end + AFTER)[:1]
+    low = [w.lower() for w in left]
     out = []
     if len(left) >= 2:
-        out.append(" ".join([*left[-2:], "_"]))
+        out.append(" ".join([*low[-2:], "_"]))
     if len(left) == 3:
-        out.append(" ".join([*left, "_"]))
+        out.append(" ".join([*low, "_"]))
     if left and right:
-        out.append(" ".join([left[-1], "_", right[0]]))
+        out.append(" ".join([low[-1], "_", right[0].lower()]))
+    if len(left) >= 2 and right and not (left[-1][0].isalpha() and right[0][0].isalpha()):
+        kind = re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", text[start:end][:64]))
+        own = "hex" if _SECRET.fullmatch(text, start, end) else kind if len(kind) <= 8 else "mixed"
+        out.append(" ".join(["shape", *map(shape, left[-2:]), f"<{own}>", shape(right[0])]))
     return out
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, list[str]]]:
-    """(start, end, hash of the string, whether a base pattern has it, patterns) of all that may be identifiers."""
-    out = [(a, b, _hash(text[a:b]), True, patterns(text, a, b)) for a, _, b in base]
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, bool, list[str]]]:
+    """(start, end, hash of the string, whether it is a base span, whether it is a seed, patterns) of all that may be
+    identifiers."""
+    out = [(a, b, _hash(text[a:b]), True, True, patterns(text, a, b)) for a, _, b in base]
     if not _HAS_DIGIT.search(text):
         return out
     # of the base spans that begin before a token's end, one that ends after its start overlaps it
@@ -107,7 +125,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             reach = max(reach, base[k][2])
             k += 1
         if reach <= m.start() and len(_digits(m[0])) >= 3:
-            out.append((m.start(), m.end(), _hash(m[0]), False, patterns(text, m.start(), m.end())))
+            out.append((m.start(), m.end(), _hash(m[0]), False, bool(_SECRET.fullmatch(m[0])), patterns(text, m.start(), m.end())))
     return out
 
 
@@ -117,26 +135,33 @@ def _hash(s: str) -> int:
 
 
 def trusted_patterns(seen: DataFrame) -> DataFrame:
-    """(pattern) of the patterns that end with high confidence.
+    """(pattern) of the patterns that are trusted when nothing new is known any more.
 
-    ``seen``: rows (pattern, instance, seed).  A seed's score is 1, any other's begins at 0.  In each turn a pattern
-    scores the mean of its different instances' scores, with one unknown more, if it has at least ``SEEDS`` seeds; an
-    instance scores the noisy-or of its patterns.  Both are sums that combine before they are shuffled.
+    ``seen``: rows (pattern, instance, seed).  Seeds are known and score 1, all others 0 at first.  In each turn a
+    pattern scores the mean of its different instances' scores, with one unknown more; with a score of at least
+    ``CONFIDENCE`` and at least ``SEEDS`` different known instances it is trusted.  An instance scores the noisy-or of its
+    trusted patterns, or what it had if that is more, and is known from the next turn on if it has one.  Scores only
+    grow, so the turns end.  Both are sums that combine before they are shuffled.
     """
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    # only patterns with enough seeds take part, and instances that they reach
-    rich = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= SEEDS).select("pattern")
-    edges = materialize(edges.join(rich, "pattern", "left_semi"))
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    fixed = edges.where("seed").select("instance").distinct().withColumn("known", F.lit(True))
-    for turn in range(TURNS):
-        rated = materialize(edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("p")))
-        if turn == TURNS - 1:
-            break
+    # patterns with fewer instances than that can never be trusted
+    rich = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS)
+    graph = materialize(edges.join(rich.select("pattern"), "pattern", "left_semi"))
+    discard(edges)
+    known = materialize(graph.groupBy("instance").agg(F.max("seed").alias("seed")).where("seed").select("instance", F.lit(1.0).alias("score")))
+    n = known.count()
+    while True:
+        rated = graph.join(known, "instance", "left").groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("p"), F.count("score").alias("known"))
+        trusted = materialize(rated.where((F.col("p") >= CONFIDENCE) & (F.col("known") >= SEEDS)).select("pattern", "p"))
         doubt = F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))
-        scores = edges.join(rated, "pattern").groupBy("instance").agg((1 - doubt).alias("s")).join(fixed, "instance", "left")
-        scores = materialize(scores.select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("s")).alias("score")))
-    return rated.where(F.col("p") >= CONFIDENCE).select("pattern")
+        found = graph.join(trusted, "pattern").groupBy("instance").agg((1 - doubt).alias("score"))
+        new = materialize(known.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")))
+        discard(known)
+        before, n, known = n, new.count(), new
+        if n == before:
+            discard(known, graph)
+            return trusted.select("pattern")
+        discard(trusted)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,12 +182,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pd.DataFrame(rows, columns=["base", "seen"])
 
     small_batches(docs.sparkSession)
-    kind = "base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,instance:long,seed:boolean,patterns:array<string>>>"
+    kind = "base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,instance:long,base:boolean,seed:boolean,patterns:array<string>>>"
     found = F.pandas_udf(marked, kind)(F.col(text_col))
     table = materialize(docs.select(F.col(id_col).alias("doc_id"), found.alias("f")).select("doc_id", "f.base", "f.seen").withColumn("row", F.monotonically_increasing_id()))
     seen = table.select("row", F.explode("seen").alias("s")).select("row", "s.*").withColumn("pattern", F.explode("patterns"))
     trusted = trusted_patterns(seen.select("pattern", "instance", "seed"))
-    new = seen.where("not seed").join(trusted, "pattern", "left_semi")
+    new = seen.where("not base").join(trusted, "pattern", "left_semi")
     new = new.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("more"))
     return table.join(new, "row", "left").select("doc_id", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"))
 
@@ -173,9 +198,11 @@ def _text(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.  See ``find``."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_id, the number of spans that the
+    bootstrap added.  See ``find``."""
+
     def number(kind: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+        return F.size(F.filter("spans" if kind == 4 else "base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     counts = [number(k) for k in range(4)]
-    return find(docs).select("doc_id", *counts, F.sha2(_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))
+    return find(docs).select("doc_id", *counts, F.sha2(_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"), number(4))
