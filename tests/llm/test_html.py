@@ -1,7 +1,12 @@
+import random
+import re
 import time
+from html import escape, unescape
+from html.parser import HTMLParser
 
 import pytest
 
+from veldra.llm import html as H
 from veldra.llm.html import extract, main_text
 
 ARTICLE = "<article><h1>Head</h1><p>One, two,  and\n three.</p><p>Four &amp; five &#8212; six, &lt;seven&gt;.</p></article>"
@@ -34,7 +39,7 @@ def test_broken_markup():
     assert extract("only text") == "only text"
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 50_000, "<a b='" * 50_000 + ">x", "<" * 100_000 + ">", "<!--" * 50_000, "<p>a" * 30_000, "<ul>" + "<li>a" * 30_000, "</p>" * 50_000])
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 50_000, "<a b='" * 50_000 + ">x", "<" * 100_000 + ">", "<!--" * 50_000, "<p>a" * 30_000, "<b>" * 20_000 + "<p>a</p>" * 20_000, "<div class=menu>" * 20_000 + "<article>a</article>" * 20_000, "<form>" * 20_000 + "<p>x</p>" * 20_000, "<ul>" + "<li>a" * 30_000, "</p>" * 50_000])
 def test_hostile_pages_take_linear_time(page):
     start = time.time()
     extract(page)
@@ -47,3 +52,195 @@ def test_operator(spark):
     got = main_text(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 53), ("1", 53), ("2", 0), ("None", 0)]
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_class_words_inside_the_article():
+    page = "<article><h2>Head</h2><p>One, two, and three.</p><div class='share-price'><p>Shares rose, again.</p></div><section id='related-work'><p>Others did, too.</p></section><div class='share-buttons'>Post it</div><div class=ad>Buy, now.</div></article>"
+    assert extract(page) == "Head\nOne, two, and three.\nShares rose, again.\nOthers did, too."
+
+
+@pytest.mark.parametrize("inner", ["<article><p>One, two, and three.</p></article>", "<div><p>One, two, and three.</p></div>"])
+def test_a_form_around_the_page(inner):
+    assert extract(f"<body><form id=f><input name=x><select><option>o</select>{inner}<form><p>Mail</p></form></form><p class=ad>Buy it</p></body>").split("\n")[0] == "One, two, and three."
+
+
+def test_short_paragraphs_beside_the_best():
+    page = "<body><div><div class=x><p>" + "Some words, and more. " * 20 + "</p></div><p>It ends.</p><p>Menu <a href=1>x</a></p><p>No sentence</p></div></body>"
+    assert extract(page).split("\n")[1:] == ["It ends."]
+
+
+def test_deep_nesting_changes_nothing():
+    deep = "<div>" * 3000
+    assert extract(f"<nav>{deep}menu</nav></div>{deep}<article><p>One, two.</p></article>") == "One, two."
+
+
+class Slow(HTMLParser):
+    """A tree of well-formed markup: [name, attributes, kids, up]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.top = self.here = ["#top", "", [], None]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, name, attrs):
+        if name in H._ENDS_P and self.here[0] == "p":
+            self.here = self.here[3]
+        if self.here[0] == "b" and name == "p":  # the tables' pages leave <b> open inside <p>
+            self.here = self.here[3][3]
+        node = [name, " ".join(f'{k}="{escape(v or "")}"' for k, v in attrs), [], self.here]
+        self.here[2].append(node)
+        if name not in H._VOID:
+            self.here = node
+
+    def handle_endtag(self, name):
+        at = self.here
+        while at is not None and at[0] != name:
+            at = at[3]
+        if at is not None:
+            self.here = at[3]
+
+    def handle_data(self, data):
+        self.here[2].append(data)
+
+    def handle_entityref(self, name):
+        self.here[2].append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.here[2].append(f"&#{name};")
+
+
+def slow(page):
+    """The rules again, by recursion and without any sum kept: what an element holds is counted anew where it is asked."""
+    top = Slow(page).top
+    info = {}
+
+    def kids(n):
+        return [k for k in n[2] if not isinstance(k, str)]
+
+    def everything(n):
+        return [n, *(x for k in kids(n) for x in everything(k))]
+
+    def above(n):
+        return [] if n is None else [n, *above(n[3])]
+
+    nodes = everything(top)
+    for n in nodes:
+        own = H.Node(n[0], None, n[1])
+        info[id(n)] = own
+    for n in nodes:
+        if any(x[0] in ("article", "main") for x in everything(n)[1:]) and (info[id(n)].hinted or n[0] == "form"):
+            info[id(n)].away = info[id(n)].hinted = False
+
+    def never(n):
+        return n[0] in H._NEVER and n[0] != "form" or info[id(n)].readers
+
+    def paragraph_text(n):
+        return sum(len(t.strip()) for x in everything(n) if not any(map(never, above(x))) and any(y[0] == "p" for y in above(x)) for t in x[2] if isinstance(t, str))
+
+    page_text = paragraph_text(top)
+    for n in nodes:
+        own = info[id(n)]
+        if own.away and not own.readers and (n[0] == "form" or own.hinted) and paragraph_text(n) * 2 > page_text:
+            own.away = own.hinted = False
+
+    def pieces(n, link):
+        """Text and cuts: (owner, text, linked) in order, None for a cut."""
+        out = []
+        for k in n[2]:
+            if isinstance(k, str):
+                out.append((n, k, link))
+            elif info[id(k)].away:
+                out += [None] if k[0] not in H._INLINE and k[0] not in ("script", "style", "noscript", "template") else []
+            elif k[0] in H._VOID:
+                out.append((n, " ", False))
+            elif k[0] in H._INLINE:
+                out += pieces(k, link or k[0] == "a")
+            else:
+                out += [None, *pieces(k, link or k[0] == "a"), None]
+        return out
+
+    found, held = [], []
+    for x in [*pieces(top, False), None]:
+        if x is not None:
+            held.append(x)
+            continue
+        text = re.sub(r"\s+", " ", unescape("".join(t for _, t, _ in held))).strip(" ")
+        if text:
+            owner = next(y for y in above(held[0][0]) if y[0] not in H._INLINE)
+            found.append((owner, text, len(re.sub(r"\s+", " ", unescape("".join(t for _, t, k in held if k))))))
+        held = []
+    if not found:
+        return ""
+
+    def inside(n, what):
+        return sum(what(t, k) for o, t, k in found if any(x is n for x in above(o)))
+
+    length, links = (lambda n: inside(n, lambda t, k: len(t))), (lambda n: inside(n, lambda t, k: min(k, len(t))))
+    score, order = {}, []
+    for o, text, link in found:
+        got = H.points(info[id(o)], text, link)
+        line = above(o) if o[0] in H._CONTAINERS or o[3] is None else above(o[3])
+        for far, x in enumerate(line):
+            share = 1 if far == 0 else 0.5 * 0.4 ** (far - 1)
+            if share <= 0.03:
+                break
+            if id(x) not in score:
+                score[id(x)] = 1.0 if info[id(x)].body else 0.01
+                order.append(x)
+            score[id(x)] += got * share * (0.9 if x[0] in ("body", "html", "#top") else 1) * (0.5 if info[id(x)].doubt else 1)
+    worth = lambda n: score.get(id(n), 0.0) * (1 - links(n) / max(1, length(n)))
+    best = max(order, key=worth)
+    best = next((x for x in above(best) if x[0] in ("article", "main")), best)
+    keep = [best]
+    for k in kids(best[3]) if best[3] else []:
+        if k is not best and not info[id(k)].away and length(k):
+            density = links(k) / length(k)
+            last = [t for o, t, _ in found if o is k]
+            if worth(k) >= max(2.0, 0.2 * worth(best)) and density < 0.5 and (k[0] == best[0] or info[id(k)].body):
+                keep.append(k)
+            elif k[0] == "p" and (density < 0.25 if length(k) >= 80 else density == 0 and bool(last) and last[-1][-1] in H._ENDS):
+                keep.append(k)
+    return "\n".join(t for o, t, _ in found if any(x is y for x in above(o) for y in keep))
+
+
+def generated(r):
+    words = ["one", "two,", "three.", "four", "&amp;", "five, six", "seven!", "<b>eight</b>", "<a href=x>nine ten</a>", "<br>", "&#233;t&eacute;"]
+    names = ["x", "ad", "share-price", "share-buttons", "post", "content", "comments", "sidebar", "related-work", "menu", "notice", "story-body", "has-menu", ""]
+
+    def some(k):
+        return " ".join(r.choices(words, k=r.randint(1, k)))
+
+    def element(depth):
+        kind = r.random()
+        if depth > 4 or kind < 0.45:
+            return f"<p>{some(30)}</p>"
+        if kind < 0.5:
+            return f"<h2>{some(4)}</h2>"
+        if kind < 0.55:
+            return f"<form action=x><label>{some(3)}</label><p>{some(9)}</p></form>"
+        if kind < 0.6:
+            return some(8)
+        tag = r.choice(["div", "div", "section", "ul", "article", "footer", "form", "aside", "span"])
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{some(6)}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+        return f'<{tag} class="{r.choice(names)}">' + "".join(element(depth + 1) for _ in range(r.randint(0, 5))) + f"</{tag}>"
+
+    return "<html><body>" + "".join(element(0) for _ in range(r.randint(1, 6))) + "</body></html>"
+
+
+def test_generated_pages_against_the_slow_version():
+    r = random.Random(4)
+    full = 0
+    for _ in range(600):
+        page = generated(r)
+        assert extract(page) == slow(page), page
+        full += bool(extract(page))
+    assert full > 500
+
+
+def test_pages_of_the_test_tables_against_the_slow_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    for r in pages:
+        assert extract(r.html) == slow(r.html)
+    assert len(pages) >= 200

@@ -36,10 +36,15 @@ _SIBLINGS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Words in class, id or role that mark parts which aren't the article.
+#: Words in class, id or role that mark parts which aren't the article, as the first or the last word of a name.
 _ASIDE = frozenset(
-    "ad ads advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr notice notices footer foot header masthead menu nav navbar navigation navigator pager pagination popup modal newsletter subscribe signup related recommended outbrain share sharing social sidebar side sidebox widget toolbar login search skip tags copyright disclaimer alert replies reactions".split()
+    "ad ads advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr footer masthead menu nav navbar navigation navigator pager pagination popup modal newsletter subscribe outbrain sidebar sidebox widget toolbar skip disclaimer".split()
 )
+#: The same for words that name other things as well: as the last word, or before one that names a part of a page.
+_PERHAPS = frozenset("alert copyright foot header login notice notices reactions recommended related replies search share sharing side signup social tags".split())
+_PARTS = frozenset("area articles bar block box button buttons container content icons items links list module news panel posts section stories tools widget wrap wrapper".split())
+#: Of all these, the words of reader comments.
+_READERS = frozenset("comment comments commentlist disqus respond replies reactions".split())
 #: Such words that mark the article.
 _BODY = frozenset("article articlebody body content entry main post story text".split())
 
@@ -49,59 +54,86 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_CONTAINERS = frozenset(("div", "td", "pre", "article", "section", "main", "body", "#top"))
+_ENDS = frozenset(".!?:\u2026\u3002\uff01\uff1f\"\u201d\u00bb)")
+
+
 class Node:
-    __slots__ = ("name", "up", "kids", "away", "hinted", "body", "score", "text_n", "link_n", "commas")
+    """An element.  ``away``: nothing of it is article text, whatever it holds; ``hinted``: because of its names;
+    ``doubt``: its names lower its points; ``body``: its names or its kind raise them; ``block``: the element itself
+    if it isn't inline, else the nearest around it that isn't."""
+
+    __slots__ = ("name", "up", "kids", "block", "away", "hinted", "readers", "doubt", "body", "score", "text_n", "link_n", "p_n", "keep", "ends")
 
     def __init__(self, name: str, up: Node | None, attributes: str = ""):
         self.name, self.up, self.kids = name, up, []
-        self.score, self.text_n, self.link_n, self.commas = 0.0, 0, 0, 0
-        self.away, self.hinted, self.body = name in _NEVER, False, name in ("article", "main")
-        if attributes and not self.away:
-            for key, value in _ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), unescape(value.strip("\"'"))
-                if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    self.away = True
-                elif key in ("class", "id", "role"):
-                    for one in value.split():
-                        words = [w.lower() for w in _WORD.findall(one)]
-                        if not words or words[0] in ("has", "with", "no", "is"):
-                            continue
-                        # the first or last word says what a part is: ad-box, main-nav
-                        if words[-1] in _ASIDE or words[0] in _ASIDE:
-                            self.hinted = name not in ("body", "html", "article", "main")
-                        elif words[-1] in _BODY or words[0] in _BODY:
-                            self.body = True
-            self.away = self.away or self.hinted
-            self.body = self.body and not self.away
+        self.block = up.block if up is not None and name in _INLINE else self
+        self.score, self.text_n, self.link_n, self.p_n, self.keep, self.ends = 0.0, 0, 0, 0, False, False
+        self.away, self.hinted, self.readers, self.doubt, self.body = name in _NEVER, False, False, False, name in ("article", "main")
+        if attributes and (not self.away or name == "form"):
+            self._read(attributes)
+
+    def _read(self, attributes: str) -> None:
+        for key, value in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), unescape(value.strip("\"'"))
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                self.away, self.readers = True, True
+            elif key in ("class", "id", "role"):
+                for one in value.split():
+                    words = [w.lower() for w in _WORD.findall(one)]
+                    if not words or words[0] in ("has", "with", "no", "is"):
+                        continue
+                    first, last = words[0], words[-1]
+                    # the first or last word says what a part is: ad-box, main-nav
+                    if last in _ASIDE or last in _PERHAPS or first in _ASIDE or first in _PERHAPS and last in _PARTS:
+                        self.hinted = self.name not in ("body", "html", "article", "main")
+                        self.readers |= first in _READERS or last in _READERS
+                    elif first in _PERHAPS:
+                        self.doubt = True
+                    elif last in _BODY or first in _BODY:
+                        self.body = True
+        self.away = self.away or self.hinted
+        self.body = self.body and not self.away
 
 
 def parse(html: str) -> Node:
     """A tree of the page; what is never closed, crossed or unknown is borne as browsers bear it."""
-    top = here = Node("#top", None)
-    depth = 0
-
-    def close(names: set | frozenset, stops: set | frozenset = frozenset()) -> None:
-        nonlocal here, depth
-        node, up = here, 0
-        while node.up is not None and node.name not in stops:
-            up += 1
-            if node.name in names:
-                here, depth = node.up, depth - up
-                return
-            node = node.up
-
-    at, n, last = 0, len(html), html.rfind(">")
+    top = Node("#top", None)
+    path = [top]
+    #: depths of the open elements of each name
+    opened: dict[str, list[int]] = {}
+
+    def last(names) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
+    #: open elements, from the top on, that are known to hold an article
+    holds = 0
+
+    def cut(depth: int) -> None:
+        nonlocal holds
+        while len(path) > depth:
+            opened[path.pop().name].pop()
+        holds = min(holds, depth)
+
+    def close(names, stops=()) -> None:
+        """End the innermost open element of these names, unless one of ``stops`` is open inside it."""
+        depth = last(names)
+        if depth and depth > last(stops):
+            cut(depth)
+
+    at, n, end = 0, len(html), html.rfind(">")
     while at < n:
-        m = _TAG.search(html, at) if at <= last else None
+        m = _TAG.search(html, at) if at <= end else None
         if m is None:
             # a tag that the page's end cuts off is no text
-            here.kids.append(re.split(r"<[A-Za-z/!?]", html[at:], maxsplit=1)[0])
+            path[-1].kids.append(re.split(r"<[A-Za-z/!?]", html[at:], maxsplit=1)[0])
             break
         if m.start() > at:
-            here.kids.append(html[at : m.start()])
+            path[-1].kids.append(html[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            here.kids.append(m[0][9:-3].replace("&", "&amp;"))
+            path[-1].kids.append(m[0][9:-3].replace("&", "&amp;"))
             continue
         name = m[2] or m[5]
         if not name:
@@ -109,35 +141,63 @@ def parse(html: str) -> Node:
         name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ending:
             if name == "p" or name not in _VOID:
-                close({name}, {"table"} if name == "p" else frozenset())
+                close((name,), ("table",) if name == "p" else ())
             elif name == "br":
-                here.kids.append(" ")
+                path[-1].kids.append(" ")
             continue
         if name in _ENDS_P:
-            close({"p"}, {"table", "td", "th", "button", "object"})
+            close(("p",), ("table", "td", "th", "button", "object"))
         if name in _SIBLINGS:
             close(*_SIBLINGS[name])
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and here.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            here, depth = here.up, depth - 1
-        node = Node(name, here, attributes)
-        here.kids.append(node)
+        if name in _HEADINGS and path[-1].name in _HEADINGS:
+            cut(len(path) - 1)
+        node = Node(name, path[-1], attributes)
+        path[-1].kids.append(node)
         if name in ("article", "main"):
-            # what holds an article is no side part, whatever its class says
-            up = here
-            while up is not None and up.name not in ("article", "main"):
-                if up.hinted:
+            # what holds an article is no side part, whatever its names say, nor a form to be filled in
+            for up in path[holds:]:
+                if up.hinted or up.name == "form":
                     up.away = up.hinted = False
-                up = up.up
+            holds = len(path)
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif name not in _VOID and depth < 400:
-            here, depth = node, depth + 1
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = stop.end() if stop else n
+        elif name not in _VOID:
+            opened.setdefault(name, []).append(len(path))
+            path.append(node)
+    _clear(top)
     return top
 
 
-def _inline(node: Node) -> bool:
-    return node.name in _INLINE
+def _walk(top: Node) -> list[Node]:
+    """All elements, each before those inside it."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return out
+
+
+def _clear(top: Node) -> None:
+    """A form, or a part whose names say that it stands aside, holds the article if it holds more than half of the text
+    of the page's paragraphs; reader comments never do."""
+    order = _walk(top)
+    if not any(x.away and (x.name == "form" or x.hinted) for x in order):
+        return
+    inside: dict[int, bool] = {}
+    for x in order:
+        # text of a paragraph, and of no other part that is never article text
+        out = x.name in _NEVER and x.name != "form" or x.readers
+        inside[id(x)] = None if out or x.up is not None and inside[id(x.up)] is None else x.name == "p" or x.up is not None and inside[id(x.up)]
+        if inside[id(x)]:
+            x.p_n = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+    for x in reversed(order):
+        if x.up is not None:
+            x.up.p_n += x.p_n
+    for x in order:
+        if x.away and not x.readers and (x.name == "form" or x.hinted) and x.p_n * 2 > top.p_n:
+            x.away = x.hinted = False
 
 
 def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
@@ -161,11 +221,9 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
         node, k, link = frame
         if k == len(node.kids):
             stack.pop()
-            if not _inline(node):
+            if node.block is node:
                 yield from cut()
-                owner = node.up or top
-                while owner.up is not None and _inline(owner):
-                    owner = owner.up
+                owner = (node.up or top).block
             continue
         frame[1] += 1
         kid = node.kids[k]
@@ -174,43 +232,50 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
             if link:
                 linked.append(kid)
         elif kid.away:
-            if not _inline(kid) and kid.name not in ("script", "style", "noscript", "template"):
+            if kid.block is kid and kid.name not in ("script", "style", "noscript", "template"):
                 yield from cut()
         elif kid.name in ("br", "hr") or kid.name in _VOID:
             parts.append(" ")
         else:
-            if not _inline(kid):
+            if kid.block is kid:
                 yield from cut()
                 owner = kid
             stack.append([kid, 0, link or kid.name == "a"])
 
 
+def points(node: Node, text: str, link: int) -> float:
+    """Of a paragraph: one, one for each comma, and up to three for its length; links count against it, headings and
+    parts that may stand aside count less."""
+    got = (1 + text.count(",") + text.count("，") + min(3, len(text) / 100)) * (1 - min(1, link / len(text)))
+    return got * (0.2 if node.name in _HEADINGS else 1) * (0.5 if node.doubt else 1)
+
+
 def extract(html: str | None) -> str:
     """The main text; empty where the page is null, empty or has none."""
     if not html:
         return ""
-    found = list(blocks(parse(html)))
+    top = parse(html)
+    found = list(blocks(top))
     if not found:
         return ""
     scored: list[Node] = []
     for node, text, link in found:
-        # a paragraph's points: one, one for each comma, and up to three for its length; links count against it
-        points = (1 + text.count(",") + text.count("，") + min(3, len(text) / 100)) * (1 - min(1, link / len(text)))
-        if node.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            points *= 0.2
-        up, share = node if node.name in ("div", "td", "pre", "article", "section", "main", "body", "#top") else node.up or node, 1.0
+        node.text_n += len(text)
+        node.link_n += min(link, len(text))
+        node.ends = text[-1] in _ENDS
+        up, share, got = node if node.name in _CONTAINERS else node.up or node, 1.0, points(node, text, link)
         while up is not None and share > 0.03:
             if not up.score:
                 up.score = 1.0 if up.body else 0.01
                 scored.append(up)
-            up.score += points * share * (0.9 if up.name in ("body", "html", "#top") else 1)
+            up.score += got * share * (0.9 if up.name in ("body", "html", "#top") else 1) * (0.5 if up.doubt else 1)
             share *= 0.5 if share == 1 else 0.4
             up = up.up
-        at: Node | None = node
-        while at is not None:
-            at.text_n += len(text)
-            at.link_n += min(link, len(text))
-            at = at.up
+    order = _walk(top)
+    for x in reversed(order):
+        if x.up is not None:
+            x.up.text_n += x.text_n
+            x.up.link_n += x.link_n
     worth = lambda x: x.score * (1 - x.link_n / max(1, x.text_n))
     best = max(scored, key=worth)
     # an article whose best part is only one of its parts is taken as a whole
@@ -220,30 +285,26 @@ def extract(html: str | None) -> str:
             best = up
             break
         up = up.up
-    keep = {id(best)}
+    best.keep = True
     if best.up is not None:
         enough = max(2.0, 0.2 * worth(best))
         for kid in best.up.kids:
             if isinstance(kid, Node) and not kid.away and kid is not best and kid.text_n:
                 density = kid.link_n / kid.text_n
-                if worth(kid) >= enough and density < 0.5 and (kid.name == best.name or kid.body) or kid.name == "p" and density < 0.25 and kid.text_n >= 80:
-                    keep.add(id(kid))
-    out = []
-    for node, text, _ in found:
-        at = node
-        while at is not None and id(at) not in keep:
-            at = at.up
-        if at is not None:
-            out.append(text)
-    return "\n".join(out)
+                alike = worth(kid) >= enough and density < 0.5 and (kid.name == best.name or kid.body)
+                # a paragraph beside it: one of some length with few links, or a short one that is a sentence
+                kid.keep = alike or kid.name == "p" and (density < 0.25 if kid.text_n >= 80 else density == 0 and kid.ends)
+    for x in order:
+        x.keep = x.keep or x.up is not None and x.up.keep
+    return "\n".join(text for node, text, _ in found if node.keep)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points); other columns are dropped.
 
     Null, empty and text-free pages give the empty text.  Repeated rows are extracted each; an empty table gives no
-    rows.  Pages of any length are parsed whole, without recursion; elements nested more than 400 deep lie beside
-    each other.  Rows are independent: no shuffle, and memory for one page's tree.
+    rows.  Pages of any length and depth are parsed whole, without recursion, in time that grows as they do.  Rows are
+    independent: no shuffle, and memory for one page's tree.
     """
 
     def extracted(html: pd.Series) -> pd.Series:
