@@ -1,5 +1,7 @@
 import hashlib
 import random
+import unicodedata
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -20,10 +22,15 @@ def own(words=()):
     return bpe.Tokenizer(SPEC, bpe.Automaton(bpe.mapped(blob)))
 
 
+@cache
+def shared():
+    return own(["the", "'s", "é"])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(codec="utf-8", max_codepoint=0x2FF), max_size=60))
 def test_encodes_and_decodes_as_the_library(text):
-    t = own(["the", "'s", "é"])
+    t = shared()
     ids = t.encode(text)
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
     assert t.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
@@ -34,6 +41,36 @@ def test_odd_texts(text):
     assert own().encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_in_context():
+    t = own()
+    # of planes without characters, and of ideographs and syllables that are all alike, one in so many
+    alike = lambda c: c >= 0x40000 and not 0xE0000 <= c < 0xE1000 or 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A0 or 0x20000 <= c < 0x32000
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (not alike(c) or c % 61 == 0 or c & 0xFFFF < 2)]
+    for at in range(0, len(codes), 20_000):
+        some = codes[at : at + 20_000]
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} a{chr(c)}\u0301\u0316 \u0316{chr(c)}!" for c in some]
+        for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert t.encode(text) == want.ids, ascii(text)
+
+
+def test_compositions():
+    t = own()
+    for c in range(0x110000):
+        d = unicodedata.decomposition(chr(c))
+        if d and not d.startswith("<"):
+            text = "a" + unicodedata.normalize("NFD", chr(c)) + "\u0316b"
+            assert t.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=30), st.text(st.sampled_from(sorted(bpe.younger().all)[::50]), max_size=4))
+def test_any_characters(text, odd):
+    t, text = shared(), odd.join([text[:7], text[7:15], text[15:]])
+    ids = t.encode(text)
+    assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert t.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
 def test_automaton():
     r = random.Random(1)
     words = {bytes(r.choices(b"abc", k=r.randint(1, 9))): [r.randrange(1000) for _ in range(r.randint(1, 4))] for _ in range(3000)}

@@ -1,4 +1,6 @@
 import math
+import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -35,6 +37,58 @@ def test_held_out_accuracy(spark):
     assert len(got) > 2000 and (got.lang_pred == got.lang).mean() > 0.98
 
 
+def plain_bits(counts, word):
+    """Code length of one word by the rules alone: contexts from the longest to none, escapes in between."""
+    after = {}
+    for w, n in counts.items():
+        t = b" " + w.encode() + b" "
+        for at in range(1, len(t)):
+            for k in range(min(langid.ORDER, at) + 1):
+                own = after.setdefault(t[at - k : at], {})
+                own[t[at]] = own.get(t[at], 0) + n
+    t, bits = b" " + word.encode() + b" ", 0.0
+    for at in range(1, len(t)):
+        for k in range(min(langid.ORDER, at), -1, -1):
+            own = after.get(t[at - k : at])
+            if own is None:
+                continue
+            total = sum(own.values()) + len(own)
+            if t[at] in own:
+                bits -= math.log2(own[t[at]] / total)
+                break
+            bits -= math.log2(len(own) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_identify_against_brute_force(spark):
+    r = random.Random(3)
+    vocab = {"aa": ["the", "house", "then", "of"], "bb": ["der", "haus", "dann", "über"], "cc": ["la", "maison", "été", "de"]}
+    rows = [(i, " ".join(r.choices(vocab[x], k=9)) + r.choice([".", " 12!", "\n"]), x) for i, x in enumerate(r.choices(list(vocab), k=80))]
+    rows += [(900 + k, t, r.choice(list(vocab))) for k, t in enumerate(["xyz", "the der la", "Über ÉTÉ", "日本 the", "a", "thththth haus"])] + [(990, None, "aa"), (991, "12 !!", "bb"), (992, "the", None)]
+    counts = {}
+    for i, t, lang in rows:
+        if lang and t and zlib.crc32(str(i).encode()) % 4 != 2 and langid.words(t):
+            counts.setdefault(lang, Counter()).update(langid.words(t))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    for i, t, _ in rows:
+        row = next(x for x in got if x.doc_id == i)
+        assert row.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        bits = {lang: sum(plain_bits(c, w) for w in langid.words(t)) for lang, c in counts.items()}
+        if not langid.words(t):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+        else:
+            best = min(sorted(bits), key=bits.get)
+            assert row.lang_pred == best and row.score == pytest.approx(1 / sum(2 ** max(bits[best] - b, -1000) for b in bits.values()))
+
+
+def test_ties_go_to_the_first_language():
+    same = Counter({"ab": 2})
+    model = langid.Model({"zz": langid.Tree(same), "aa": langid.Tree(same), "mm": langid.Tree(same)})
+    assert model.predict("ab ab c") == ("aa", pytest.approx(1 / 3))
+
+
 def test_odd_rows(odd, none):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()

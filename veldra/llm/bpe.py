@@ -19,6 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -46,8 +47,64 @@ _PIECES = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{
 _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _ASCII_PIECES = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _LATIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
+_LATIN_TEXT = re.compile("[\x00-\u02ff]*")
 _LATIN_PIECES = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 
+#: Characters that the tokenizers library knows as letters and numbers, by code points, beyond Unicode 15.1.
+_LETTERS_SINCE = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E
+11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+_NUMBERS_SINCE = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Its lower case beyond that version: code points and the first one's lower case.
+_LOWER_SINCE = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+#: Marks that its normal form doesn't order or compose, as they are younger than its tables.
+_UNORDERED = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50
+10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42
+16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+
+
+def code_points(ranges: str) -> list[int]:
+    out: list[int] = []
+    for one in ranges.split():
+        first, _, last = one.partition("-")
+        out += range(int(first, 16), int(last or first, 16) + 1)
+    return out
+
+
+class Younger:
+    """Characters that the library's Unicode tables and this Python's don't agree on.
+
+    ``stand_in`` has, for those that the pattern's engine takes for another class than the library does, a character of
+    the right class.
+    """
+
+    def __init__(self):
+        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, every))
+        kinds = {c: unicodedata.category(chr(c))[0] for c in every}
+        kinds |= dict.fromkeys(code_points(_LETTERS_SINCE), "L") | dict.fromkeys(code_points(_NUMBERS_SINCE), "N")
+        engine = dict.fromkeys(map(ord, regex.findall(r"\p{L}", text)), "L") | dict.fromkeys(map(ord, regex.findall(r"\p{N}", text)), "N")
+        right = {c: k if k in "LN" else "" for c, k in kinds.items()}
+        self.stand_in = {c: {"L": "\u0436", "N": "\u0661", "": "\u2603"}[k] for c, k in right.items() if k != engine.get(c, "") and not chr(c).isspace()}
+        self.lower = {}
+        for one in _LOWER_SINCE.split():
+            upper, to = one.split(":")
+            self.lower |= {c: chr(int(to, 16) + k) for k, c in enumerate(code_points(upper))}
+        unordered = code_points(_UNORDERED)
+        self.marks = re.compile("([" + "".join(map(chr, unordered)) + "])")
+        self.all = frozenset(map(chr, [*self.stand_in, *self.lower, *unordered]))
+
+    def normal(self, text: str) -> str:
+        parts = self.marks.split(text)
+        return "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(parts)).translate(self.lower)
+
+    def pieces(self, text: str) -> list[str]:
+        return [text[m.start() : m.end()] for m in _PIECES.finditer(text.translate(self.stand_in))]
+
+
+@cache
+def younger() -> Younger:
+    return Younger()
+
 
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -208,13 +265,19 @@ class Tokenizer:
     def normal(text: str) -> str:
         if text.isascii():
             return text.lower()
+        odd = not _LATIN_TEXT.fullmatch(text) and not younger().all.isdisjoint(set(text))
+        text = younger().normal(text) if odd else unicodedata.normalize("NFC", text)
         # each character has its own lower case; sigma doesn't depend on its place
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.replace("Σ", "σ").lower()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Pieces of a normal text, white space dropped."""
-        return (_ASCII_PIECES if text.isascii() else _LATIN_PIECES if _LATIN.fullmatch(text) else _PIECES).findall(text)
+        if text.isascii():
+            return _ASCII_PIECES.findall(text)
+        if _LATIN.fullmatch(text):
+            return _LATIN_PIECES.findall(text)
+        return _PIECES.findall(text) if younger().all.isdisjoint(set(text)) else younger().pieces(text)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair of the lowest rank, the leftmost of these, is merged until none is left."""

@@ -2,8 +2,10 @@
 
 Each language has a byte context tree of variable order, grown from the words of a sample and then frozen.  A word
 costs the exact code length of its bytes and its end; a byte that a context hasn't seen costs the context's escape
-and is coded by the next shorter one.  Contexts begin with the word, so that a word's cost depends on it alone and is
-computed once for all its occurrences.
+and is coded by the next shorter one.  What is coded is the text's letters in lower case, word by word with one break
+between them: digits, signs and the kind of white space cost every language the same and are left out.  Contexts begin
+with the word, so that a word's cost depends on it alone and is computed once for all its occurrences; the score is
+the code length of the sequence of words, not of how they follow each other.
 """
 
 from __future__ import annotations
