@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.functions.text import _s, brand_tokens, trim
+from veldra.operators.scratch import listed
 
 
 def official_queries(company: Column, year: Column, kind: Column, domain: Column, limit: int = 3) -> Column:
@@ -44,14 +45,14 @@ def index_queries(sources: DataFrame, roles: DataFrame, group: int = 6) -> DataF
     Both are lists of configuration of some tens of rows; the product is meant."""
     groups = roles.groupBy(F.floor(F.col("pos") / group).alias("group")).agg(F.array_sort(F.collect_list(F.struct("pos", "role"))).alias("r"))
     text = F.concat(F.lit("site:"), F.col("domain"), F.lit(" ("), F.array_join(F.transform("r", lambda x: x["role"]), " OR "), F.lit(") 校园招聘"))
-    return sources.join(F.broadcast(groups)).select("source", "group", text.alias("text"))
+    return sources.join(listed(groups)).select("source", "group", text.alias("text"))
 
 
 def platform_searches(roles: DataFrame, locations: DataFrame, days: int = 90, most: int = 20) -> DataFrame:
     """(source, role, location, url) of at most 12 roles and 8 places, 20 for a source."""
     from veldra.operators.pick import top_n
 
-    pairs = roles.orderBy("pos").limit(12).select(F.col("pos").alias("rp"), "role").join(F.broadcast(locations.orderBy("pos").limit(8).select(F.col("pos").alias("lp"), "location")))
+    pairs = roles.orderBy("pos").limit(12).select(F.col("pos").alias("rp"), "role").join(locations.orderBy("pos").limit(8).select(F.col("pos").alias("lp"), "location"))
     q, at = F.url_encode("role"), F.url_encode("location")
     span = F.lit("&f_TPR=r604800" if days <= 7 else "&f_TPR=r2592000" if days <= 30 else "")
     urls = F.create_map(F.lit("LinkedIn"), F.concat(F.lit("https://www.linkedin.com/jobs/search/?keywords="), q, F.lit("&location="), at, F.lit("&f_E=2%2C3&f_JT=F%2CI&sortBy=DD"), span), F.lit("Indeed"), F.concat(F.lit("https://www.indeed.com/jobs?q="), q, F.lit("&l="), at, F.lit(f"&sort=date&fromage={min(days, 30)}")))
@@ -70,7 +71,7 @@ def occupations(intents: DataFrame, taxonomy: DataFrame) -> DataFrame:
     contains.  ``taxonomy``: (pos, family, terms array, titles array), a list of configuration."""
     term = F.explode(F.transform("terms", F.lower)).alias("term")
     t = taxonomy.select("pos", "family", "titles", term)
-    hit = intents.join(F.broadcast(t), F.lower(_s(F.col("role"))).contains(F.col("term"))).groupBy("intent").agg(F.min_by(F.struct("family", "titles"), "pos").alias("f"))
+    hit = intents.join(listed(t), F.lower(_s(F.col("role"))).contains(F.col("term"))).groupBy("intent").agg(F.min_by(F.struct("family", "titles"), "pos").alias("f"))
     return intents.join(hit, "intent", "left").select(*intents.columns, "f.family", "f.titles")
 
 

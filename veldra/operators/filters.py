@@ -79,17 +79,22 @@ def cooldown(jobs: DataFrame, windows: DataFrame, today: str, key: str = "seq")
     """``jobs`` (seq, company, title) with cooldown: ``cooldown:company:until`` of the first window that
     holds, or null.
 
-    ``windows``: a table of a few rows of configuration (pos, company, last_apply_date, same_role_days, applied_to
-    array, bucket), which is what bounds the nested-loop join; its size is for the caller to vouch for.
+    ``windows``: a table of some rows of configuration (pos, company, last_apply_date, same_role_days, applied_to
+    array, bucket).  Names are matched once for each company, not for each job; jobs then meet their company's windows
+    by an equi-join.
     """
+    from veldra.operators.scratch import listed
+
+    names = jobs.select(F.col("company").alias("_name")).where("_name is not null").distinct()
+    matched = names.join(listed(windows).alias("v"), company_match(F.col("_name"), F.col("v.company"))).select("_name", "v.*")
     until = add_days(F.col("w.last_apply_date"), F.coalesce(F.col("w.same_role_days"), F.lit(0)))
     t = F.lower(_s(F.col("j.title")))
     applied = F.exists(F.coalesce(F.col("w.applied_to"), F.array().cast("array<string>")), lambda r: t.contains(F.lower(r)))
     generic = F.array(*map(F.lit, ["", "all", "roles", "role", "family", "bucket", "group", "team"]))
     bucket = F.filter(F.split(F.lower(_s(F.col("w.bucket"))), "_"), lambda k: ~F.array_contains(generic, k))
     crossed = F.exists(bucket, lambda k: F.when(k == "em", t.rlike(whole("em")) | t.contains("engineering manager")).otherwise(t.contains(k)))
-    holds = company_match(F.col("j.company"), F.col("w.company")) & (F.lit(today) < until) & (applied | crossed)
-    hit = jobs.alias("j").join(F.broadcast(windows.alias("w")), holds).groupBy(F.col(f"j.{key}").alias("_k")).agg(F.min_by(F.concat(F.lit("cooldown:"), F.col("w.company"), F.lit(":"), until), F.col("w.pos")).alias("cooldown"))
+    holds = (F.col("j.company") == F.col("w._name")) & (F.lit(today) < until) & (applied | crossed)
+    hit = jobs.alias("j").join(matched.alias("w"), holds).groupBy(F.col(f"j.{key}").alias("_k")).agg(F.min_by(F.concat(F.lit("cooldown:"), F.col("w.company"), F.lit(":"), until), F.col("w.pos")).alias("cooldown"))
     return jobs.join(hit, jobs[key] == F.col("_k"), "left").drop("_k")
 
 

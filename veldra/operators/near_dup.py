@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from veldra.operators.scratch import materialize
 
 #: Shortest text, least similarity and window in days of a cross listing.
 MIN_TEXT, THRESHOLD, WINDOW_DAYS = 200, 0.92, 90
+#: Fingerprints of a key beyond which it is cut into parts.
+PART = 4096
 
 _STRIP = re.compile(r"<[^>]*>|&[a-z#0-9]+;|https?://\S+", re.I)
 _LETTERS = re.compile(r"[^\W_]+")
@@ -74,24 +77,42 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(ok, 1 - distance(a, b) / 64.0).otherwise(0.0)
 
 
-def bands(fingerprint: Column, n: int = 6) -> Column:
-    """N pieces of the 64 bits; two fingerprints that differ in fewer bits than n share one."""
+def bands(fingerprint: Column, radius: int, agreeing: int = 1) -> Column:
+    """Keys of a fingerprint: of ``radius + agreeing`` pieces of the 64 bits every choice of ``agreeing`` ones; two
+    fingerprints that differ in at most ``radius`` bits share a key."""
+    n = radius + agreeing
     bits = F.concat(F.lpad(F.conv(F.substring(fingerprint, 1, 8), 16, 2), 32, "0"), F.lpad(F.conv(F.substring(fingerprint, 9, 8), 16, 2), 32, "0"))
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    return F.array(*(F.concat(F.lit(f"{i}:"), F.substring(bits, a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    piece = lambda i: F.substring(bits, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    return F.array(*(F.concat(F.lit("-".join(map(str, c)) + ":"), *map(piece, c)) for c in combinations(range(n), agreeing)))
+
+
+def agreeing(n: int, radius: int) -> int:
+    """Pieces that must agree so that n fingerprints spread over enough keys: the more of them, the more pieces."""
+    k = 1
+    while k < 4 and n >> (64 * k // (radius + k)) > 128:
+        k += 1
+    return k
 
 
 def near_pairs(docs: DataFrame, radius: int = 5) -> DataFrame:
     """(a, b, bits) of rows (id, fingerprint) within the radius.
 
     Distinct fingerprints are compared, each standing for its rows by its smallest id, so that copies don't pair up;
-    ``members`` tells who they stand for.
+    ``members`` tells who they stand for.  Keys get longer as fingerprints get more, and the fingerprints of a key that
+    many share are cut into parts, each pair of which is a task of its own, so that no task holds a large group.
     """
     # written once: fingerprints cost most, and both sides of the join read them
     one = materialize(docs.groupBy("fingerprint").agg(F.min("id").alias("id"))).where("fingerprint <> ''")
-    wide = one.withColumn("band", F.explode(bands(F.col("fingerprint"), radius + 1)))
+    wide = one.withColumn("band", F.explode(bands(F.col("fingerprint"), radius, agreeing(one.count(), radius))))
+    large = wide.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("band", F.ceil(F.col("n") / (PART // 2)).cast("int").alias("s"))
+    wide = wide.join(large, "band", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fingerprint"), F.col("s")).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.least(i, mine) * F.col("s") + F.greatest(i, mine))
+    wide = materialize(wide.select("id", "fingerprint", "band", F.explode(both).alias("part")))
     x, y = wide.alias("x"), wide.alias("y")
-    close = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).where(distance(F.col("x.fingerprint"), F.col("y.fingerprint")) <= radius)
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
+    close = x.join(y, met & (distance(F.col("x.fingerprint"), F.col("y.fingerprint")) <= radius))
     return close.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.first(distance(F.col("x.fingerprint"), F.col("y.fingerprint"))).alias("bits"))
 
 
@@ -110,7 +131,7 @@ def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: i
     company, fingerprint, seen date) list for another company under another address."""
     radius = int((1 - threshold) * 64)
     recent = history.where((F.col("fingerprint") != "") & (F.col("seen") >= F.date_sub(today, days)))
-    cut = lambda df, n: df.select(F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.explode(bands(F.col("fingerprint"), radius + 1)).alias("band"))
+    cut = lambda df, n: df.select(F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.explode(bands(F.col("fingerprint"), radius)).alias("band"))
     found = cut(offers.where("fingerprint <> ''"), "offer").join(cut(recent, "row"), "band").where("offer_company <> row_company and offer_url <> row_url")
     scored = found.withColumn("score", similarity(F.col("offer_fp"), F.col("row_fp"))).where(F.col("score") >= threshold)
     return scored.groupBy("offer_url", "row_url").agg(F.max("score").alias("score"))

@@ -6,6 +6,8 @@ kind, not a window: it combines before the shuffle, so that a key with a third o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +78,19 @@ def merge_results(results: DataFrame, keys: list[str], last_non_empty: list[str]
     is true, and the union of lists in order."""
     lastly = lambda c: F.max_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(seq))).alias(c)
     even_null = lambda c: F.max_by(F.struct(c), F.col(seq))[c].alias(c)
-    union = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(c), F.array()).alias("v")))), lambda x: x["v"]))).alias(c)
-    return results.groupBy(*keys).agg(*map(lastly, last_non_empty), *map(even_null, last), *(F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in any_true), *map(union, lists), F.count("*").alias("merged"))
+    out = results.groupBy(*keys).agg(*map(lastly, last_non_empty), *map(even_null, last), *(F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in any_true), F.count("*").alias("merged"))
+    for c in lists:
+        out = out.join(list_union(results, keys, c, seq).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), c), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))), "left")
+        out = out.drop(*(f"_k{i}" for i in range(len(keys)))).withColumn(c, F.coalesce(c, F.array().cast(results.schema[c].dataType)))
+    return out.select(*keys, *last_non_empty, *last, *any_true, *lists, "merged")
+
+
+def list_union(rows: DataFrame, keys: list[str], column: str, seq: str = "seq") -> DataFrame:
+    """A1, A5: (keys, column) with the distinct items of a key's lists, in the order in which they first occur.  Only
+    distinct items and their first place are gathered, after they are combined on the map side."""
+    items = rows.select(*keys, F.col(seq).alias("_s"), F.posexplode(column).alias("_p", "_x"))
+    first = items.groupBy(*keys, "_x").agg(F.min(F.struct("_s", "_p")).alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda x: x["_x"]).alias(column))
 
 
 def unseen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,11 +104,16 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def running_budget(requests: DataFrame, day: str, limit: int, *order: Column) -> DataFrame:
-    """Requests of one unit with accepted: whether they fit into their day's budget."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(day).orderBy(*order))
-    return requests.withColumn("accepted", n <= limit)
+    """Requests of one unit with accepted: whether they fit into their day's budget.
+
+    ``order`` tells all requests of a day apart.  Only the first ``limit`` of each day are ranked, a limit that is
+    pushed below the shuffle; the last of them is the day's bound, which all requests are compared with.
+    """
+    first = top_n(requests.select(F.col(day).alias("_day"), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("_at")), ["_day"], limit, F.col("_at"))
+    bound = first.groupBy("_day").agg(F.max("_at").alias("_last"))
+    at = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    out = requests.withColumn("_at", at).join(bound, F.col(day).eqNullSafe(F.col("_day")), "left")
+    return out.withColumn("accepted", F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False))).drop("_at", "_day", "_last")
 
 
 def shard(df: DataFrame, seq: str, n: int, k: int) -> DataFrame:

@@ -69,8 +69,10 @@ def projects(records: DataFrame, seq: str = "seq") -> DataFrame:
 
 def merge_events(events: DataFrame, seq: str = "seq") -> DataFrame:
     """A5: events of one id: locations united, earliest start and close, first seen kept."""
-    union = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("locations").alias("v")))), lambda x: x["v"])))
-    return events.groupBy("event_id").agg(F.min("start_at").alias("start_at"), F.min("closes_at").alias("closes_at"), F.min_by("first_seen_at", seq).alias("first_seen_at"), union.alias("locations"))
+    from veldra.operators.pick import list_union
+
+    out = events.groupBy("event_id").agg(F.min("start_at").alias("start_at"), F.min("closes_at").alias("closes_at"), F.min_by("first_seen_at", seq).alias("first_seen_at"))
+    return out.join(list_union(events, ["event_id"], "locations", seq), "event_id", "left").withColumn("locations", F.coalesce("locations", F.array().cast("array<string>")))
 
 
 def event_label(kind: Column, campaign: Column, cohort: Column) -> Column:
@@ -79,11 +81,11 @@ def event_label(kind: Column, campaign: Column, cohort: Column) -> Column:
     return F.when(clean(cohort) != "", F.concat(clean(cohort), F.lit(" 届"), base)).otherwise(base)
 
 
-def application_rows(events: DataFrame, companies: DataFrame, portals: DataFrame, jobs: DataFrame, superseded: bool = False) -> DataFrame:
+def application_rows(events: DataFrame, companies: DataFrame, portals: DataFrame, jobs: DataFrame, superseded: bool = False, ordered: bool = True) -> DataFrame:
     """A row for each event with company and portal, and the titles and places of its active jobs.
 
     Events of superseded platform portals go unless ``superseded``.  Sorted by tier, company (in Chinese collation),
-    class and label.
+    class and label, which is a sort of all rows, unless it isn't ``ordered``.
     """
     active = jobs.where((F.col("status") == "ACTIVE") & F.col("recruitmentEventId").isNotNull())
     titles = active.groupBy(F.col("recruitmentEventId").alias("id")).agg(F.array_sort(F.collect_set(F.nullif(clean(F.col("title")), F.lit("")))).alias("titles"))
@@ -110,7 +112,7 @@ def application_rows(events: DataFrame, companies: DataFrame, portals: DataFrame
         _s(F.coalesce("lastVerifiedAt", "_pv")).alias("verified_at"),
         rank.alias("_rank"),
     )
-    return rows.orderBy("_rank", F.collate("company", "zh_Hans"), "cohort", F.collate("batch", "zh_Hans")).drop("_rank")
+    return (rows.orderBy("_rank", F.collate("company", "zh_Hans"), "cohort", F.collate("batch", "zh_Hans")) if ordered else rows).drop("_rank")
 
 
 def knowledge_baseline(surfaces: DataFrame) -> DataFrame:

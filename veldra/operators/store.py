@@ -193,6 +193,18 @@ class Store:
         last = rows.agg(F.max("seq")).head()[0]
         return {"": str(last or 0)} | {r["name"]: r["version"] for r in rows.where(F.col("seq") == last).collect()}
 
+    def _claim(self, seq: int) -> None:
+        """Take a commit's number: the file of that name is made by one writer only, the others' commits fail.  A writer
+        that is lost between its claim and its manifest leaves the claim behind; ``release`` takes it back."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{seq}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path):
+            raise RuntimeError(f"commit {seq} is another writer's: read the tables again and repeat")
+
+    def release(self) -> None:
+        """Give up the claim of a writer that was lost, once it is known to be gone."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{int(self._manifest().get('', 0)) + 1}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     def read(self, name: str) -> DataFrame:
         """A table as of the newest commit; empty if never written."""
         version = self._manifest().get(name)
@@ -213,6 +225,7 @@ class Store:
             if row:
                 raise ValueError(f"the commit breaks an invariant: {row[0].asDict()}")
         seq = int(now.get("", 0)) + 1
+        self._claim(seq)
         rows = self.spark.createDataFrame([(seq, k, v) for k, v in versions.items()], "seq long, name string, version string")
         # one file, whose name appears only when it is whole
         rows.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")

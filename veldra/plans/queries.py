@@ -234,22 +234,11 @@ def dedupe_best_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick.best_by(o, ["o_custkey"], F.col("o_totalprice"), F.col("o_orderkey"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, source, substr(text, 1, 12) AS k, length(text) + 50 + CASE WHEN lang = '' THEN 0 ELSE 30 END AS rich FROM documents)
-SELECT source, k, doc_id, rich FROM d QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY rich DESC, doc_id) = 1
-""")
-def dedupe_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5"""
-    rich = pick.richness(F.col("text"), F.col("source"), F.col("lang"), F.lit(None))
-    d = table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 12).alias("k"), "doc_id", rich.cast("long").alias("rich"))
-    return pick.best_by(d, ["source", "k"], F.col("rich"), F.col("doc_id"))
-
-
 @query("""
 WITH d AS (SELECT doc_id, source, sha256(text) AS k, length(text) + 50 + CASE WHEN lang = '' THEN 0 ELSE 30 END AS rich FROM documents)
 SELECT source, k, doc_id, rich FROM d QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY rich DESC, doc_id) = 1
 """)
-def dedupe_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dedupe_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the whole text, so that only equal texts of a source are merged."""
     rich = pick.richness(F.col("text"), F.col("source"), F.col("lang"), F.lit(None))
     d = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("k"), "doc_id", rich.cast("long").alias("rich"))
@@ -322,7 +311,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     portals = c.select(text_id("c_custkey").alias("id"), F.lit(None).cast("string").alias("supersededByPortalId"), F.lit(None).cast("string").alias("lastVerifiedAt"))
     jobs = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     jobs = jobs.select(text_id("l_orderkey").alias("recruitmentEventId"), F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("CLOSED").alias("status"), F.col("p_name").alias("title"), F.array("s_name").alias("locations"))
-    rows = rollup.application_rows(events, companies, portals, jobs)
+    rows = rollup.application_rows(events, companies, portals, jobs, ordered=False)
     return rows.select(F.col("url").cast("long").alias("event"), "company", "batch", "titles", "locations")
 
 
@@ -479,21 +468,6 @@ def student_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("student", F.col("m.priority").alias("priority")).agg(F.count("*").alias("jobs"), F.sum(F.col("m.score")).cast("long").alias("total"))
 
 
-@query("""
-WITH i AS (SELECT c_custkey AS id, 'name ' || (c_custkey % 40) AS name, 'd' || c_nationkey || '.com' AS domain FROM customer),
-s AS (SELECT s_suppkey + 1000000 AS target, 'name ' || (s_suppkey % 60) AS name, 'd' || s_nationkey || '.com' AS domain FROM supplier WHERE s_suppkey < 12),
-m AS (SELECT DISTINCT id, target FROM i JOIN s ON i.name = s.name UNION SELECT DISTINCT id, target FROM i JOIN s ON i.domain = s.domain),
-g AS (SELECT id, count(DISTINCT target) AS n, min(target) AS t FROM m GROUP BY id)
-SELECT id, n AS targets, CASE WHEN n = 1 THEN t END AS target, n > 1 AS conflict FROM g
-""")
-def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J10"""
-    none = F.lit(None).cast("array<string>")
-    i = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("name "), (F.col("c_custkey") % 40).cast("string")).alias("name"), F.array(F.concat(F.lit("d"), F.col("c_nationkey").cast("string"), F.lit(".com"))).alias("domains"), none.alias("aliases"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select((F.col("s_suppkey") + 1_000_000).alias("id"), F.concat(F.lit("name "), (F.col("s_suppkey") % 60).cast("string")).alias("name"), F.array(F.concat(F.lit("d"), F.col("s_nationkey").cast("string"), F.lit(".com"))).alias("domains"), none.alias("aliases"))
-    return resolve.merge_targets(i, s).select("id", F.size("targets").cast("long").alias("targets"), "target", "conflict")
-
-
 @query("""
 WITH c AS (SELECT c_custkey AS id, c_custkey // 15 AS k, c_custkey % 2 AS odd FROM customer),
 i AS (SELECT id, 'name ' || k AS name, 'd' || (k + odd) || '.com' AS domain FROM c),
@@ -502,7 +476,7 @@ m AS (SELECT id, target FROM i JOIN s ON i.name = s.name UNION SELECT id, target
 g AS (SELECT id, count(DISTINCT target) AS n, min(target) AS t FROM m GROUP BY id)
 SELECT id, n AS targets, CASE WHEN n = 1 THEN t END AS target, n > 1 AS conflict FROM g
 """)
-def entity_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers against all suppliers, by keys that few share."""
     none, k = F.lit(None).cast("array<string>"), F.expr("c_custkey div 15")
     domain = lambda x: F.array(F.concat(F.lit("d"), x.cast("string"), F.lit(".com"))).alias("domains")
@@ -512,26 +486,12 @@ def entity_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_targets(i, s).select("id", F.size("targets").cast("long").alias("targets"), "target", "conflict")
 
 
-@query("""
-WITH o AS (SELECT o_custkey AS id, max(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
-n AS (SELECT o_custkey AS id, min(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 3 <> 0 GROUP BY 1)
-SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(n.seen, o.seen)::DATE::VARCHAR AS seen, coalesce(o.first, n.first)::DATE::VARCHAR AS first, round(coalesce(n.v, o.v), 2) AS v FROM o FULL JOIN n ON o.id = n.id
-""")
-def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1, X3"""
-    o = table(spark, sf_dir, "orders")
-    side = lambda rows, f: rows.groupBy(F.col("o_custkey").alias("id")).agg(f("o_orderpriority").alias("name"), F.max("o_orderdate").alias("seen"), F.min("o_orderdate").alias("first"), F.sum("o_totalprice").alias("v"))
-    old, new = side(o.where("o_orderkey % 2 = 0"), F.max), side(o.where("o_orderkey % 2 = 1 and o_custkey % 3 <> 0"), F.min)
-    merged = store.upsert(old, new, ["id"], {"name": store.OLD, "first": store.OLD})
-    return merged.select("id", "name", F.col("seen").cast("date").cast("string").alias("seen"), F.col("first").cast("date").cast("string").alias("first"), F.round("v", 2).alias("v"))
-
-
 @query("""
 WITH o AS (SELECT o_custkey AS id, max(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
 n AS (SELECT o_custkey AS id, min(o_orderpriority) AS name, max(o_orderdate) AS seen, min(o_orderdate) AS first, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(n.seen, o.seen)::DATE::VARCHAR AS seen, coalesce(o.first, n.first)::DATE::VARCHAR AS first, round(coalesce(n.v, o.v), 2) AS v FROM o FULL JOIN n ON o.id = n.id
 """)
-def upsert_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is on one of the two sides."""
     o = table(spark, sf_dir, "orders")
     side = lambda rows, f: rows.groupBy(F.col("o_custkey").alias("id")).agg(f("o_orderpriority").alias("name"), F.max("o_orderdate").alias("seen"), F.min("o_orderdate").alias("first"), F.sum("o_totalprice").alias("v"))

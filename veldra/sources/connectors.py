@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veldra.functions.dates import cn_date
 from veldra.functions.text import clean, decode_named_entities, replace, thread_comment, trim
 from veldra.functions.urls import clean_url
+from veldra.operators.scratch import listed
 
 JOB = "struct<title:string,url:string,company:string,location:string,posted_at:bigint,description:string>"
 
@@ -259,17 +260,17 @@ def parse(payloads: DataFrame, provider: str) -> DataFrame:
 
 
 def parse_all(payloads: DataFrame, providers: list[str] | None = None) -> DataFrame:
-    """Postings of several providers.  ``payloads`` should be a table: each provider is one filtered scan of it, which
-    a table partitioned by provider prunes."""
-    out = None
-    for p in providers or PROVIDERS:
-        one = parse(payloads, p)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Postings of several providers, in one pass over the payloads: each row takes its provider's projection."""
+    every = list(providers or PROVIDERS)
+    found = F.lit(None).cast(f"array<{JOB}>")
+    for p in reversed(every):
+        found = F.when(F.col("provider") == p, postings(p, F.col("payload"), F.col("company"), F.col("origin")).cast(f"array<{JOB}>")).otherwise(found)
+    jobs = payloads.where(F.col("provider").isin(every)).select("provider", F.explode(found).alias("j")).select("provider", "j.*")
+    return jobs.where((F.coalesce("title", F.lit("")) != "") & clean_url(F.col("url")).isNotNull())
 
 
 def resolve_provider(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries (entry, provider, url) with the explicit provider, or else the first rule (pos, id, pattern) that
     fits the url.  ``rules`` is the list of providers."""
-    hit = entries.join(F.broadcast(rules.select("pos", "id", "pattern")), F.rlike(F.coalesce("url", F.lit("")), F.col("pattern"))).groupBy("entry").agg(F.min_by("id", "pos").alias("_p"))
+    hit = entries.join(listed(rules.select("pos", "id", "pattern")), F.rlike(F.coalesce("url", F.lit("")), F.col("pattern"))).groupBy("entry").agg(F.min_by("id", "pos").alias("_p"))
     return entries.join(hit, "entry", "left").withColumn("provider", F.coalesce(F.nullif("provider", F.lit("")), "_p")).drop("_p")

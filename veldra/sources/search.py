@@ -41,10 +41,11 @@ def manual_hits(queries: DataFrame, entries: DataFrame, top: int = 8) -> DataFra
     """Hand-made entries (pos, query, company, url, title) for queries that contain their query or company.  The
     entries are a list of configuration, which bounds the join."""
     from veldra.operators.pick import top_n
+    from veldra.operators.scratch import listed
 
     e = entries.select("pos", F.col("query").alias("_q"), "company", "url", "title")
     fits = (_s(F.col("_q")) == "") | F.col("query").contains(_s(F.col("_q"))) | ((_s(F.col("company")) != "") & F.col("query").contains(_s(F.col("company"))))
-    met = top_n(queries.select("query").distinct().join(F.broadcast(e), fits), ["query"], top, F.col("pos"))
+    met = top_n(queries.select("query").distinct().join(listed(e), fits), ["query"], top, F.col("pos"))
     return met.select("query", "company", "url", "title", F.lit("manual").alias("provider"))
 
 
