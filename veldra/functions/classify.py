@@ -410,7 +410,8 @@ def matches_location(locations: Column, wanted: str | None) -> Column:
     if not wanted or not wanted.strip():
         return F.lit(True)
     w = F.lower(F.lit(wanted.strip()))
-    return (F.size(locations) == 0) | F.exists(locations, lambda p: F.lower(p).contains(w) | w.contains(F.lower(p)))
+    known = F.coalesce(locations, F.array().cast("array<string>"))
+    return (F.size(known) == 0) | F.exists(known, lambda p: F.lower(p).contains(w) | w.contains(F.lower(p)))
 
 
 def trust(url: Column, company: Column, suspicious: list[str], allowed: list[str] = rules.TRUSTED_ATS) -> Column:

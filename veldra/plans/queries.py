@@ -681,3 +681,7 @@ def salary_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     interval = F.element_at(F.array(F.lit("1 HOUR"), F.lit("1 MONTH"), F.lit("1 YEAR"), F.lit("1 MOON")), (F.col("p_size") % 4 + 1).cast("int"))
     pay = text.annual_salary(F.col("p_retailprice") * 1.5, F.col("p_retailprice"), interval, F.lit("usd"))
     return table(spark, sf_dir, "part").select("p_partkey", pay["min"].alias("low"), pay["max"].alias("high"))
+
+
+# further queries register themselves
+from veldra.plans import operator_queries  # noqa: E402, F401

@@ -45,7 +45,7 @@ def cross_listed(offers: DataFrame, history: DataFrame, days: int = 90) -> DataF
     from veldra.functions.text import latin_key
     from veldra.operators.near_dup import THRESHOLD, bands, similarity
 
-    cut = lambda df, n: df.select(F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.col("ts").alias(f"{n}_ts"), F.explode(bands(F.col("fingerprint"))).alias("band"))
+    cut = lambda df, n: df.select(F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.col("ts").alias(f"{n}_ts"), F.explode(bands(F.col("fingerprint"), int((1 - THRESHOLD) * 64))).alias("band"))
     met = cut(offers.where("fingerprint <> ''"), "offer").join(cut(history.where("fingerprint <> ''"), "row"), "band")
     met = met.where("offer_company <> row_company and offer_url <> row_url").where(F.col("row_ts") >= F.col("offer_ts") - F.expr(f"INTERVAL {days} DAYS"))
     score = similarity(F.col("offer_fp"), F.col("row_fp"))
