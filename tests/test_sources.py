@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import pytest
@@ -22,6 +23,11 @@ PAYLOADS = [
     ("smartrecruiters", "S", "", "not json", []),
     ("remotive", "S", "", '{"jobs": "odd"}', []),
     ("ashby", None, None, None, []),
+    ("ashby", "A", "", '{"jobs":[{"title":"G","jobUrl":"https://a.co/1","location":"Canada","secondaryLocations":[{"location":"Europe","address":{"postalAddress":{"addressLocality":"Berlin","addressCountry":"Germany"}}},{"location":"Canada"}]}]}', [("G", "https://a.co/1", "A", "Canada · Europe · Berlin · Germany", None)]),
+    ("workday", "A", "https://w.com/s", '{"jobPostings":[{"title":"H","externalPath":"/job/New-York/dev_1","postedOn":"Posted 30+ Days Ago"}]}', [("H", "https://w.com/s/job/New-York/dev_1", "A", "New York", None)]),
+    ("recruitee", "A", "", '{"offers":[{"title":"I","url":"https://r.co/1","city":"Bonn","country":"DE","remote":true},{"title":"J","careers_url":"https://r.co/2","location":"Rome"}]}', [("I", "https://r.co/1", "A", "Bonn, DE, Remote", None), ("J", "https://r.co/2", "A", "Rome", None)]),
+    ("breezy", "A", "", '[{"name":"K","url":"https://b.hr/1","location":{"city":"Rome","country":{"name":"IT"},"is_remote":true}},{"name":"L","url":"https://b.hr/2","location":{"name":"Remote EU","is_remote":true}}]', [("K", "https://b.hr/1", "A", "Rome, IT, Remote", None), ("L", "https://b.hr/2", "A", "Remote EU", None)]),
+    ("bamboohr", "A", "https://a.bamboohr.com", '{"result":[{"id":"7","jobOpeningName":"M","location":{"city":"Rome"},"isRemote":1}]}', [("M", "https://a.bamboohr.com/careers/7", "A", "Rome, Remote", None)]),
 ]
 
 
@@ -34,9 +40,96 @@ def test_connectors(spark, provider, company, origin, payload, want):
 
 def test_every_connector_compiles_and_bears_nonsense(spark):
     assert len(connectors.PROVIDERS) == 60
-    rows = [(p, "c", "https://o.com", x) for p in connectors.PROVIDERS[::6] for x in ("", "[]", "{}", "<item></item>", None)]
+    rows = [(p, "c", "https://o.com", x) for p in connectors.PROVIDERS for x in ("", "[]", "{}", "<item></item>", None)]
     df = spark.createDataFrame(rows, "provider string, company string, origin string, payload string")
-    assert connectors.parse_all(df, connectors.PROVIDERS[::6]).count() == 0
+    for k in range(0, 60, 20):
+        assert connectors.parse_all(df, connectors.PROVIDERS[k : k + 20]).count() == 0
+
+
+def test_pay_and_labels(spark):
+    payload = '{"jobs":[{"title":"G","jobUrl":"https://a.co/1","compensation":{"minValue":"50","maxValue":20,"interval":"1 HOUR","currency":" usd "}},{"title":"H","jobUrl":"https://a.co/2"}]}'
+    df = spark.createDataFrame([("ashby", "A", "", payload), ("workday", "B", "https://w.com", '{"jobPostings":[{"title":"T","externalPath":"/x","postedOn":"Posted 2 Days Ago"},{"title":"U","externalPath":"/y","postedOn":"Posted Today"}]}')], "provider string, company string, origin string, payload string")
+    got = {r.title: r for r in connectors.parse_all(df, ["ashby", "workday"]).withColumn("days", (F.unix_millis(F.current_timestamp()) - F.col("posted_at")) / 86_400_000).collect()}
+    assert tuple(got["G"].salary) == (41600.0, 104000.0, "USD") and got["H"].salary is None
+    assert abs(got["T"].days - 2) < 0.1 and abs(got["U"].days) < 0.1
+
+
+def made(feed):
+    """A payload with one posting that has every field where the feed says it is, and what is to be read from it."""
+
+    def put(doc, path, value):
+        steps = re.findall(r"[.]([A-Za-z0-9_]+)|\[([0-9*]+)\]", path)
+        at = doc
+        for k, (key, index) in enumerate(steps):
+            nxt = [] if k + 1 < len(steps) and steps[k + 1][1] else {}
+            last = k == len(steps) - 1
+            if index:
+                if not at:
+                    at.append(value if last else nxt)
+                at = at[0]
+            else:
+                at = at.setdefault(key, value if last else nxt)
+
+    if isinstance(feed, connectors.Json):
+        item, want = {}, {}
+        put(item, feed.title, "Dev")
+        if feed.url.startswith("$"):
+            put(item, feed.url, "https://x.example.com/1")
+        for name in re.findall(r"\{(\$[^}]*)\}", feed.url):
+            put(item, name, "7")
+        for k, p in enumerate(feed.location):
+            put(item, p, f"Place{k}")
+        if feed.company:
+            put(item, feed.company, "Acme")
+        doc = [item]
+        if feed.items != "$":
+            doc = {}
+            put(doc, feed.items, [item])
+        url = "https://x.example.com/1" if feed.url.startswith("$") else re.sub(r"\{[^}]*\}", "7", feed.url.replace("{origin}", "https://o.example.com"))
+        return json.dumps(doc), ("Dev", url, "Acme" if feed.company else "Firm", feed.joined.join(f"Place{k}" for k in range(len(feed.location))))
+    if isinstance(feed, connectors.Xml):
+        tags = {feed.title: {"": "Dev", ":": "Acme: Dev", "at": "Dev at Acme"}[feed.split], feed.url: "5" if feed.url == "id" else "https://x.example.com/1", **{p: f"Place{k}" for k, p in enumerate(feed.location)}}
+        if feed.company:
+            tags[feed.company] = "Acme"
+        where = [f"Place{k}" for k in range(len(feed.location))]
+        body = "".join(f"<{k}>{v}</{k}>" for k, v in tags.items())
+        return f"<rss><{feed.item}>{body}</{feed.item}></rss>", ("Dev", "https://o.example.com/job/5" if feed.url == "id" else "https://x.example.com/1", "Acme" if feed.company or feed.split else "Firm", where[0] if feed.split == ":" else ", ".join(where))
+    return None
+
+
+PAGES = {
+    "avature": '<article><a href="https://x.example.com/JobDetail/1">Dev</a><span class="location">Rome</span></article>',
+    "deutschebahn": '<a class="m-search-hit" href="https://x.example.com/1"><span class="m-search-hit__title-text">Dev</span><ul><li><i aria-label="Arbeitsort"></i>Rome</li></ul></a>',
+    "hecklerkoch": '<a href="https://x.example.com/1"><h3>Dev</h3></a>',
+    "radancy": '<li><a class="search-results-list__job-link" href="https://x.example.com/1">Dev</a><div class="search-results-list__job-info--location"><span>Rome</span></div></li>',
+    "rheinmetall": '<a href="/en/job/dev/12"><div class="md:text-xl x">Dev</div><div class="flex flex-wrap mr-6">Rome</div></a>',
+    "softgarden": '<div id="job_id_1"><a href="https://x.example.com/job/1">Dev</a><div class="location-container">Rome</div></div>',
+    "gank-interview": '<tr><td><a href="https://x.example.com/1">Dev</a></td><td class="city">Rome</td><td>2026-01-02</td></tr>',
+    "niuqizhipin": '<li><a href="https://x.example.com/1">Dev</a> 2026-01-02</li>',
+    "yingjiesheng": '<li><a href="https://x.example.com/1">Dev</a> 2026-01-02</li>',
+}
+
+
+def test_every_feed_reads_a_posting(spark):
+    payloads, want = [], {}
+    for name, feed in connectors.FEEDS.items():
+        got = made(feed)
+        if got:
+            payloads.append((name, "Firm", "https://o.example.com/", got[0]))
+            want[name] = got[1]
+        else:
+            payloads.append((name, "Firm", "https://o.example.com/", PAGES[name]))
+    payloads.append(("workable", "Firm", "", "| Title | Dept | Loc | Link |\n| Dev | D | Rome | [View](https://x.example.com/1.md) |"))
+    payloads.append(("hackernews", "", "https://hn", '{"children":[{"text":"Acme | Dev | Remote<p>see https://acme.io/jobs."}]}'))
+    assert {p[0] for p in payloads} == set(connectors.PROVIDERS) and len(payloads) == 60
+    df = spark.createDataFrame(payloads, "provider string, company string, origin string, payload string")
+    got = {}
+    for k in range(0, 60, 20):
+        got |= {r.provider: (r.title, r.url, r.company, r.location) for r in connectors.parse_all(df, connectors.PROVIDERS[k : k + 20]).collect()}
+    assert set(got) == set(connectors.PROVIDERS), set(connectors.PROVIDERS) - set(got)
+    assert {k: v for k, v in got.items() if k in want} == want
+    for name in PAGES:
+        assert got[name][0] == "Dev" and got[name][1].startswith("https://") and got[name][3] in ("Rome", "")
 
 
 def test_resolve_provider(spark):

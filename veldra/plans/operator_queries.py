@@ -130,7 +130,7 @@ MORE: dict[str, list[tuple[tuple, str | None]]] = {
     "canonical_hash": [(("x", "y"), hashlib.sha256(b'{"a":"x","b":"y"}').hexdigest()), (("é", ""), hashlib.sha256('{"a":"é","b":""}'.encode()).hexdigest())],
     "target_evidence": [(("2026届校招 秋招 实习 2025 届",), "CAMPUS,INTERNSHIP|2025,2026|AUTUMN"), (("社招",), "SOCIAL||"), (("x",), "||")],
     "needs_render": [(("RESOLVED", "UNKNOWN", "500", "y"), "true"), (("RESOLVED", "JOB_LIST", "100", "n"), "true"), (("RESOLVED", "JOB_LIST", "500", "n"), "false"), (("FAILED", "UNKNOWN", "0", "n"), "false")],
-    "organization_type": [(("北京大学",), "高校"), (("协和医院",), "医院"), (("中国科学院",), "科研院所"), (("招商银行",), "金融机构"), (("税务局",), "机关事业单位"), (("华为公司",), "企业"), (("x",), "待确认")],
+    "organization_type": [(("北京大学",), "高校"), (("协和医院",), "医院"), (("某研究所",), "科研院所"), (("招商银行",), "金融机构"), (("税务局",), "机关事业单位"), (("华为公司",), "企业"), (("x",), "待确认")],
     "source_trust": [(("official_ats", "https://a.com"), "official 100"), (("university", "https://a.com"), "high 85"), (("aggregator", "https://a.com"), "discovery 45"), (("x", "https://a.com"), "lead 20"), (("x", "https://acme.com/careers"), "official 100"), (("x", "https://mp.weixin.qq.com/s"), "high 90")],
     "page_identity": [(("<title>Acme jobs</title><footer>Acme</footer>",), "title,footer true"), (("<title>Acme</title>",), "title false"), (("<nav>Acme</nav><title>Acme</title>",), "title,nav false")],
     "hard_negative": [(("https://www.zhipin.com/x", ""), "aggregator_domain"), (("https://job.pku.edu.cn/", ""), "university_employment_site"), (("https://acme.com/news/1", ""), "news_reprint"), (("https://acme.com/", "Java培训班"), "training_provider"), (("https://acme.com/", "加微信"), "private_or_payment_risk"), (("https://acme.com/", "x"), None)],

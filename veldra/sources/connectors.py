@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.functions.dates import cn_date
-from veldra.functions.text import clean, decode_named_entities, replace, thread_comment, trim
+from veldra.functions.text import annual_salary, clean, decode_named_entities, fold_locations, replace, thread_comment, trim
 from veldra.functions.urls import clean_url
 from veldra.operators.scratch import listed
 
-JOB = "struct<title:string,url:string,company:string,location:string,posted_at:bigint,description:string>"
+PAY = "struct<min:double,max:double,currency:string>"
+JOB = f"struct<title:string,url:string,company:string,location:string,posted_at:bigint,description:string,salary:{PAY}>"
 
 
 @dataclass(frozen=True)
 class Json:
-    """Fields are paths below an item; ``{path}`` in a url is put in encoded, ``{origin}`` as it is."""
+    """Fields are paths below an item; ``{path}`` in a url is put in encoded, ``{origin}`` as it is.
+
+    ``other_url`` and ``other_location`` stand in where the first is empty.  ``pay``: paths of least and greatest
+    amount, interval and currency.
+    """
 
     items: str
     title: str
@@ -35,6 +40,9 @@ class Json:
     description: tuple[str, ...] = ()
     remote: str = ""
     name: str = ""
+    other_url: str = ""
+    other_location: tuple[str, ...] = ()
+    pay: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -71,10 +79,10 @@ FEEDS: dict[str, Json | Xml | Html] = {
     "amazon": Json("$.jobs", "$.title", "https://www.amazon.jobs{$.job_path}", "$.company_name", ("$.normalized_location",), posted="$.posted_date"),
     "arbeitnow": Json("$.data", "$.title", "$.url", "$.company_name", ("$.location",), posted="$.created_at", time="s", remote="$.remote"),
     "arbeitsagentur": Json("$.stellenangebote", "$.titel", "https://www.arbeitsagentur.de/jobsuche/jobdetail/{$.refnr}", "$.arbeitgeber", ("$.arbeitsort.ort", "$.arbeitsort.region")),
-    "ashby": Json("$.jobs", "$.title", "$.jobUrl", location=("$.location",), posted="$.publishedAt"),
-    "bamboohr": Json("$.result", "$.jobOpeningName", "{origin}/careers/{$.id}", location=("$.location.city", "$.location.state")),
+    "ashby": Json("$.jobs", "$.title", "$.jobUrl", location=("$.location",), posted="$.publishedAt", pay=("$.compensation.minValue", "$.compensation.maxValue", "$.compensation.interval", "$.compensation.currency")),
+    "bamboohr": Json("$.result", "$.jobOpeningName", "{origin}/careers/{$.id}", location=("$.location.city", "$.location.state"), remote="$.isRemote"),
     "beesite": Json("$.SearchResult.SearchResultItems", "$.MatchedObjectDescriptor.PositionTitle", "$.MatchedObjectDescriptor.PositionURI", location=("$.MatchedObjectDescriptor.PositionLocation[*].CityName",), joined=" / ", posted="$.MatchedObjectDescriptor.PublicationStartDate"),
-    "breezy": Json("$", "$.name", "$.url", location=("$.location.name",), posted="$.published_date", remote="$.location.is_remote"),
+    "breezy": Json("$", "$.name", "$.url", location=("$.location.name",), posted="$.published_date", remote="$.location.is_remote", other_location=("$.location.city", "$.location.state", "$.location.country.name")),
     "bytedance": Json("$.data.job_post_list", "$.title", "https://jobs.bytedance.com/campus/position/{$.id}/detail", location=("$.city_list[*].name",), joined="/", posted="$.publish_time", time="ms", description=("$.description", "$.requirement"), name="字节跳动"),
     "comeet": Json("$", "$.name", "$.url_active_page", location=("$.location.name",), posted="$.time_updated", remote="$.location.is_remote"),
     "csod": Json("$.data.requisitions", "$.displayJobTitle", "{origin}/requisition/{$.requisitionId}", location=("$.locations[*].city",), posted="$.postingEffectiveDate"),
@@ -95,7 +103,7 @@ FEEDS: dict[str, Json | Xml | Html] = {
     "nowcoder-schedule": Json("$.data.datas", "$.batchName", "https://www.nowcoder.com/jobs/school/schedule?company={$.companyId}", "$.name", ("$.cityList[*]",), joined="/", posted="$.updateTime", time="ms", description=("$.companyEvaluation", "$.batchName", "$.wangshenTime")),
     "phenom": Json("$.refineSearch.data.jobs", "$.title", "{origin}/job/{$.jobId}", "$.companyName", ("$.location",), posted="$.postedDate"),
     "pinpoint": Json("$.data", "$.title", "$.url", location=("$.location.name",)),
-    "recruitee": Json("$.offers", "$.title", "$.careers_url", location=("$.location",), remote="$.remote"),
+    "recruitee": Json("$.offers", "$.title", "$.careers_url", location=("$.location",), other_url="$.url", other_location=("$.city", "$.country"), remote="$.remote"),
     "remoteok": Json("$", "$.position", "$.url", "$.company", ("$.location",), name="RemoteOK"),
     "remotive": Json("$.jobs", "$.title", "$.url", "$.company_name", ("$.candidate_required_location",), name="Remotive"),
     "rippling": Json("$", "$.name", "$.url", location=("$.workLocation.label",)),
@@ -106,7 +114,7 @@ FEEDS: dict[str, Json | Xml | Html] = {
     "thehub": Json("$.jobs.docs", "$.title", "https://thehub.io/jobs/{$.key}", "$.company.name", ("$.location.locality", "$.location.country"), posted="$.publishedAt", remote="$.isRemote"),
     "themuse": Json("$.results", "$.name", "$.refs.landing_page", "$.company.name", ("$.locations[*].name",)),
     "tkms": Json("$.results", "$.title", "{origin}/job/{$.id}", location=("$.city", "$.country"), posted="$.publicationDate"),
-    "workday": Json("$.jobPostings", "$.title", "{origin}{$.externalPath}", location=("$.locationsText",)),
+    "workday": Json("$.jobPostings", "$.title", "{origin}{$.externalPath}", location=("$.locationsText",), posted="$.postedOn", time="label"),
     "workingnomads": Json("$", "$.title", "$.url", "$.company_name", ("$.location",), name="Working Nomads"),
     "higheredjobs": Xml(company="description"),
     "jobspresso": Xml(company="job_listing:company", location=("job_listing:location",), name="Jobspresso"),
@@ -133,14 +141,19 @@ def _get(item: Column, path: str) -> Column:
     raw = F.get_json_object(item, path)
     if "[*]" not in path:
         return raw
-    several = F.from_json(raw, "array<string>")
-    return F.when(F.startswith(raw, F.lit("[")), F.array_join(several, "\x01")).otherwise(raw)
+    # of one part alone Spark gives the part, in its quotes, not a list
+    parts = F.when(F.startswith(raw, F.lit("[")), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    return F.array_join(F.from_json(parts, "array<string>"), "\x01")
 
 
 def _time(raw: Column, kind: str) -> Column:
     n = raw.try_cast("double")
     if kind == "cn":
         return cn_date(raw)
+    if kind == "label":
+        # so many days before the time of reading; more than so many is no date
+        days = F.when(raw.rlike(r"(?i)posted\s+today"), 0).when(raw.rlike(r"(?i)posted\s+yesterday"), 1).otherwise(F.regexp_extract(raw, r"(?i)posted\s+(\d+)\s*day", 1).try_cast("int"))
+        return F.unix_millis(F.current_timestamp()) - days.cast("long") * 86_400_000
     parsed = F.unix_millis(F.try_to_timestamp(raw))
     # the date of a mail or feed, without its weekday
     mail = replace(replace(raw, "^[A-Za-z]{3}, *"), "(?:GMT|UTC|Z)$", "+0000")
@@ -149,8 +162,9 @@ def _time(raw: Column, kind: str) -> Column:
     return F.coalesce(F.when(n > 0, F.when(n < 1e10, n * 1000).otherwise(n).cast("long")), parsed, F.unix_millis(F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))))
 
 
-def _posting(title: Column, url: Column, company: Column, location: Column, posted: Column, description: Column) -> Column:
-    return F.struct(title.alias("title"), url.alias("url"), company.alias("company"), location.alias("location"), posted.alias("posted_at"), description.alias("description"))
+def _posting(title: Column, url: Column, company: Column, location: Column, posted: Column, description: Column, salary: Column | None = None) -> Column:
+    pay = F.lit(None).cast(PAY) if salary is None else salary.cast(PAY)
+    return F.struct(title.alias("title"), url.alias("url"), company.alias("company"), location.alias("location"), posted.alias("posted_at"), description.alias("description"), pay.alias("salary"))
 
 
 def _fill(item: Column, template: str, origin: Column) -> Column:
@@ -169,16 +183,27 @@ def _fill(item: Column, template: str, origin: Column) -> Column:
 def _json(feed: Json, payload: Column, company: Column, origin: Column) -> Column:
     items = F.from_json(payload if feed.items == "$" else F.get_json_object(payload, feed.items), "array<string>")
 
+    def places(item: Column, paths: tuple[str, ...]) -> Column:
+        found = F.array(*(_get(item, p) for p in paths), F.lit(None).cast("string"))
+        return F.filter(F.transform(F.flatten(F.transform(F.array_compact(found), lambda x: F.split(x, "\x01"))), trim), lambda x: x != "")
+
     def one(item: Column) -> Column:
-        places = F.array(*(_get(item, p) for p in feed.location), F.lit(None).cast("string"))
-        parts = F.filter(F.transform(F.flatten(F.transform(F.array_compact(places), lambda x: F.split(x, "\x01"))), trim), lambda x: x != "")
+        parts = places(item, feed.location)
+        if feed.other_location:
+            other = places(item, feed.other_location)
+            parts = F.when(F.size(parts) > 0, parts).otherwise(other)
         if feed.remote:
-            parts = F.concat(parts, F.when(F.lower(F.coalesce(_get(item, feed.remote), F.lit(""))).isin("true", "remote"), F.array(F.lit("Remote"))).otherwise(F.array().cast("array<string>")))
+            away = F.lower(F.coalesce(_get(item, feed.remote), F.lit(""))).isin("true", "remote", "1") & ~F.exists(parts, lambda x: F.lower(x).contains("remote"))
+            parts = F.concat(parts, F.when(away, F.array(F.lit("Remote"))).otherwise(F.array().cast("array<string>")))
         own = F.nullif(trim(_get(item, feed.company)), F.lit("")) if feed.company else F.lit(None).cast("string")
         name = F.coalesce(own, F.nullif(company, F.lit("")), F.lit(feed.name))
         text = F.concat_ws("\n", *(_get(item, p) for p in feed.description)) if feed.description else F.lit("")
         posted = _time(_get(item, feed.posted), feed.time) if feed.posted else F.lit(None).cast("long")
-        return _posting(clean(replace(_get(item, feed.title), "<[^>]*>", " ")), _fill(item, feed.url, origin), name, F.array_join(F.array_distinct(parts), feed.joined), posted, text)
+        url = _fill(item, feed.url, origin)
+        if feed.other_url:
+            url = F.coalesce(F.nullif(url, F.lit("")), _fill(item, feed.other_url, origin))
+        pay = annual_salary(*(_get(item, p) for p in feed.pay)) if feed.pay else None
+        return _posting(clean(replace(_get(item, feed.title), "<[^>]*>", " ")), url, name, F.array_join(F.array_distinct(parts), feed.joined), posted, text, pay)
 
     return F.transform(items, one)
 
@@ -232,6 +257,26 @@ def _workable(payload: Column, company: Column) -> Column:
     return F.transform(rows, one)
 
 
+def _ashby(jobs: Column, payload: Column) -> Column:
+    """The postings with the places of their further regions."""
+    more = "array<struct<location:string,address:struct<postalAddress:struct<addressLocality:string,addressCountry:string>>>>"
+    items = F.from_json(F.get_json_object(payload, "$.jobs"), "array<string>")
+
+    def places(item: Column) -> Column:
+        second = F.from_json(F.get_json_object(item, "$.secondaryLocations"), more)
+        parts = F.transform(second, lambda s: F.struct(s["location"].alias("location"), s["address"]["postalAddress"]["addressLocality"].alias("locality"), s["address"]["postalAddress"]["addressCountry"].alias("country")))
+        return fold_locations(_get(item, "$.location"), parts)
+
+    return F.zip_with(jobs, items, lambda j, item: j.withField("location", places(item)))
+
+
+def _workday(jobs: Column, payload: Column) -> Column:
+    """The postings; a place that isn't stated is taken from the address."""
+    items = F.from_json(F.get_json_object(payload, "$.jobPostings"), "array<string>")
+    slug = lambda item: F.replace(F.try_url_decode(F.regexp_extract(_get(item, "$.externalPath"), "/job/([^/]+)/", 1)), F.lit("-"), F.lit(" "))
+    return F.zip_with(jobs, items, lambda j, item: j.withField("location", F.when(j["location"] == "", F.coalesce(slug(item), F.lit(""))).otherwise(j["location"])))
+
+
 def _hackernews(payload: Column, origin: Column) -> Column:
     comments = F.from_json(F.get_json_object(payload, "$.children"), "array<struct<text:string>>")
     found = F.transform(comments, lambda t: thread_comment(t["text"], origin))
@@ -249,7 +294,8 @@ def postings(provider: str, payload: Column, company: Column, origin: Column) ->
         return _hackernews(payload, origin)
     feed = FEEDS[provider]
     kind = _json if isinstance(feed, Json) else _xml if isinstance(feed, Xml) else _html
-    return kind(feed, payload, company, origin)
+    jobs = kind(feed, payload, company, origin)
+    return _ashby(jobs, payload) if provider == "ashby" else _workday(jobs, payload) if provider == "workday" else jobs
 
 
 def parse(payloads: DataFrame, provider: str) -> DataFrame:
