@@ -78,13 +78,18 @@ class Younger:
     """
 
     def __init__(self):
-        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        text = "".join(map(chr, every))
-        kinds = {c: unicodedata.category(chr(c))[0] for c in every}
-        kinds |= dict.fromkeys(code_points(_LETTERS_SINCE), "L") | dict.fromkeys(code_points(_NUMBERS_SINCE), "N")
-        engine = dict.fromkeys(map(ord, regex.findall(r"\p{L}", text)), "L") | dict.fromkeys(map(ord, regex.findall(r"\p{N}", text)), "N")
-        right = {c: k if k in "LN" else "" for c, k in kinds.items()}
-        self.stand_in = {c: {"L": "\u0436", "N": "\u0661", "": "\u2603"}[k] for c, k in right.items() if k != engine.get(c, "") and not chr(c).isspace()}
+        # the class of every code point, at its own place, by the pattern's engine and as it should be
+        text = "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))
+        engine, right = bytearray(len(text)), bytearray(ord(unicodedata.category(c)[0]) for c in text)
+        for kind in "LN":
+            for m in regex.finditer(rf"\p{{{kind}}}+", text):
+                engine[m.start() : m.end()] = kind.encode() * (m.end() - m.start())
+        for kind, since in (("L", _LETTERS_SINCE), ("N", _NUMBERS_SINCE)):
+            for c in code_points(since):
+                right[c] = ord(kind)
+        right = right.translate(bytes(c if c in b"LN" else 0 for c in range(256)))
+        stand_ins = {ord("L"): "\u0436", ord("N"): "\u0661", 0: "\u2603"}
+        self.stand_in = {c: stand_ins[k] for c, (k, own) in enumerate(zip(right, engine, strict=True)) if k != own and not text[c].isspace()}
         self.lower = {}
         for one in _LOWER_SINCE.split():
             upper, to = one.split(":")
