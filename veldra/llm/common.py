@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,39 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def cols(names: Iterable[str]) -> list[Column]:
+    """Columns of these very names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def beside(df: DataFrame, keep: list[str], inputs: list[Column], added: dict[str, str], start: Callable) -> DataFrame:
+    """Columns ``keep`` of ``df``, of any names, with the columns ``added`` (name -> type) that Python workers make.
+
+    ``start()`` is called in each task and gives a function of the Arrow arrays of ``inputs`` for a batch of rows; it
+    yields (rows, columns): a slice or a list of the batch's rows, and for each column added its values for these rows.
+    Workers see no column's own name, since Spark looks names with dots up as fields when it hands tables to Python.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(df.sparkSession)
+    kept = df.select(*(c.alias(f"k{k}") for k, c in enumerate(cols(keep))))
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"x{k} {t}" for k, t in enumerate(added.values())))])
+    arrow = to_arrow_schema(schema)
+    n = len(keep)
+
+    def run(batches: Iterator) -> Iterator:
+        work = start()
+        for batch in batches:
+            for rows, made in work(batch.columns[n:]):
+                own = [c.slice(rows.start, rows.stop - rows.start) if isinstance(rows, slice) else c.take(pa.array(rows, pa.int64())) for c in batch.columns[:n]]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*own, *made], arrow, strict=True)], schema=arrow)
+
+    given = [c.alias(f"k{k}") for k, c in enumerate(cols(keep))] + [c.alias(f"i{k}") for k, c in enumerate(inputs)]
+    return df.select(*given).mapInArrow(run, schema).toDF(*keep, *added)
+
+
 #: Rows that Python workers get at once: texts may be long, and a batch is held by Spark and by the worker.
 BATCH_ROWS = 500
 

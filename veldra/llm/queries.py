@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import bpe, decontam, embeddings, html, langid, lines, pii, quality, simhash, urls
+from veldra.llm import align, bpe, decontam, embeddings, html, langid, lines, packing, pii, quality, resample, simhash, urls
 from veldra.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_language, op6_url_filter, op7_pii, op8_bpe, op9_html_text, op10_decontamination)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_language, op6_url_filter, op7_pii, op8_bpe, op9_html_text, op10_decontamination, op11_alignment, op12_resampling, op13_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,4 +99,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
-ORACLE = {"op2_line_dedup": lines.ORACLE, "op3_embedding_dedup": OP3, "op6_url_filter": OP6, "op10_decontamination": OP10}
+#: CRC-32 is written out, on distinct words: its table, then a fold over the word's bytes.
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS x FROM d),
+bf AS (SELECT unnest({_WORDS}) AS x FROM benchmark),
+k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+wd AS (SELECT DISTINCT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION ALL SELECT x FROM bf)),
+wb AS (SELECT x, list_transform(range(1, length(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1) AS b FROM wd),
+b AS (SELECT x, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM wb, k),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN b USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN b USING (x) GROUP BY bucket),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN b USING (x) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, list_reduce(list_prepend(0, list_transform(string_split(substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, c: a * 16 + c) AS h FROM d LEFT JOIN w USING (r)),
+v AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM v WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM o) * 10 // 100 THEN rank END AS rank FROM v LEFT JOIN o USING (r)
+"""
+
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op3_embedding_dedup": OP3, "op6_url_filter": OP6, "op10_decontamination": OP10, "op12_resampling": OP12}
