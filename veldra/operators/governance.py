@@ -160,10 +160,18 @@ def platform_jobs(pages: DataFrame) -> DataFrame:
     return found.select("company", "a.url", F.col("a.text").alias("title")).dropDuplicates(["company", "url"])
 
 
-def infer_domains(records: DataFrame, domains: DataFrame) -> DataFrame:
-    """Addresses to try for records (id, company, has_career) of known companies that have no career page."""
+def infer_domains(records: DataFrame, domains: DataFrame, edits: int = 0) -> DataFrame:
+    """Addresses to try for records (id, company, has_career) of known companies that have no career page.
+
+    With ``edits`` a company counts as known if its key is within so many edits of a known one; the nearest ones are
+    taken."""
+    from veldra.operators.similarity import nearest_aliases
+
     due = records.where(~F.coalesce("has_career", F.lit(False))).withColumn("_key", company_alias(F.col("company")))
     known = domains.select(company_alias(F.col("company")).alias("_key"), F.lower("domain").alias("domain")).distinct()
+    if edits:
+        value = lambda df: df.select(F.col("_key").alias("value")).where("value <> ''")
+        known = nearest_aliases(value(due), value(known), edits).join(known.withColumnRenamed("_key", "known"), "known").select(F.col("value").alias("_key"), "domain").distinct()
     shapes = F.array(*(F.concat(F.lit(a), F.col("domain"), F.lit(b)) for a, b in (("https://careers.", "/"), ("https://jobs.", "/"), ("https://www.", "/careers"))))
     return due.join(known, "_key").select("id", "company", F.explode(shapes).alias("url"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.functions.text import company_alias, overlap, planner_company, planner_text, present
+from veldra.functions.text import company_alias, planner_company, planner_text, present, tokens
 from veldra.functions.urls import host, host_suffixes
 from veldra.operators.pick import first_by
+from veldra.operators.scratch import materialize
+from veldra.operators.similarity import set_key, similar_sets
 
 
 def resolve_companies(rows: DataFrame, companies: DataFrame, name: str = "company") -> DataFrame:
@@ -45,11 +47,20 @@ def domain_hits(pages: DataFrame, registry: DataFrame, url: str = "url") -> Data
 
 def promote_leads(leads: DataFrame, jobs: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(leads with their official job, leads without): the first job of the company with the same title or enough
-    shared words.  ``leads``: (lead, company, title); ``jobs``: (pos, company, title, url)."""
-    a = leads.withColumn("_c", planner_company(F.col("company")))
-    b = jobs.select(planner_company(F.col("company")).alias("_c"), F.col("title").alias("_t"), F.col("url").alias("official_url"), F.col("pos").alias("_pos"))
-    same = (planner_text(F.col("title")) == planner_text(F.col("_t"))) | (overlap(F.col("title"), F.col("_t")) >= least)
-    found = a.join(b, "_c").where(same).groupBy("lead").agg(F.min_by("official_url", "_pos").alias("official_url"))
+    shared words.  ``leads``: (lead, company, title); ``jobs``: (pos, company, title, url).
+
+    Different titles of a company are compared once, by a set-similarity join; see ``similarity.candidate_sets``.
+    """
+    named = lambda df: df.withColumn("_c", planner_company(F.col("company"))).withColumn("_t", planner_text(F.col("title"))).withColumn("_set", set_key(F.col("_c"), tokens(F.col("title"))))
+    a, b = named(leads), named(jobs)
+    best = lambda df, keys: df.groupBy(keys).agg(F.min("pos").alias("_pos"), F.min_by("url", "pos").alias("_url"))
+    same = a.select("lead", "_c", "_t").join(best(b, ["_c", "_t"]), ["_c", "_t"]).select("lead", "_pos", "_url")
+    sets = lambda df: df.select(F.col("_c").alias("block"), tokens(F.col("title")).alias("items"))
+    pairs = similar_sets(sets(a), sets(b), least).select(F.col("a").alias("_set"), F.col("b").alias("_b"))
+    # the first job of each set stands for it; leads with one set share its answer
+    answers = pairs.join(best(b, ["_set"]).withColumnRenamed("_set", "_b"), "_b").groupBy("_set").agg(F.min("_pos").alias("_pos"), F.min_by("_url", "_pos").alias("_url"))
+    alike = a.select("lead", "_set").join(answers, "_set").select("lead", "_pos", "_url")
+    found = materialize(same.unionByName(alike).groupBy("lead").agg(F.min_by("_url", "_pos").alias("official_url")))
     return leads.join(found, "lead"), leads.join(found, "lead", "left_anti")
 
 

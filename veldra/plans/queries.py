@@ -684,4 +684,4 @@ def salary_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from veldra.plans import operator_queries  # noqa: E402, F401
+from veldra.plans import join_queries, operator_queries, source_queries  # noqa: E402, F401
