@@ -31,7 +31,8 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     Ends ascend.  Offsets where tokens of both end cut them into groups.  A link is a pair of tokens with the same end;
     of several with one end (tokens without bytes) each is paired with each.
     """
-    cuts = np.intersect1d(ends_a, ends_b)
+    once = lambda ends: ends[np.diff(ends, prepend=-1) > 0]
+    cuts = np.intersect1d(once(ends_a), once(ends_b), assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     if not len(cuts):
         none = np.zeros(0, "int64")

@@ -15,7 +15,7 @@ from veldra.llm.bpe import byte_chars
 #: How the byte-level tokenizer's file cuts a text before it merges.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that a task encodes at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 class ByteLevel:
