@@ -201,9 +201,61 @@ def slow(page):
                 keep.append(k)
             elif k[0] == "p" and (density < 0.25 if length(k) >= 80 else density == 0 and bool(last) and last[-1][-1] in H._ENDS):
                 keep.append(k)
+    row = [k for k in kids(best[3]) if not info[id(k)].away and length(k)] if best[3] else []
+    kept = [any(k is x for x in keep) for k in row]
+    few = lambda k, most: links(k) < most * length(k) and not info[id(k)].doubt
+    for i, k in enumerate(row):
+        if any(kept[:i]) and any(kept[i:]) and few(k, 0.5):
+            keep.append(k)
+    name = "".join("i" if k[0] in ("ul", "ol", "dl", "blockquote", "table", "pre", "figure") and few(k, 0.25) else "h" if k[0] in H._HEADINGS and few(k, 0.25) else "x" for k in row)
+    if any(kept):
+        a, b = kept.index(True), len(kept) - kept[::-1].index(True)
+        keep += row[a - len(re.search("[ih]*$", name[:a])[0]) : a] + row[b : b + len(re.match("(?:h?i)*", name[b:])[0])]
     return "\n".join(t for o, t, _ in found if any(x is y for x in above(o) for y in keep))
 
 
+def planted(r):
+    """A page and the blocks of its article, which stand in several parts beside each other."""
+    words = "stone river, light window bridge, old yellow garden morning".split()
+    n = iter(range(10_000))
+    text = lambda k: f"Part {next(n)} has " + " ".join(r.choices(words, k=k)) + ", and so on."
+    want: list[str] = []
+
+    def said(k):
+        want.append(text(k))
+        return want[-1]
+
+    def part():
+        kind = r.choice(["h2", "ul", "table", "blockquote", "section", "section"])
+        if kind == "h2":
+            return f"<h2>{said(4)}</h2>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{said(5)}</li>" for _ in range(3)) + "</ul>"
+        if kind == "table":
+            return f"<table><tr><td>{said(3)}</td><td>{said(3)}</td></tr></table>"
+        if kind == "blockquote":
+            return f"<blockquote>{said(12)}</blockquote>"
+        return "<section>" + "".join(f"<p>{said(60)}</p>" for _ in range(3)) + "</section>"
+
+    section = lambda: "<section>" + "".join(f"<p>{said(60)}</p>" for _ in range(3)) + "</section>"
+    tail = r.choice(["ul", "quote", "none"])
+    inner = section() + "".join(part() for _ in range(r.randrange(6))) + section()
+    if tail == "ul":
+        inner += "<ul>" + "".join(f"<li>{said(6)}</li>" for _ in range(2)) + "</ul>"
+    elif tail == "quote":
+        inner += f"<blockquote>{said(20)}</blockquote>"
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">Link {k} of it</a></li>' for k in range(9)) + "</ul>"
+    about = f"<div class=sidebar><p>{text(30)}</p></div>"
+    return f"<html><body><nav>{menu}</nav>{menu}<div>{inner}</div>{about}<div class=comments><p>{text(40)}</p></div>{menu}<footer>{text(9)}</footer></body></html>", want
+
+
+def test_articles_of_several_parts_come_out_whole():
+    r = random.Random(8)
+    for _ in range(200):
+        page, want = planted(r)
+        assert extract(page).split("\n") == want, page
+
+
 def generated(r):
     words = ["one", "two,", "three.", "four", "&amp;", "five, six", "seven!", "<b>eight</b>", "<a href=x>nine ten</a>", "<br>", "&#233;t&eacute;"]
     names = ["x", "ad", "share-price", "share-buttons", "post", "content", "comments", "sidebar", "related-work", "menu", "notice", "story-body", "has-menu", ""]

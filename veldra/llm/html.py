@@ -1,7 +1,8 @@
 """Main-text extraction by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors, discounted by link density; the best
-container and those of its siblings that read like it are kept, without the parts that are never article text.
+container and those of its siblings that read like it are kept, with the headings, lists, tables and quotes among and
+beside them, without the parts that are never article text.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ _SPACE = re.compile(r"\s+")
 
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CONTAINERS = frozenset(("div", "td", "pre", "article", "section", "main", "body", "#top"))
+#: Parts of a text that hold no paragraph of their own.
+_INSERTS = frozenset(("ul", "ol", "dl", "blockquote", "table", "pre", "figure"))
 _ENDS = frozenset(".!?:\u2026\u3002\uff01\uff1f\"\u201d\u00bb)")
 
 
@@ -250,6 +253,24 @@ def points(node: Node, text: str, link: int) -> float:
     return got * (0.2 if node.name in _HEADINGS else 1) * (0.5 if node.doubt else 1)
 
 
+def _complete(row: list[Node]) -> None:
+    """What stands between kept siblings is part of the article, unless links fill half of it or its names say otherwise;
+    so are lists, tables and quotes with few links next to the kept ones, and headings right before what is kept."""
+    few = lambda kid, most: not kid.doubt and kid.link_n < most * kid.text_n
+    insert = lambda k: 0 <= k < len(row) and row[k].name in _INSERTS and few(row[k], 0.25)
+    heading = lambda k: 0 <= k < len(row) and row[k].name in _HEADINGS and few(row[k], 0.25)
+    kept = [k for k, kid in enumerate(row) if kid.keep]
+    first, last = kept[0], kept[-1]
+    for kid in row[first:last]:
+        kid.keep = kid.keep or few(kid, 0.5)
+    while insert(first - 1) or heading(first - 1):
+        first -= 1
+        row[first].keep = True
+    while insert(last + 1) or heading(last + 1) and insert(last + 2):
+        last += 1
+        row[last].keep = True
+
+
 def extract(html: str | None) -> str:
     """The main text; empty where the page is null, empty or has none."""
     if not html:
@@ -294,6 +315,7 @@ def extract(html: str | None) -> str:
                 alike = worth(kid) >= enough and density < 0.5 and (kid.name == best.name or kid.body)
                 # a paragraph beside it: one of some length with few links, or a short one that is a sentence
                 kid.keep = alike or kid.name == "p" and (density < 0.25 if kid.text_n >= 80 else density == 0 and kid.ends)
+        _complete([kid for kid in best.up.kids if isinstance(kid, Node) and not kid.away and kid.text_n])
     for x in order:
         x.keep = x.keep or x.up is not None and x.up.keep
     return "\n".join(text for node, text, _ in found if node.keep)
