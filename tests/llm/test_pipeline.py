@@ -45,3 +45,22 @@ def test_odd_and_empty_documents(spark, sf, odd):
     for d in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, d, sf).count() <= docs.count()
+
+
+def test_columns_of_any_name(spark, sf, odd):
+    """Dotted names, other cases, and names that stages use themselves are kept, and so are their values."""
+    renamed = {"fingerprint": "a.b", "component_id": "_Fp", "score": "_row", "_dropped": "c`d"}
+    docs = odd.withColumnsRenamed(renamed).drop("ids")
+    for extra in ("IDS", "_text", "_Leak", "k0", "i0", "_host", "text.x"):
+        given = docs.withColumn(extra, docs["doc_id"])
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, sf)
+            if name == "bpe_encoding":
+                assert set(out.columns) == ({c for c in given.columns if c.lower() != "ids"} - {"text"}) | {"ids", "decoded"}
+            else:
+                assert out.columns == given.columns
+            if extra == "IDS" or name == "line_dedup":
+                kept = {(r["doc_id"], r["a.b"], r["_Fp"], r["_row"], r["c`d"]) for r in out.collect()}
+                assert kept <= {(r["doc_id"], r["fingerprint"], r["component_id"], r["score"], r["_dropped"]) for r in odd.collect()}
+            else:
+                out.schema  # analysed without clashes

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, small_batches
+from veldra.llm.common import beside, cols, materialize, small_batches
 
 #: Words of the lexicon: the most frequent ones of the whole corpus, up to so many.
 LEXICON_WORDS = 200_000
@@ -392,7 +392,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
             if words:
                 yield flushed()
 
-    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    small_batches(docs.sparkSession)
+    counts = docs.select(cols([text_col])[0].alias("t")).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # the least count that few enough words reach is found from the number of words of each count, so that no more
     # than ``most`` words leave the executors
     counts = materialize(counts.where("n > 1"))
@@ -413,14 +414,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon
 
     Encodes whole texts without special tokens added; strings of special tokens in a text are these tokens.  A null or
     empty text, or one of white space only, has no ids and decodes to the empty text.  Repeated rows are encoded each,
-    an empty table gives no rows, columns named ids or decoded are replaced.  A piece of any length is merged in
+    an empty table gives no rows, columns named ids or decoded, in any case, are replaced and others kept, whatever their names.  A piece of any length is merged in
     n log n steps.  Broadcast: the tokenizer's vocabulary and the lexicon of at most ``lexicon_words`` words.
     """
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-    small_batches(docs.sparkSession)
     spec = Tokenizer.read(tokenizer_path)
     spec = {"added_tokens": spec["added_tokens"], "model": {k: spec["model"][k] for k in ("vocab", "merges", "end_of_word_suffix")}}
     words, plain = {}, Tokenizer(spec)
@@ -428,28 +426,25 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon
         words[w.encode("utf-8", "replace")] = plain.piece_ids(w)
     sent = docs.sparkSession.sparkContext.broadcast((json.dumps(spec), Automaton.build(words)))
     job = uuid.uuid4().hex
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    keep = [c for c in keep if c not in ("ids", "decoded")]
-    kept = docs.select(*keep)
-    schema = StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType(), False)).add("decoded", StringType())
-    arrow = to_arrow_schema(schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col and c.lower() not in ("ids", "decoded")]
 
-    def encoded(batches):
+    def start():
         own = _LIVE.get(job)
         if own is None:
             text, blob = sent.value
             _LIVE.clear()
             own = _LIVE[job] = Tokenizer(json.loads(text), Automaton(mapped(blob)))
-        with without_cycles():
-            for batch in batches:
-                ids = [own.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+
+        def work(columns):
+            with without_cycles():
+                ids = [own.encode(t) for t in columns[0].to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                columns = [*batch.columns[:-1], lists, pa.array([own.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                yield slice(0, len(ids)), [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([own.decode(x) for x in ids], pa.string())]
+
+        return work
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(encoded, schema)
+    return beside(docs, keep, cols([text_col]), {"ids": "array<int>", "decoded": "string"}, start)
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

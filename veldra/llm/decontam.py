@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import fresh, small_batches
+from veldra.llm.common import cols, fresh, small_batches
 
 WORDS = 10
 #: Test strings that are compiled into one set of tables; a task goes through its texts once for each set.
@@ -144,7 +144,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     small_batches(spark)
     sets = [spark.sparkContext.broadcast(x) for x in _passes(benchmark, item_col, item_text, size)]
     keep = [c for c in docs.columns if c.lower() != name.lower()]
-    return docs.select(*keep, _scanner(sets)(F.col(text_col)).alias(name))
+    return docs.select(*cols(keep), _scanner(sets)(*cols([text_col])).alias(name))
 
 
 def _scanner(sets):
@@ -203,4 +203,4 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> Dat
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` in which no benchmark window occurs, with their own columns, whatever their names."""
     name = fresh("_leak", docs.columns)
-    return find_leaks(docs, benchmark, name=name).where(F.size(f"{name}.hits") == 0).select(*docs.columns)
+    return find_leaks(docs, benchmark, name=name).where(F.size(f"{name}.hits") == 0).select(*cols(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import fresh, materialize
+from veldra.llm.common import cols, discard, fresh, materialize
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.05
@@ -33,7 +33,9 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     counts = materialize(counts.where((F.col("pages") >= min_pages) | F.col("a").isNull()))
     hosts = counts.where("a is null").select(F.col("host").alias("h"), F.col("pages").alias("total"))
     often = counts.where("a is not null").join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > ratio * F.col("total"))
-    return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    out = often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    out._scratch = counts._scratch
+    return out
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -48,8 +50,11 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """
     columns = [c for c in docs.columns if c.lower() != "_dropped"]
     host, listed, common, bad = (fresh(n, columns) for n in ("_host", "_lines", "_common", "_bad"))
-    lists = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages)).select(F.col("host").alias(host), F.col("lines").alias(listed))
-    joined = docs.select(*columns).join(lists, docs[host_col].eqNullSafe(F.col(host)), "left")
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    written = materialize(found)
+    discard(found)
+    lists = written.select(F.col("host").alias(host), F.col("lines").alias(listed))
+    joined = docs.select(*cols(columns)).join(lists, docs[host_col].eqNullSafe(F.col(host)), "left")
     every = _lines(F.col(text_col))
     shared = F.array_intersect(F.array_compact(F.transform(every, lambda x: _key(x)["a"])), F.col(f"{listed}.a"))
     joined = joined.withColumn(common, shared)
@@ -58,7 +63,9 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     none = F.col(bad).isNull() | F.col(text_col).isNull()
     clean = F.when(none, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     gone = F.when(none, 0).otherwise(F.size(every) - F.size(kept))
-    return joined.select(*(clean.alias(c) if c == text_col else F.col(c) for c in columns), gone.cast("long").alias("_dropped"))
+    out = joined.select(*(clean.alias(c) if c == text_col else own for c, own in zip(columns, cols(columns), strict=True)), gone.cast("long").alias("_dropped"))
+    out._scratch = written._scratch
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -70,10 +77,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with boilerplate lines dropped from the texts; n_chars is that of the new text where it changed."""
     columns = docs.columns
-    out = drop_boilerplate(docs)
+    clean = out = drop_boilerplate(docs)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    done = out.select(*cols(columns))
+    done._scratch = clean._scratch
+    return done
 
 
 #: Rows are told by their place, so that repeated rows are pages of their own.
