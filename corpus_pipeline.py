@@ -57,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
-            discard(before)
+            kept = docs
+            docs = materialize(kept)
+            discard(before, kept)
     return docs
