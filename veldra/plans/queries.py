@@ -317,7 +317,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents")
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W11, exact copies"""
+    """Exact copies, by the whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"))
     least = d.groupBy("k").agg(F.min("doc_id").alias("class_id"))
     return d.join(least, "k").select("doc_id", "class_id")
@@ -361,18 +361,26 @@ def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.members(d).select(F.col("id").alias("doc_id"), "class_id")
 
 
-@query("""
-WITH o AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad, count(*) FILTER (quality = 0) AS junk FROM labels)
-SELECT round(good / n, 4) AS officialVerificationRate, round(bad / nullif(good, 0), 4) AS duplicateRate, round(junk / n, 4) AS falsePositiveRate, CAST(NULL AS DOUBLE) AS blockedRate FROM o
+_RATE = lambda n, d: f"round(sum({n}) / nullif(sum({d}), 0), 4)"
+
+
+@query(f"""
+WITH o AS (SELECT *, o_orderstatus = 'O' AS o, o_orderstatus = 'P' AS p, o_orderstatus = 'F' AS f FROM orders JOIN customer ON o_custkey = c_custkey),
+q AS (SELECT (o_totalprice > 200000)::INT AS verified, 1 AS one, (o AND o_totalprice > 100000)::INT AS extracted, o::INT AS tried, (p AND o_totalprice > 300000)::INT AS superseded, p::INT AS platform, (o_orderpriority = '1-URGENT')::INT AS dup, (o_orderpriority <> '1-URGENT')::INT AS valid, (f AND c_acctbal < 0)::INT AS wrong, f::INT AS known,
+ (c_mktsegment = 'BUILDING')::INT AS unknown, (o_totalprice < 20000)::INT AS blocked, (c_nationkey = 3)::INT AS no_start, (c_nationkey < 5)::INT AS no_close, (c_nationkey = 99)::INT AS no_place, 0 AS never, CASE WHEN f THEN o_totalprice / 1000000 END AS score FROM o)
+SELECT {_RATE('verified', 'one')} AS "officialVerificationRate", {_RATE('extracted', 'tried')} AS "jobExtractionSuccessRate", {_RATE('superseded', 'platform')} AS "platformOnlySupersededRate", {_RATE('dup', 'valid')} AS "duplicateRate", {_RATE('wrong', 'known')} AS "falsePositiveRate", {_RATE('unknown', 'one')} AS "unknownAvailabilityRate", {_RATE('blocked', 'one')} AS "blockedRate", {_RATE('no_start', 'valid')} AS "missingStartDateRate", {_RATE('no_close', 'valid')} AS "missingCloseDateRate", {_RATE('no_place', 'valid')} AS "missingLocationRate", round(avg(score), 2) AS "averageConfidenceScore", sum(platform)::BIGINT AS "platformOnlyAcceptanceCount" FROM q
 """)
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8, D13"""
-    good, bad, junk = ((F.col(c) == v).cast("int") for c, v in (("quality", 1), ("toxic", 1), ("quality", 0)))
-    zero, one = F.lit(0), F.lit(1)
-    names = {"portalsVerified": good, "portalsEvaluated": one, "duplicateCandidateResults": bad, "validCandidateResults": good, "falsePositiveCount": junk, "groundTruthEvaluated": one}
-    more = ["extractionSuccesses", "extractionAttempts", "platformOnlySupersededCount", "platformOnlyAcceptanceCount", "unknownAvailabilityCount", "availabilityEvaluated", "blockedPortals", "missingStartDates", "missingCloseDates", "missingLocations", "recruitmentEventsEvaluated"]
-    o = table(spark, sf_dir, "labels").select(*(c.alias(n) for n, c in names.items()), *(zero.alias(n) for n in more), F.lit(None).cast("array<double>").alias("confidenceScores"))
-    return reports.quality(o).select("officialVerificationRate", "duplicateRate", "falsePositiveRate", F.when(F.lit(False), F.col("blockedRate")).alias("blockedRate"))
+    """Every counter from a column of the orders and their customers."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    status, price, nation = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("c_nationkey")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    flags = {
+        "portalsVerified": price > 200000, "portalsEvaluated": F.lit(True), "extractionSuccesses": (status == "O") & (price > 100000), "extractionAttempts": status == "O", "platformOnlySupersededCount": (status == "P") & (price > 300000), "platformOnlyAcceptanceCount": status == "P",
+        "duplicateCandidateResults": urgent, "validCandidateResults": ~urgent, "falsePositiveCount": (status == "F") & (F.col("c_acctbal") < 0), "groundTruthEvaluated": status == "F", "unknownAvailabilityCount": F.col("c_mktsegment") == "BUILDING", "availabilityEvaluated": F.lit(True), "blockedPortals": price < 20000,
+        "missingStartDates": nation == 3, "missingCloseDates": nation < 5, "missingLocations": nation == 99, "recruitmentEventsEvaluated": ~urgent,
+    }
+    return reports.quality(rows.select(*(c.cast("int").alias(n) for n, c in flags.items()), F.when(status == "F", F.array(price / 1000000)).alias("confidenceScores")))
 
 
 @query("""
@@ -537,7 +545,7 @@ WITH e AS (SELECT user_id, ts, event_id, event_type, lag(ts) OVER (PARTITION BY
 SELECT user_id, event_type, count(*) AS requests, count(*) FILTER (before IS NOT NULL AND ts < before + INTERVAL 6 HOURS) AS within_ttl FROM e GROUP BY ALL
 """)
 def ttl_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that come within six hours of the one before them."""
+    """Requests that come within six hours of the one before them, by a window."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -570,20 +578,20 @@ def shard_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events ORDER BY ts DESC, event_id LIMIT 50")
 def topk_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit is the feature."""
+    """The latest events; the limit is the feature."""
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "value")
 
 
 @query("SELECT event_type, count(*) AS rows, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2, M4"""
+    """Sums over a JSON column, by Spark's own functions."""
     e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))
     return e.groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("k").alias("k"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, length(arg_max(text, turn)) AS last_chars FROM conversations GROUP BY conv_id")
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S26, W7"""
+    """Roles of a conversation in order, by Spark's own functions."""
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.length(F.max_by("text", "turn")).cast("long").alias("last_chars"))
 
@@ -684,4 +692,4 @@ def salary_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from veldra.plans import join_queries, operator_queries, source_queries  # noqa: E402, F401
+from veldra.plans import join_queries, operator_queries, rule_queries, source_queries  # noqa: E402, F401
