@@ -45,7 +45,12 @@ def make(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, limit, size in ((1, 40_000, 1 << 25), (2, 12, 1 << 25), (3, 50, 200)):
+    # with one set, with several, and with strings that are joined, by a filter with few bits to a string and with many
+    for seed, limit, size, sent, bits in ((1, 40_000, 1 << 25, 1000, 16), (2, 12, 1 << 25, 1000, 16), (3, 50, 200, 1000, 16), (1, 50, 200, 0, 16), (2, 50, 200, 5, 1), (3, 50, 200, 0, 16)):
+        monkeypatch.setattr(decontam, "SENT_STRINGS", sent)
+        monkeypatch.setattr(decontam, "BITS_PER_STRING", bits)
+        monkeypatch.setattr(decontam, "FILTER_BITS", 64 if bits == 1 else 1 << 29)
+        monkeypatch.setattr(decontam, "PART_BITS", 64 if bits == 1 else 1 << 12)
         monkeypatch.setattr(decontam, "STRINGS_PER_PASS", limit)
         monkeypatch.setattr(decontam, "GATHERED", size)
         docs, items = make(seed)
@@ -90,3 +95,13 @@ def test_empty_tables(spark, odd, none):
     got = {r.doc_id: r.contaminated for r in decontam.report(odd, items).collect()}
     assert got[0] and got[4] and not got[1]
     assert decontam.drop_contaminated(odd, items).columns == odd.columns
+
+
+def test_joined_windows_of_odd_documents(spark, odd, none, monkeypatch):
+    bench = spark.createDataFrame([("a", "plain text of a page a second line here"), (None, "12345"), ("b", None)], "item_id string, text string")
+    want = sorted((tuple(r) for r in decontam.report(odd, bench).collect()), key=str)
+    monkeypatch.setattr(decontam, "SENT_STRINGS", 0)
+    assert sorted((tuple(r) for r in decontam.report(odd, bench).collect()), key=str) == want and any(r[-1] for r in want)
+    assert decontam.report(none, bench).count() == 0
+    docs = odd.withColumnsRenamed({"ids": "a.b", "fingerprint": "_ROW", "component_id": "_windows", "lang": "_leak"})
+    assert decontam.drop_contaminated(docs, bench).columns == docs.columns

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import cols, fresh, small_batches
+from veldra.llm.common import cols, fresh, materialize, small_batches
 
 WORDS = 10
 #: Test strings that are compiled into one set of tables; a task goes through its texts once for each set.
 STRINGS_PER_PASS = 40_000
+#: Test strings up to which they are sent to the tasks in such sets; beyond them windows are joined.
+SENT_STRINGS = 10 * STRINGS_PER_PASS
+#: Bits of the filter by which windows are chosen to be joined, for each test string, and at most (64 MB).
+BITS_PER_STRING, FILTER_BITS = 16, 1 << 29
+#: Bits of a part of the filter.
+PART_BITS = 1 << 19
 #: Characters of text that a task gathers to go through them with more than one set.
 GATHERED = 32 << 20
 
@@ -130,7 +138,7 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
         yield batch
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WORDS, name: str = "_leak") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WORDS, name: str = "_leak", sent_strings: int | None = None) -> DataFrame:
     """``docs`` with a struct<n_words long, hits array<int>, n_items long, items array<string>> in place of any column ``name``.
 
     hits holds merged (first, end) word positions; n_items counts the items of which a window occurs, those with a null
@@ -138,15 +146,113 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     without words never occurs, and an empty benchmark hits nothing.  Rows are scanned one by one, whole, whatever they
     repeat, and nothing is shuffled or written.  The benchmark goes to the executors as sets of bounded size, each a
     broadcast of its own; where there are several, a task gathers rows of ``GATHERED`` characters, compiles one set
-    after the other and goes through them with each.
+    after the other and goes through them with each.  A benchmark of more than ``sent_strings`` strings (``SENT_STRINGS``) isn't drawn to
+    the driver: see ``_joined``.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    if (benchmark.select(_count(size)(*cols([item_text])).alias("n")).agg(F.sum("n")).head()[0] or 0) > (SENT_STRINGS if sent_strings is None else sent_strings):
+        return _joined(docs, benchmark, text_col, item_col, item_text, size, name)
     sets = [spark.sparkContext.broadcast(x) for x in _passes(benchmark, item_col, item_text, size)]
     keep = [c for c in docs.columns if c.lower() != name.lower()]
     return docs.select(*cols(keep), _scanner(sets)(*cols([text_col])).alias(name))
 
 
+def _count(size: int):
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        n = texts.map(lambda t: len(words(t)))
+        return (n - size + 1).clip(lower=1).where(n > 0, 0)
+
+    return count
+
+
+def _test_strings(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(item, w binary, n) of the distinct windows of all items; n is their number of words."""
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([(i, w[1:-1], w.count(b" ") - 1) for i, t in zip(batch["i"], batch["t"], strict=True) for w in dict.fromkeys(windows(t, size))], columns=["item", "w", "n"])
+
+    item, text = cols([id_col, text_col])
+    return benchmark.select(item.cast("string").alias("i"), text.alias("t")).mapInPandas(run, "item string, w binary, n int").distinct()
+
+
+def _bit(w: bytes, bits: int) -> int:
+    return xxhash.xxh64_intdigest(w) % bits
+
+
+def _filter(strings: DataFrame, bits: int) -> bytes:
+    """A bit for each string, by its hash.  Tasks make parts of it, which are united by part before they are drawn."""
+
+    def made(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for w in batch["w"]:
+                b = _bit(bytes(w), bits)
+                part = parts.setdefault(b // PART_BITS, np.zeros(PART_BITS // 8, "uint8"))
+                part[b % PART_BITS >> 3] |= 1 << (b & 7)
+        yield pd.DataFrame([(k, v.tobytes()) for k, v in parts.items()], columns=["part", "bits"])
+
+    def united(key, table):
+        import pyarrow as pa
+
+        out = np.bitwise_or.reduce([np.frombuffer(x, "uint8") for x in table["bits"].to_pylist()])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    whole = bytearray(max(bits, PART_BITS) // 8)
+    for r in strings.select("w").mapInPandas(made, "part int, bits binary").groupBy("part").applyInArrow(united, "part int, bits binary").toLocalIterator():
+        whole[r["part"] * PART_BITS // 8 : (r["part"] + 1) * PART_BITS // 8] = r["bits"]
+    return bytes(whole)
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, size: int, name: str) -> DataFrame:
+    """The same for a benchmark of any number of strings, by an equi-join of windows.
+
+    Test strings stay in a table; the driver gets a filter of hashes of bounded size.  Windows of the texts that pass
+    the filter are joined with the strings themselves, so a chance hit of the filter costs a row and nothing else.  Texts
+    are written once, as their rows must be told apart; only windows that passed are shuffled.
+    """
+    spark = docs.sparkSession
+    number, found = (fresh(x, docs.columns) for x in ("_row", "_windows"))
+    keep = [c for c in docs.columns if c.lower() != name.lower()]
+    strings = materialize(_test_strings(benchmark, item_col, item_text, size))
+    counts = {r["n"]: r["c"] for r in strings.groupBy("n").agg(F.countDistinct("w").alias("c")).collect()}
+    bits = min(FILTER_BITS, max(PART_BITS, 1 << (BITS_PER_STRING * sum(counts.values()) - 1).bit_length()))
+    sent = spark.sparkContext.broadcast(_filter(strings, bits))
+
+    @F.pandas_udf("n_words long, hits array<struct<first:int,n:int,w:binary>>")
+    def chosen(texts: pd.Series) -> pd.DataFrame:
+        table, rows = sent.value, []
+        for t in texts:
+            w, passed = words(t), []
+            for n in counts:
+                for i in range(len(w) - n + 1):
+                    g = b" ".join(w[i : i + n])
+                    b = _bit(g, bits)
+                    if table[b >> 3] >> (b & 7) & 1:
+                        passed.append((i, n, g))
+            rows.append((len(w), passed))
+        return pd.DataFrame(rows, columns=["n_words", "hits"])
+
+    @F.pandas_udf("array<int>")
+    def flat(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda x: merged((s["first"], s["last"]) for s in x))
+
+    written = materialize(docs.select(*cols(keep), chosen(*cols([text_col])).alias(found)).withColumn(number, F.monotonically_increasing_id()))
+    passed = written.select(F.col(number).alias("row"), F.explode(f"{found}.hits").alias("h")).select("row", "h.first", (F.col("h.first") + F.col("h.n")).alias("last"), "h.w")
+    met = materialize(passed.join(strings.select("w").distinct(), "w"))
+    spans = met.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select("row", flat("spans").alias("hits"))
+    items = met.select("row", "w").distinct().join(strings.select("w", "item"), "w").select("row", "item").distinct()
+    items = items.groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
+    at, leak = fresh("_at", [*docs.columns, number]), spans.join(items, "row")
+    leak = leak.select(F.col("row").alias(at), F.struct("hits", "n_items", "items").alias(fresh("_l", docs.columns)))
+    l_ = leak.columns[1]
+    part = lambda field, empty: F.coalesce(F.col(f"{l_}.{field}"), empty).alias(field)
+    result = F.struct(F.col(f"{found}.n_words").alias("n_words"), part("hits", F.array().cast("array<int>")), part("n_items", F.lit(0).cast("long")), part("items", F.array().cast("array<string>")))
+    return written.join(leak, F.col(number) == F.col(at), "left").select(*cols(keep), result.alias(name))
+
+
 def _scanner(sets):
     def frame(found: list[tuple[int, list[int], set]]) -> pd.DataFrame:
         return pd.DataFrame([(n, h, len(i), sorted(x for x in i if x is not None)) for n, h, i in found], columns=["n_words", "hits", "n_items", "items"])
