@@ -31,6 +31,55 @@ def best_first(seeds: DataFrame, edges: DataFrame, scores: DataFrame, nodes: int
     return frontier(seeds, ranked.withColumn("src", F.col("src")), depth, nodes)
 
 
+def priority_drill(seeds: DataFrame, edges: DataFrame, nodes: int = 25, depth: int = 2, first_score: float = 100.0) -> DataFrame:
+    """(company, url, depth, visit) of pages in the order in which each company's priority queue gives them out.
+
+    ``seeds``: (company, url); ``edges``: (src, dst, pos, score).  The queue begins with the seeds and lasts over all hops:
+    the page with the best score is visited next, and what it links to joins the queue with the link's score less the
+    page's depth, down to ``depth``; ties go to the lesser depth, then by pos and url.  A page is visited once, ``nodes``
+    pages of a company at most.
+
+    A page's links behind its ``nodes`` best ones can't be visited: those before them are visited, or wait, first.  So each
+    hop keeps so many links of a page, by a rank that Spark limits below the shuffle, and what is left of a company
+    (651 rows with these numbers) is small enough for a heap in a task.
+    """
+    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "pos", "dst"))
+    kept = edges.withColumn("n", best).where(F.col("n") <= nodes).select("src", "dst", "pos", "score")
+    level = seeds.select("company", F.col("url").alias("src")).distinct()
+    rows = level.select("company", F.lit(None).cast("string").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("pos"), F.lit(float(first_score)).alias("score"))
+    for hop in range(depth):
+        found = level.join(kept, "src").select("company", "src", "dst", F.col("pos").cast("long").alias("pos"), F.col("score").cast("double").alias("score"))
+        if hop + 1 < depth:
+            # of a level, no more pages can be visited either
+            order = F.row_number().over(Window.partitionBy("company", "src").orderBy(F.desc("score"), "pos", "dst"))
+            level = found.withColumn("n", order).where(F.col("n") <= nodes).select("company", F.col("dst").alias("src")).distinct()
+        rows = rows.unionByName(found)
+
+    def visits(key, frame):
+        import heapq
+
+        import pandas as pd
+
+        links: dict = {}
+        for src, dst, pos, score in zip(frame["src"], frame["dst"], frame["pos"], frame["score"], strict=True):
+            links.setdefault(src, {})[(dst, pos, score)] = None
+        # rows without a source are the seeds
+        heap = [(-score, 0, pos, dst) for (dst, pos, score) in links.pop(None, {})]
+        heapq.heapify(heap)
+        seen: dict[str, int] = {}
+        while heap and len(seen) < nodes:
+            _, at, _, url = heapq.heappop(heap)
+            if url in seen:
+                continue
+            seen[url] = at
+            if at < depth:
+                for dst, pos, score in links.get(url, ()):
+                    heapq.heappush(heap, (at - score, at + 1, pos, dst))
+        return pd.DataFrame([(key[0], url, at, n + 1) for n, (url, at) in enumerate(seen.items())], columns=["company", "url", "depth", "visit"])
+
+    return rows.distinct().groupBy("company").applyInPandas(visits, f"company {dict(seeds.dtypes)['company']}, url string, depth int, visit int")
+
+
 def redirect_chains(urls: DataFrame, redirects: DataFrame, most: int = 5) -> DataFrame:
     """(url, final_url, hops, status) over redirects (src, dst): RESOLVED, LOOP or TOO_MANY."""
     # chains of all addresses advance together; an address that has arrived drops out of the join by itself

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.dates import china_day, china_month, ratio
@@ -48,6 +48,41 @@ def flag_counts(df: DataFrame, flags: Mapping[str, Column], key: str | None = No
     return df.agg(*(count(c).alias(n) for n, c in flags.items()))
 
 
+#: Registers of a sketch are two to the power of this: the standard error is 0.8 %, a sketch has 16 KB at most.
+SKETCH_LG = 14
+#: Distinct keys up to which a run's report keeps them all, and its count is exact.
+EXACT_KEYS = 2000
+
+
+def distinct_sketches(df: DataFrame, flags: Mapping[str, Column], key: str, by: Sequence[str], exact: int = EXACT_KEYS) -> DataFrame:
+    """By run (``by``) and flag a mergeable count of distinct keys: (by, flag, n, keys, sketch).
+
+    n is the run's own count.  Of at most ``exact`` keys their hashes are kept (keys) and can be united exactly; a larger
+    run has keys null and only its sketch.  Sketches combine before they are shuffled; a run's keys are gathered up to the
+    limit only, from its distinct ones.
+    """
+    rows = df.select(*by, F.explode(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in flags.items()))).alias("flag"), F.col(key).cast("string").alias("_k"))
+    one = rows.where("flag is not null and _k is not null").groupBy(*by, "flag", "_k").agg(F.count("*").alias("_"))
+    place = F.row_number().over(Window.partitionBy(*by, "flag").orderBy("_h"))
+    total = one.groupBy(*by, "flag").agg(F.count("*").alias("n"), F.hll_sketch_agg("_k", SKETCH_LG).alias("sketch"))
+    kept = one.withColumn("_h", F.xxhash64("_k")).withColumn("_i", place).where(F.col("_i") <= exact).groupBy(*by, "flag").agg(F.array_sort(F.collect_list("_h")).alias("keys"))
+    return total.join(kept, [*by, "flag"]).select(*by, "flag", "n", F.when(F.col("n") <= exact, F.col("keys")).alias("keys"), "sketch")
+
+
+def merged_distinct(sketches: DataFrame, by: Sequence[str], exact: int = EXACT_KEYS) -> DataFrame:
+    """Appended ``distinct_sketches`` added up: (by, flag, n, is_exact).
+
+    Where all runs kept their keys and few enough are different, n is their number; else the estimate of the united
+    sketches, which is within three standard errors, 2.5 %, of the truth almost always.
+    """
+    est = sketches.groupBy(*by, "flag").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"), F.bool_and(F.col("keys").isNotNull()).alias("all"), F.sum(F.size("keys")).alias("most"))
+    few = est.where("all")
+    keys = sketches.join(few.select(*by, "flag"), [*by, "flag"], "left_semi").select(*by, "flag", F.explode("keys").alias("k")).distinct().groupBy(*by, "flag").agg(F.count("*").alias("same"))
+    out = est.join(keys, [*by, "flag"], "left")
+    sure = F.col("all") & (F.coalesce("same", F.lit(0)) <= exact)
+    return out.select(*by, "flag", F.when(sure, F.coalesce("same", F.lit(0))).otherwise(F.col("about")).alias("n"), F.coalesce(sure, F.lit(False)).alias("is_exact"))
+
+
 def batch_status(items: DataFrame, paused: bool = False) -> DataFrame:
     """Counts by status of a batch's items and the batch's status."""
     n = lambda s: F.count_if(F.col("status") == s)

@@ -692,4 +692,4 @@ def salary_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from veldra.plans import join_queries, operator_queries, rule_queries, source_queries  # noqa: E402, F401
+from veldra.plans import join_queries, operator_queries, rule_queries, scan_queries, source_queries  # noqa: E402, F401
