@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from veldra.operators import graph, reports
+from veldra.operators import graph, near_dup, reports
+from veldra.streaming.events import cross_listed_streams
 from veldra.streaming.state import intervals
 
 
@@ -67,3 +68,46 @@ def test_distinct_counts_that_add_up(spark):
     # runs that are exact each, but not together
     some = reports.distinct_sketches(df, {"low": F.col("user") < 100}, "user", ["day"], exact=100)
     assert [x.is_exact for x in reports.merged_distinct(some, [], exact=50).collect()] == [False]
+
+
+def listings(r, n):
+    base = [random.Random(k).getrandbits(64) for k in range(6)]
+    rows = []
+    for k in range(n):
+        v = r.choice(base)
+        for _ in range(r.randrange(7)):
+            v ^= 1 << r.randrange(64)
+        rows.append((f"u{k % (n - 5)}", r.choice("AB"), f"{v:016x}" if r.random() < 0.95 else "", dt.datetime(2026, 1, 1) + dt.timedelta(days=r.randrange(200))))
+    return rows
+
+
+def test_cross_listings_against_all_pairs(spark):
+    r = random.Random(9)
+    offers, history = listings(r, 80), listings(r, 120)
+    make = lambda rows: spark.createDataFrame(rows, "url string, company string, fingerprint string, ts timestamp_ntz").withColumn("seen", F.col("ts").cast("date"))
+    close = lambda a, b: a[2] and b[2] and (int(a[2], 16) ^ int(b[2], 16)).bit_count() <= 5 and a[1] != b[1] and a[0] != b[0]
+    first = dt.datetime(2026, 6, 1) - dt.timedelta(days=90)
+    want = sorted({(a[0], b[0], 1 - (int(a[2], 16) ^ int(b[2], 16)).bit_count() / 64) for a in offers for b in history if b[3] >= first and close(a, b)})
+    for part in (4096, 3):
+        got = near_dup.cross_listings(make(offers), make(history), F.lit("2026-06-01").cast("date"), part=part)
+        assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_cross_listed_streams_drop_what_has_left_the_window(spark, tmp_path):
+    r = random.Random(11)
+    rows = sorted(listings(r, 90), key=lambda x: x[3])
+    folder = str(tmp_path / "in")
+    schema = "url string, company string, fingerprint string, ts timestamp"
+    source = lambda: spark.readStream.schema(schema).parquet(folder)
+    kept = []
+    # thirty rows at a time, as they come
+    for k in range(0, len(rows), 30):
+        spark.createDataFrame(rows[k : k + 30], "url string, company string, fingerprint string, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+        run = cross_listed_streams(source(), source(), days=20).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        kept.append(run.lastProgress.stateOperators[0].numRowsTotal)
+    got = spark.read.parquet(str(tmp_path / "out")).select("offer_url", "row_url").collect()
+    want = [(a[0], b[0]) for a in rows for b in rows if b[3] <= a[3] <= b[3] + dt.timedelta(days=20) and a[2] and b[2] and (int(a[2], 16) ^ int(b[2], 16)).bit_count() <= 5 and a[1] != b[1] and a[0] != b[0]]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    # six bands a row on each of two sides: without dropping, all of them would stay
+    assert kept[-1] < 0.6 * 2 * 6 * sum(bool(x[2]) for x in rows)

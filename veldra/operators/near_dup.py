@@ -126,12 +126,31 @@ def members(docs: DataFrame) -> DataFrame:
     return some.join(least, "fingerprint").select("id", "class_id").unionByName(rows.where("fingerprint = ''").select("id", F.col("id").alias("class_id")))
 
 
-def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: int = WINDOW_DAYS, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
     """(offer_url, row_url, score) of offers (url, company, fingerprint) that rows of history (url,
-    company, fingerprint, seen date) list for another company under another address."""
+    company, fingerprint, seen date) list for another company under another address.
+
+    Each side's different pairs of company and fingerprint are compared once, whatever rows have them, and rows are
+    joined to them at the end.  Keys get longer as fingerprints get more, and a key that many share on either side is
+    cut into parts on both, each pair of which is a task's of its own.
+    """
     radius = int((1 - threshold) * 64)
-    recent = history.where((F.col("fingerprint") != "") & (F.col("seen") >= F.date_sub(today, days)))
-    cut = lambda df, n: df.select(F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.explode(bands(F.col("fingerprint"), radius)).alias("band"))
-    found = cut(offers.where("fingerprint <> ''"), "offer").join(cut(recent, "row"), "band").where("offer_company <> row_company and offer_url <> row_url")
-    scored = found.withColumn("score", similarity(F.col("offer_fp"), F.col("row_fp"))).where(F.col("score") >= threshold)
-    return scored.groupBy("offer_url", "row_url").agg(F.max("score").alias("score"))
+    recent = history.where(F.col("seen") >= F.date_sub(today, days))
+    rows = lambda df: df.where("fingerprint <> ''").select("url", latin_key(F.col("company")).alias("company"), "fingerprint")
+    sides = {"a": materialize(rows(offers)), "b": materialize(rows(recent))}
+    one = {n: df.select("company", "fingerprint").distinct() for n, df in sides.items()}
+    pieces = agreeing(max(df.count() for df in one.values()), radius)
+    wide = {n: df.withColumn("band", F.explode(bands(F.col("fingerprint"), radius, pieces))) for n, df in one.items()}
+    count = {n: df.groupBy("band").agg(F.count("*").alias(n)) for n, df in wide.items()}
+    cuts = count["a"].join(count["b"], "band").where(F.greatest("a", "b") > part)
+    cuts = materialize(cuts.select("band", F.ceil(F.col("a") / part).cast("int").alias("x"), F.ceil(F.col("b") / part).cast("int").alias("y")))
+    met = {}
+    for n, own, other in (("a", "x", "y"), ("b", "y", "x")):
+        df = wide[n].join(cuts, "band", "left").withColumn(own, F.pmod(F.xxhash64("company", "fingerprint"), F.coalesce(own, F.lit(1))).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        met[n] = df.select("band", "x", "y", F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
+    pairs = met["a"].join(met["b"], ["band", "x", "y"]).where("a_company <> b_company").withColumn("score", similarity(F.col("a_fp"), F.col("b_fp")))
+    pairs = pairs.where(F.col("score") >= threshold).select("a_company", "a_fp", "b_company", "b_fp", "score").distinct()
+    back = lambda n, url: sides[n].select(F.col("url").alias(url), F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
+    out = pairs.join(back("a", "offer_url"), ["a_company", "a_fp"]).join(back("b", "row_url"), ["b_company", "b_fp"]).where("offer_url <> row_url")
+    return out.select("offer_url", "row_url", "score").distinct()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.operators import graph, reports
-from veldra.plans.queries import query, table
+from veldra.operators import graph, near_dup, reports
+from veldra.operators.scratch import materialize, scratch_root
+from veldra.plans.queries import _FP, query, table
+from veldra.streaming.events import cross_listed_streams
 
 
 @query("""
@@ -56,3 +60,38 @@ def distinct_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = e.select(F.explode(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items()))).alias("flag"), "user_id").where("flag is not null").groupBy("flag").agg(F.count_distinct("user_id").alias("users"))
     right = F.when(F.col("is_exact"), F.col("n") == F.col("users")).otherwise(F.abs(F.col("n") - F.col("users")) <= 0.025 * F.col("users"))
     return runs.groupBy("flag").agg(F.sum("n").alias("by_run")).join(total, "flag").join(truth, "flag").select("flag", "by_run", "users", right.alias("right"))
+
+
+_LISTED = f"{_FP}, r AS (SELECT doc_id, source, CAST('0x' || fp AS UBIGINT) AS v, TIMESTAMP '2024-01-01' + to_days((doc_id % 170)::INTEGER) AS ts FROM documents JOIN f USING (doc_id))"
+_PAIRS = "SELECT a.doc_id AS offer, b.doc_id AS listed, 1 - bit_count(xor(a.v, b.v)) / 64 AS score FROM r a JOIN r b ON a.source <> b.source AND a.doc_id <> b.doc_id AND bit_count(xor(a.v, b.v)) <= 5"
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as postings of their sources, over 170 days."""
+    d = table(spark, sf_dir, "documents")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") % 170 * 86400)
+    return d.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("company"), near_dup.fingerprints(F.col("text")).alias("fingerprint"), at.alias("ts"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.col("offer_url").cast("long").alias("offer"), F.col("row_url").cast("long").alias("listed"), "score")
+
+
+@query(f"WITH {_LISTED} {_PAIRS} AND b.ts::DATE >= DATE '2024-04-01'")
+def cross_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against those of other sources that were seen in the 90 days before the end of June."""
+    rows = materialize(_listings(spark, sf_dir))
+    return _pairs(near_dup.cross_listings(rows, rows.withColumn("seen", F.col("ts").cast("date")), F.lit("2024-06-30").cast("date")))
+
+
+@query(f"WITH {_LISTED} {_PAIRS} AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 90 DAYS")
+def cross_listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8, J5 on streams: the same as a join of two streams, each offer against the 90 days before it."""
+    folder, out, at = (f"{scratch_root(spark)}/veldra/{uuid.uuid4().hex}" for _ in range(3))
+    rows = _listings(spark, sf_dir)
+    rows.write.parquet(folder)
+    pieces = near_dup.agreeing(spark.read.parquet(folder).count(), 5)
+    source = lambda: spark.readStream.schema(rows.schema).parquet(folder)
+    run = cross_listed_streams(source(), source(), pieces=pieces).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _pairs(spark.read.schema("offer_url string, row_url string, score double, offer_ts timestamp").parquet(out))

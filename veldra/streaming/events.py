@@ -50,3 +50,31 @@ def cross_listed(offers: DataFrame, history: DataFrame, days: int = 90) -> DataF
     met = met.where("offer_company <> row_company and offer_url <> row_url").where(F.col("row_ts") >= F.col("offer_ts") - F.expr(f"INTERVAL {days} DAYS"))
     score = similarity(F.col("offer_fp"), F.col("row_fp"))
     return met.where(score >= THRESHOLD).select("offer_url", "row_url", score.alias("score"), "offer_ts")
+
+
+def cross_listed_streams(offers: DataFrame, history: DataFrame, days: int = 90, delay: str = "1 day", pieces: int = 1) -> DataFrame:
+    """(offer_url, row_url, score, offer_ts) of a stream of offers against a stream of history (url, company,
+    fingerprint, ts): rows of another company and address, seen in the ``days`` before the offer.
+
+    An interval join of the two streams on fingerprint bands (``pieces`` that must agree, see ``near_dup.agreeing``: more
+    where more fingerprints are in the window).  The watermarks, ``delay`` behind the latest times, let Spark drop what no
+    later row can meet: history after the window, offers at once.  A pair that agrees in several bands is taken in the
+    first of them only, so no state is needed to tell repetitions.
+    """
+    from veldra.functions.text import latin_key
+    from veldra.operators.near_dup import THRESHOLD, bands, similarity
+
+    radius = int((1 - THRESHOLD) * 64)
+
+    def side(df: DataFrame, n: str) -> DataFrame:
+        df = df.where("fingerprint <> ''").withWatermark("ts", delay)
+        own = [F.col("url").alias(f"{n}_url"), latin_key(F.col("company")).alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"), F.col("ts").alias(f"{n}_ts")]
+        return df.select(*own, F.explode(bands(F.col("fingerprint"), radius, pieces)).alias(f"{n}_band"))
+
+    a, b = side(offers, "offer"), side(history, "row")
+    window = (F.col("row_ts") <= F.col("offer_ts")) & (F.col("row_ts") >= F.col("offer_ts") - F.expr(f"INTERVAL {days} DAYS"))
+    met = a.join(b, (F.col("offer_band") == F.col("row_band")) & window)
+    first = F.array_intersect(bands(F.col("offer_fp"), radius, pieces), bands(F.col("row_fp"), radius, pieces))[0]
+    score = similarity(F.col("offer_fp"), F.col("row_fp"))
+    met = met.where((F.col("offer_company") != F.col("row_company")) & (F.col("offer_url") != F.col("row_url")) & (first == F.col("offer_band")) & (score >= THRESHOLD))
+    return met.select("offer_url", "row_url", score.alias("score"), "offer_ts")
