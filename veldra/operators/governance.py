@@ -21,6 +21,11 @@ BOARDS = [
     ("51job.com", "前程无忧", r"/company/.+"),
     ("lagou.com", "拉勾", r"/gongsi/j?\d+\.html$"),
 ]
+#: Paths (with query) of applications, of career pages, of lists, and what announcements of campaigns say.
+APPLY_PATH = r"(?i)(?:apply|application|jobid|positionid|projectid|tenantid|jobs?/[^/]+|position/[^/]+|zwcx|job-list|joblist|positions?)(?:/|$|[?])"
+CAREER_PATH = r"(?i)(?:^|/)(?:career|careers|job|jobs|join|join-us|recruit|recruitment|campus|talent|positions?|apply)(?:/|$|[?#])|校园招聘|加入我们|人才招聘|社会招聘"
+LIST_PATH = r"(?i)(?:jobs?|positions?)(?:/|$|[?#])"
+CAMPAIGN_TEXT = r"20\d{2}届|校招|校园招聘|秋招|春招|提前批|暑期实习|实习生|补录|招聘公告|招聘启事"
 LINK_ROLES = ["applyUrl", "jobDetailUrl", "jobListUrl", "campaignLandingUrl", "companyCareerHomeUrl"]
 #: Roles that an address may have to stand in a column.
 ALLOWED = {"applyUrl": ["application_form"], "jobDetailUrl": ["application_form"], "jobListUrl": ["job_list"], "campaignLandingUrl": ["campaign_announcement"], "companyCareerHomeUrl": ["company_career_home"]}
@@ -28,17 +33,15 @@ ALLOWED = {"applyUrl": ["application_form"], "jobDetailUrl": ["application_form"
 
 def governed_role(where: Column, source: Column, own: Column) -> Column:
     """The role of a governed address, by source before path (with query)."""
-    apply = r"(?i)(?:apply|application|jobid|positionid|projectid|tenantid|jobs?/[^/]+|position/[^/]+|zwcx|job-list|joblist|positions?)(?:/|$|[?])"
-    career = r"(?i)(?:^|/)(?:career|careers|job|jobs|join|join-us|recruit|recruitment|campus|talent|positions?|apply)(?:/|$|[?#])|校园招聘|加入我们|人才招聘|社会招聘"
     return first_rule(
         (source == "wechat", "official_wechat_announcement"),
         (source.isin("university", "government"), "trusted_repost"),
         (source == "aggregator", "aggregator_source"),
         (source == "media", "media_article"),
-        (where.rlike(apply), "application_form"),
-        (F.coalesce(F.try_url_decode(where), where).rlike(r"20\d{2}届|校招|校园招聘|秋招|春招|提前批|暑期实习|实习生|补录|招聘公告|招聘启事"), "campaign_announcement"),
-        (where.rlike(r"(?i)(?:jobs?|positions?)(?:/|$|[?#])") & where.rlike(career), "job_list"),
-        (where.rlike(career) | own, "company_career_home"),
+        (where.rlike(APPLY_PATH), "application_form"),
+        (F.coalesce(F.try_url_decode(where), where).rlike(CAMPAIGN_TEXT), "campaign_announcement"),
+        (where.rlike(LIST_PATH) & where.rlike(CAREER_PATH), "job_list"),
+        (where.rlike(CAREER_PATH) | own, "company_career_home"),
         default="unknown",
     )
 

@@ -195,7 +195,9 @@ class Store:
 
     def _claim(self, seq: int) -> None:
         """Take a commit's number: the file of that name is made by one writer only, the others' commits fail.  A writer
-        that is lost between its claim and its manifest leaves the claim behind; ``release`` takes it back."""
+        that is lost between its claim and its manifest leaves the claim behind and no other can commit until ``release``
+        takes it back.  This holds where making a file that must not exist is atomic, as on HDFS and local disks; on object
+        stores, where it isn't, only one writer may commit at a time."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{seq}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path):
             raise RuntimeError(f"commit {seq} is another writer's: read the tables again and repeat")

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.functions import classify, dates, rules, text, urls, values
-from veldra.operators import builders, filters
+from veldra.operators import builders, filters, governance, resolve
 from veldra.plans.queries import ORACLE, QUERIES, table
+from veldra.sources import files
 
 
 @dataclass(frozen=True)
@@ -268,3 +269,13 @@ CLASS_RULES = {
 _MORE = ("target_evidence", "needs_render", "organization_type", "source_trust", "page_identity", "hard_negative", "has_structure", "has_no_openings", "is_search_blocked", "explicit_job_links", "field_errors", "opening_status", "matches_role", "matches_location", "database_bucket", "work_limits", "fresh_verification")
 rules_query("class_functions", "C1, C3, C4, C10, C12, C13, C14, C27, C28, C29, P33", "customer", "c_custkey", {n: r for n, r in CLASS_RULES.items() if n not in _MORE})
 rules_query("more_functions", "C5, C6, C14, C15, C16, C19, C20, C22, C23, C24, C30, C31, K17", "customer", "c_custkey", {n: CLASS_RULES[n] for n in _MORE})
+
+
+LINK_RULES = {
+    "surface_admits": Rule(["CASE page_id % 3 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.org' ELSE 'example.net' END", "CASE page_id % 4 WHEN 0 THEN '/EN/' WHEN 1 THEN '/fr/' ELSE '' END", "url"], governance.surface_admits, "contains(lower(regexp_extract({2}, '^[a-z]+://([^/?#]+)', 1)), '.' || {0}) AND contains(lower({2}), lower({1}))"),
+    "governed_role": Rule(["CASE page_id % 7 WHEN 0 THEN '/careers/' WHEN 1 THEN '/jobs?x=1' WHEN 2 THEN '/2026届秋招' WHEN 3 THEN '/apply/' || CAST(page_id AS STRING) WHEN 4 THEN '/jobs/' || CAST(page_id AS STRING) ELSE '/about' END", "CASE page_id % 5 WHEN 0 THEN 'wechat' WHEN 1 THEN 'university' WHEN 2 THEN 'media' ELSE 'x' END", "page_id % 2 = 0"], governance.governed_role, "CASE WHEN {1} = 'wechat' THEN 'official_wechat_announcement' WHEN {1} = 'university' THEN 'trusted_repost' WHEN {1} = 'media' THEN 'media_article' WHEN regexp_matches({0}, '/apply/|/jobs/[0-9]+$') THEN 'application_form' WHEN {0} LIKE '%秋招%' THEN 'campaign_announcement' WHEN regexp_matches({0}, 'jobs([?]|$)') THEN 'job_list' WHEN {0} LIKE '/careers/%' OR {2} THEN 'company_career_home' ELSE 'unknown' END"),
+    "has_shared": Rule(["'a ' || CAST(page_id % 5 AS STRING)", "CAST(page_id % 3 AS STRING) || ' b'"], lambda a, b: resolve.has_shared(F.split(a, " "), F.split(b, " ")), "len(list_intersect(string_split({0}, ' '), string_split({1}, ' '))) > 0"),
+    "markdown_url": Rule(["'  ' || url || CASE WHEN page_id % 2 = 0 THEN '|[x] more' ELSE ' more' END"], text.markdown_url, "replace(regexp_replace(split_part(trim({0}), ' ', 1), '([\\[\\]])', '\\\\\\1', 'g'), '|', '%7C')"),
+    "hyperlink": Rule(["CASE WHEN page_id % 4 = 0 THEN '' ELSE url || '\"q' END", "'see ' || CAST(page_id AS STRING)"], files.hyperlink, "CASE WHEN {0} = '' THEN '' ELSE '=IFERROR(HYPERLINK(\"' || replace({0}, '\"', '\"\"') || '\",\"' || {1} || '\"),\"' || {1} || '\")' END"),
+}
+rules_query("link_functions", "F18, U15, E2, P24, S5", "pages", "page_id", LINK_RULES)
