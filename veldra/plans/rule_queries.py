@@ -160,9 +160,10 @@ _YEARS = f"CASE o_orderkey % 7 WHEN 0 THEN {_S(_N)} || '-' || {_S('o_orderkey %
 _CN_YEARS = f"CASE o_orderkey % 6 WHEN 0 THEN {_S(_N)} || '-' || {_S('o_orderkey % 9 + 3')} || '年' WHEN 1 THEN {_S(_N)} || '年以上经验' WHEN 2 THEN '不超过' || {_S(_N)} || '年' WHEN 3 THEN '应届' WHEN 4 THEN {_S(_N)} || '年经验' ELSE o_orderpriority END"
 _span = lambda x: F.concat(F.coalesce(x["minYears"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(x["maxYears"].cast("string"), F.lit("")))
 _NUMBER = "regexp_extract({0}, '(\\d+)', 1)"
+_plain = lambda day: F.regexp_replace(day.cast("string"), r"^\+", "")  # noqa: E731  years of five digits come without a sign in SQL
 
 DATE_RULES = {
-    "epoch_date": Rule(["CASE WHEN o_orderkey % 2 = 0 THEN 1600000000 + o_orderkey * 86400 ELSE (1600000000 + o_orderkey * 86400) * 1000 END"], lambda n: dates.epoch_date(n.cast("double")), "strftime(make_timestamp(CASE WHEN {0} < 10000000000 THEN {0} * 1000000 ELSE {0} * 1000 END::BIGINT), '%Y-%m-%d')"),
+    "epoch_date": Rule(["CASE WHEN o_orderkey % 2 = 0 THEN 1600000000 + o_orderkey * 86400 ELSE (1600000000 + o_orderkey * 86400) * 1000 END"], lambda n: _plain(dates.epoch_date(n.cast("double"))), "strftime(make_timestamp(CASE WHEN {0} < 10000000000 THEN {0} * 1000000 ELSE {0} * 1000 END::BIGINT), '%Y-%m-%d')"),
     "instant": Rule(["CASE WHEN o_orderkey % 3 = 0 THEN 1600000000 + o_orderkey * 61 END", "CASE WHEN o_orderkey % 3 = 1 THEN " + f"{_S('2001 + o_orderkey % 24')} || '-0' || {_S(_N)} || '-1' || {_S('o_custkey % 10')}" + " END"], lambda n, t: F.date_format(dates.instant(n, t), "yyyy-MM-dd HH:mm:ss"), "CASE WHEN {0} IS NOT NULL THEN strftime(make_timestamp({0}::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') WHEN {1} IS NOT NULL THEN {1} || ' 00:00:00' END"),
     "cn_date": Rule([f"CASE o_orderkey % 4 WHEN 0 THEN {_day('年', '月', '日')} WHEN 1 THEN {_day('.', '.', '')} WHEN 2 THEN {_day('/', '/', '')} ELSE o_orderpriority END"], dates.cn_date, f"CASE WHEN regexp_matches({{0}}, '\\d+[年./-]\\d+') THEN epoch_ms({_DATE('{0}')}::TIMESTAMP) END"),
     "event_dates": Rule([f"'报名' || {_day('年', '月', '日')} || CASE WHEN o_orderkey % 3 = 0 THEN '开始' ELSE '见面' END || '；' || {_day('-', '-', '').replace('2001 +', '2002 +')} || CASE WHEN o_orderkey % 2 = 0 THEN '截止' ELSE '结果' END", f"CASE WHEN o_orderkey % 5 = 0 THEN {_S('2001 + o_orderkey % 24')} || '-05-1' || {_S('o_custkey % 10')} END"], lambda t, a: (lambda e: F.concat_ws("~", F.coalesce(e["startAt"].cast("string"), F.lit("")), F.coalesce(e["closesAt"].cast("string"), F.lit(""))))(dates.event_dates(t, a, F.lit(None).cast("string"))), f"coalesce({{1}}, CASE WHEN {{0}} LIKE '%开始%' THEN strftime({_DATE('{0}')}, '%Y-%m-%d') END, '') || '~' || CASE WHEN {{0}} LIKE '%截止' THEN strftime({_DATE(chr(115) + 'plit_part({0}, ' + chr(39) + '；' + chr(39) + ', 2)')}, '%Y-%m-%d') ELSE '' END"),
