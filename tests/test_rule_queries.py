@@ -24,3 +24,11 @@ ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice do
 def test_dates_beyond_the_year_9999(spark, tmp_path):
     rows = [(k, k, "O", 1.5, datetime.datetime(2024, 1, 1), "1-URGENT") for k in (2914479, 2914480, 9000001, 53999999)]
     assert not differences(spark, tmp_path, "date_functions", "orders", ORDERS, rows)
+
+
+CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+def test_lengths_are_rounded_as_in_sql(spark, tmp_path):
+    rows = [(k, f"Customer#{k}", 14, pay, "BUILDING") for k, pay in enumerate((1994.9, 1995.0, 1995.1, 1998.11, 2004.9, 2005.0, -0.5), 1) for k in (2 * k + 1, 2 * k + 100)]
+    assert not differences(spark, tmp_path, "more_functions", "customer", CUSTOMERS, rows)

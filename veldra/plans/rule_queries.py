@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +21,13 @@ from veldra.sources import files
 
 @dataclass(frozen=True)
 class Rule:
-    """``inputs`` are named {0}, {1} ... in ``sql``; results are compared as text."""
+    """``inputs`` are named {0}, {1} ... in ``sql``; results are compared as text.  ``native`` holds those inputs, by
+    place, that Spark must write in another way to mean the same."""
 
     inputs: list[str]
     build: Callable[..., Column]
     sql: str
+    native: dict[int, str] = field(default_factory=dict)
 
 
 def _sql(name: str, key: str, rules: dict[str, Rule]) -> str:
@@ -39,7 +41,7 @@ def rules_query(query: str, ids: str, name: str, key: str, rules: dict[str, Rule
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, name)
-        inputs = rows.select(key, *(F.expr(x).alias(f"i_{n}_{k}") for n, r in rules.items() for k, x in enumerate(r.inputs)))
+        inputs = rows.select(key, *(F.expr(r.native.get(k, x)).alias(f"i_{n}_{k}") for n, r in rules.items() for k, x in enumerate(r.inputs)))
         return inputs.select(key, *(r.build(*(F.col(f"i_{n}_{k}") for k in range(len(r.inputs)))).cast("string").alias(n) for n, r in rules.items()))
 
     run.__name__, run.__doc__ = query, ids
@@ -238,7 +240,7 @@ CLASS_RULES = {
     "result_class": Rule([_HIT, "c_mktsegment", _HIT_TITLE, _HIT_KIND], lambda u, c, t, k: classify.result_class(u, c, t, F.lit(""), k), _first((f"{_POLICY} LIKE 'DISCOVERY%'", "'excluded'"), (f"{_POLICY} LIKE 'PLATFORM%'", "'platform'"), ("{0} LIKE '%greenhouse.io%'", "'ats'"), (_has("{2} || ' ' || {0}", "招聘|/careers"), "'recruitment'"), default="'other'")),
     "surface_page": Rule([_PAGE_URL, _PAGE, "CASE WHEN c_custkey % 13 = 0 THEN 403 ELSE 200 END"], lambda u, h, s: classify.surface_page(u, h, s.cast("int"))["pageState"], _SURFACE),
     "target_evidence": Rule([_TALK], lambda c: (lambda x: F.concat_ws("|", F.array_join(x["recruitmentScopes"], ","), F.array_join(x["cohortYears"].cast("array<string>"), ","), F.array_join(x["recruitmentBatches"], ",")))(classify.target_evidence(c)), f"concat_ws(',', CASE WHEN {_has('{0}', '校招|校园招聘|应届|campus|graduate')} THEN 'CAMPUS' END, CASE WHEN {_has('{0}', '实习|intern')} THEN 'INTERNSHIP' END, CASE WHEN {_has('{0}', '社招|社会招聘|experienced')} THEN 'SOCIAL' END) || '|' || regexp_extract({{0}}, '(20\\d{{{{2}}}})\\s*届', 1) || '|' || concat_ws(',', CASE WHEN {_has('{0}', '秋招|autumn')} THEN 'AUTUMN' END, CASE WHEN {_has('{0}', '春招|spring')} THEN 'SPRING' END, CASE WHEN {_has('{0}', '提前批|early')} THEN 'EARLY' END, CASE WHEN {_has('{0}', '补录')} THEN 'SUPPLEMENTARY' END)"),
-    "needs_render": Rule(["CASE WHEN c_custkey % 5 = 0 THEN 'FAILED' ELSE 'RESOLVED' END", "CASE WHEN c_nationkey % 3 = 0 THEN 'UNKNOWN' ELSE 'JOB_LIST' END", "CAST(c_acctbal / 10 AS INTEGER)", "c_custkey % 2 = 0"], classify.needs_render, "{0} = 'RESOLVED' AND ({1} = 'UNKNOWN' OR (NOT {3} AND {2} < 200))"),
+    "needs_render": Rule(["CASE WHEN c_custkey % 5 = 0 THEN 'FAILED' ELSE 'RESOLVED' END", "CASE WHEN c_nationkey % 3 = 0 THEN 'UNKNOWN' ELSE 'JOB_LIST' END", "CAST(c_acctbal / 10 AS INTEGER)", "c_custkey % 2 = 0"], classify.needs_render, "{0} = 'RESOLVED' AND ({1} = 'UNKNOWN' OR (NOT {3} AND {2} < 200))", {2: "CAST(rint(c_acctbal / 10) AS INTEGER)"}),
     "job_bucket": Rule([_JOB, _ENGAGED, _YEARS_ASKED], lambda t, j, y: classify.job_bucket(t, F.lit(""), j, y.cast("int"), F.lit(None)), _first((f"({{1}} = 'internship' OR {_has('{0}', '实习|' + chr(92) + 'bintern' + chr(92) + 'b')}) AND coalesce({{2}} < 3, true)", "'internship'"), ("{2} >= 3", "'experienced'"), (_has("{0}", r"\bsenior\b|engineer\s+(ii|iii|iv)\b"), "'experienced'"), ("{1} = 'contract'", "'experienced'"), default="'full_time'")),
     "role_family": Rule([_JOB], lambda t: classify.role_family(t, F.lit("")), f"coalesce({_NAMED(rules.ROLE_FAMILIES, '{0}')}, '其他')"),
     "role_categories": Rule([f"({_JOB}) || ' ' || ({_TALK})"], lambda t: F.array_join(classify.role_categories(t), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {_has('{0}', p)} THEN '{n}' END" for n, p in rules.ROLE_FAMILIES) + ")"),
