@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 from veldra.plans import queries as plans
 
@@ -32,3 +33,11 @@ CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c
 def test_lengths_are_rounded_as_in_sql(spark, tmp_path):
     rows = [(k, f"Customer#{k}", 14, pay, "BUILDING") for k, pay in enumerate((1994.9, 1995.0, 1995.1, 1998.11, 2004.9, 2005.0, -0.5), 1) for k in (2 * k + 1, 2 * k + 100)]
     assert not differences(spark, tmp_path, "more_functions", "customer", CUSTOMERS, rows)
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = [(k, f"Customer#{k}", k % 25, 10.0 * (k % 400), "BUILDING") for k in range(3500)]
+    spark.createDataFrame(rows, CUSTOMERS).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = plans.QUERIES["class_functions"](spark, str(tmp_path))
+    used = df.select("c_custkey", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in used) == 3500 and len(used) == 4

@@ -36,11 +36,22 @@ def _sql(name: str, key: str, rules: dict[str, Rule]) -> str:
     return f"WITH i AS (SELECT {key}, {', '.join(inputs)} FROM {name}) SELECT {key}, {', '.join(results)} FROM i"
 
 
+#: Rows of a task, where there are more than each core can have a thousand of.
+TASK_ROWS = 20_000
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by key: a narrow table is one file of few megabytes, which a single task would read and work on."""
+    n = rows.count()
+    tasks = max(-(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)))
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def rules_query(query: str, ids: str, name: str, key: str, rules: dict[str, Rule]) -> None:
     """Register a query that applies all rules to every row of a table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, name)
+        rows = _spread(table(spark, sf_dir, name), key)
         inputs = rows.select(key, *(F.expr(r.native.get(k, x)).alias(f"i_{n}_{k}") for n, r in rules.items() for k, x in enumerate(r.inputs)))
         return inputs.select(key, *(r.build(*(F.col(f"i_{n}_{k}") for k in range(len(r.inputs)))).cast("string").alias(n) for n, r in rules.items()))
 
@@ -236,7 +247,7 @@ _STATUS = "CASE c_custkey % 6 WHEN 0 THEN 'Closed' WHEN 1 THEN 'open' WHEN 2 THE
 _DUE = f"CASE WHEN c_nationkey % 2 = 0 THEN '2026-0' || {_S('1 + c_nationkey % 5')} || '-15' END"
 
 CLASS_RULES = {
-    "source_policy": Rule([_HIT, "c_mktsegment", _HIT_TITLE, _HIT_KIND], lambda *c: (lambda p: F.concat(p["decision"], F.lit(" "), F.coalesce(p["reasonCode"], F.lit(""))))(classify.source_policy(*c)), _POLICY),
+    "source_policy": Rule([_HIT, "c_mktsegment", _HIT_TITLE, _HIT_KIND], lambda *c: text.let(classify.source_policy(*c), lambda p: F.concat(p["decision"], F.lit(" "), F.coalesce(p["reasonCode"], F.lit("")))), _POLICY),
     "result_class": Rule([_HIT, "c_mktsegment", _HIT_TITLE, _HIT_KIND], lambda u, c, t, k: classify.result_class(u, c, t, F.lit(""), k), _first((f"{_POLICY} LIKE 'DISCOVERY%'", "'excluded'"), (f"{_POLICY} LIKE 'PLATFORM%'", "'platform'"), ("{0} LIKE '%greenhouse.io%'", "'ats'"), (_has("{2} || ' ' || {0}", "招聘|/careers"), "'recruitment'"), default="'other'")),
     "surface_page": Rule([_PAGE_URL, _PAGE, "CASE WHEN c_custkey % 13 = 0 THEN 403 ELSE 200 END"], lambda u, h, s: classify.surface_page(u, h, s.cast("int"))["pageState"], _SURFACE),
     "target_evidence": Rule([_TALK], lambda c: (lambda x: F.concat_ws("|", F.array_join(x["recruitmentScopes"], ","), F.array_join(x["cohortYears"].cast("array<string>"), ","), F.array_join(x["recruitmentBatches"], ",")))(classify.target_evidence(c)), f"concat_ws(',', CASE WHEN {_has('{0}', '校招|校园招聘|应届|campus|graduate')} THEN 'CAMPUS' END, CASE WHEN {_has('{0}', '实习|intern')} THEN 'INTERNSHIP' END, CASE WHEN {_has('{0}', '社招|社会招聘|experienced')} THEN 'SOCIAL' END) || '|' || regexp_extract({{0}}, '(20\\d{{{{2}}}})\\s*届', 1) || '|' || concat_ws(',', CASE WHEN {_has('{0}', '秋招|autumn')} THEN 'AUTUMN' END, CASE WHEN {_has('{0}', '春招|spring')} THEN 'SPRING' END, CASE WHEN {_has('{0}', '提前批|early')} THEN 'EARLY' END, CASE WHEN {_has('{0}', '补录')} THEN 'SUPPLEMENTARY' END)"),
@@ -245,12 +256,12 @@ CLASS_RULES = {
     "role_family": Rule([_JOB], lambda t: classify.role_family(t, F.lit("")), f"coalesce({_NAMED(rules.ROLE_FAMILIES, '{0}')}, '其他')"),
     "role_categories": Rule([f"({_JOB}) || ' ' || ({_TALK})"], lambda t: F.array_join(classify.role_categories(t), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {_has('{0}', p)} THEN '{n}' END" for n, p in rules.ROLE_FAMILIES) + ")"),
     "recruitment_type": Rule([_TALK], classify.recruitment_type, _KIND),
-    "recruitment_event": Rule([_TALK, "CASE WHEN c_custkey % 7 = 0 THEN 'bad' ELSE 'https://' || lower(c_mktsegment) || '.com/#a' END", "CASE WHEN c_nationkey % 6 = 0 THEN 'JOB_DETAIL' ELSE 'JOB_LIST' END"], lambda t, u, p: (lambda e: F.coalesce(e["violation"], F.concat_ws(" ", e["recruitmentType"], e["directoryUrl"])))(classify.recruitment_event(t, F.lit(""), F.lit(""), F.lit(""), F.lit(""), u, p, F.lit("OFFICIAL_SITE"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array(F.lit("a")))), f"CASE WHEN {{2}} = 'JOB_DETAIL' THEN 'unsupported_page_type' WHEN {{1}} = 'bad' THEN 'invalid_directory_url' ELSE {_KIND} || ' ' || split_part({{1}}, '#', 1) END"),
+    "recruitment_event": Rule([_TALK, "CASE WHEN c_custkey % 7 = 0 THEN 'bad' ELSE 'https://' || lower(c_mktsegment) || '.com/#a' END", "CASE WHEN c_nationkey % 6 = 0 THEN 'JOB_DETAIL' ELSE 'JOB_LIST' END"], lambda t, u, p: text.let(classify.recruitment_event(t, F.lit(""), F.lit(""), F.lit(""), F.lit(""), u, p, F.lit("OFFICIAL_SITE"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array(F.lit("a"))), lambda e: F.coalesce(e["violation"], F.concat_ws(" ", e["recruitmentType"], e["directoryUrl"]))), f"CASE WHEN {{2}} = 'JOB_DETAIL' THEN 'unsupported_page_type' WHEN {{1}} = 'bad' THEN 'invalid_directory_url' ELSE {_KIND} || ' ' || split_part({{1}}, '#', 1) END"),
     "record_scope": Rule([_TALK, "CASE c_nationkey % 4 WHEN 0 THEN 'social' WHEN 1 THEN 'campus' ELSE '' END"], lambda t, g: classify.record_scope(t, F.lit(""), g, F.lit(""), F.lit(""), F.lit(None)), _first((_has("{0}", "实习|intern"), "'internship'"), (_has("{0}", "社招|社会招聘|经验招聘|experienced"), "'social'"), (_has("{0}", "校招|校园招聘|应届|秋招|春招|(20)?2[0-9]届"), "'campus'"), ("{1} <> ''", "{1}"), default="'campus'")),
     "batch": Rule([_TALK, "CASE c_nationkey % 3 WHEN 0 THEN 'internship' WHEN 1 THEN 'social' ELSE '' END"], classify.batch, f"coalesce({_NAMED([(n, p) for n, p in rules.BATCHES], '{0}')}, CASE {{1}} WHEN 'internship' THEN '日常实习' WHEN 'social' THEN '社招' ELSE '待确认批次' END)"),
     "database_bucket": Rule(["CASE WHEN c_nationkey % 3 = 0 THEN 2020 + c_nationkey WHEN c_nationkey % 3 = 1 THEN 0 END", "CASE c_custkey % 3 WHEN 0 THEN 'internship' WHEN 1 THEN 'social' ELSE 'campus' END"], lambda y, s: classify.database_bucket(y.cast("int"), s), "CASE WHEN {0} > 0 THEN 'cohort-' || {0} WHEN {1} = 'internship' THEN 'daily-internships' WHEN {1} = 'social' THEN 'social' ELSE 'cohort-unknown' END"),
     "organization_type": Rule([_WHO], classify.organization_type, _first(("{0} LIKE '%大学'", "'高校'"), ("{0} LIKE '%医院'", "'医院'"), ("{0} LIKE '%研究所'", "'科研院所'"), ("{0} LIKE '%银行'", "'金融机构'"), ("{0} LIKE '%局'", "'机关事业单位'"), ("{0} LIKE '%公司'", "'企业'"), default="'待确认'")),
-    "source_trust": Rule([_TRUST_KIND, _TRUST_URL], lambda k, u: (lambda x: F.concat_ws(" ", x["tier"], x["score"].cast("string")))(classify.source_trust(k, u)), _first(("{0} = 'official_ats' OR {1} LIKE '%/careers' OR {1} LIKE '%.zhaopin.com/%'", "'official 100'"), ("{1} LIKE '%mp.weixin%' OR {0} = 'official_announcement'", "'high 90'"), ("{0} = 'university'", "'high 85'"), ("{0} = 'aggregator'", "'discovery 45'"), default="'lead 20'")),
+    "source_trust": Rule([_TRUST_KIND, _TRUST_URL], lambda k, u: text.let(classify.source_trust(k, u), lambda x: F.concat_ws(" ", x["tier"], x["score"].cast("string"))), _first(("{0} = 'official_ats' OR {1} LIKE '%/careers' OR {1} LIKE '%.zhaopin.com/%'", "'official 100'"), ("{1} LIKE '%mp.weixin%' OR {0} = 'official_announcement'", "'high 90'"), ("{0} = 'university'", "'high 85'"), ("{0} = 'aggregator'", "'discovery 45'"), default="'lead 20'")),
     "page_identity": Rule(["'<title>' || c_mktsegment || ' jobs</title>' || CASE WHEN c_custkey % 2 = 0 THEN '<nav>x ' || c_mktsegment || '</nav>' ELSE '<nav>menu</nav>' END || CASE WHEN c_nationkey % 3 = 0 THEN '<footer>' || lower(c_mktsegment) || '</footer>' ELSE '' END", "CASE WHEN c_custkey % 5 = 0 THEN 'Zzz' ELSE c_mktsegment END"], lambda h, n: (lambda x: F.concat_ws(" ", F.array_join(x["signals"], ","), x["confirmed"].cast("string")))(classify.page_identity(h, F.array(n))), "(SELECT concat_ws(',', t, f, n) || ' ' || ((t IS NOT NULL)::INTEGER + (f IS NOT NULL)::INTEGER + (n IS NOT NULL)::INTEGER >= 2) FROM (SELECT CASE WHEN contains(lower(regexp_extract({0}, '<title>(.*?)</title>', 1)), lower({1})) THEN 'title' END AS t, CASE WHEN contains(lower(regexp_extract({0}, '<footer>(.*?)</footer>', 1)), lower({1})) THEN 'footer' END AS f, CASE WHEN contains(lower(regexp_extract({0}, '<nav>(.*?)</nav>', 1)), lower({1})) THEN 'nav' END AS n))"),
     "hard_negative": Rule([_HIT, "CASE c_nationkey % 4 WHEN 0 THEN 'Java培训班' WHEN 1 THEN '请加微信' ELSE c_name END"], classify.hard_negative, _first(("regexp_matches({0}, 'zhipin|liepin')", "'aggregator_domain'"), ("{0} LIKE '%.edu.cn/%'", "'university_employment_site'"), ("{0} LIKE '%/news/%'", "'news_reprint'"), ("{1} LIKE '%培训班%'", "'training_provider'"), ("{1} LIKE '%加微信%'", "'private_or_payment_risk'"))),
     "has_structure": Rule([_SAYS], classify.has_recruitment_structure, _has("{0}", "职位|岗位|招聘|投递|job|position|vacanc|opening")),
@@ -261,7 +272,7 @@ CLASS_RULES = {
     "opening_status": Rule([_STATUS, _DUE], lambda s, d: classify.opening_status(s, d, F.lit("2026-03-01").cast("date")), _first((f"{_has('{0}', 'closed|inactive')} OR {{1}} < '2026-03-01'", "'CLOSED'"), (_has("{0}", "active|open|招聘中"), "'ACTIVE'"), default="'UNKNOWN'")),
     "matches_role": Rule([f"CASE c_custkey % 3 WHEN 0 THEN 'Senior ' || c_mktsegment || '-Dev' WHEN 1 THEN c_mktsegment || '  Dev' ELSE 'Chef' END"], lambda t: classify.matches_role(t, ["building dev", " ", "furniture-dev"]), "regexp_matches(lower({0}), 'building +dev|furniture-dev')"),
     "matches_location": Rule(["CASE c_nationkey % 4 WHEN 0 THEN 'Rome, Italy|Paris' WHEN 1 THEN 'Om' WHEN 2 THEN c_mktsegment END"], lambda c: classify.matches_location(F.split(c, r"\|"), " rome "), "coalesce(contains(lower({0}), 'rome') OR contains('rome', lower({0})), true)"),
-    "official_score": Rule([_HIT, _HIT_TITLE, "CASE WHEN c_nationkey % 2 = 0 THEN lower(c_mktsegment) || '.com' ELSE '' END"], lambda u, t, d: (lambda x: F.concat_ws(" ", x["totalScore"].cast("string"), x["decision"]))(classify.official_score(u, t, F.lit("2026"), F.lit("BUILDING"), d, F.lit(False), F.lit(2026), F.lit(""), F.lit(1))), "(SELECT n || ' ' || CASE WHEN n >= 75 AND strong THEN 'auto_verify' WHEN n < 55 THEN 'reject' ELSE 'review' END FROM (SELECT CASE WHEN regexp_matches({0}, '(zhipin|liepin)\\.com') THEN -50 ELSE 0 END + CASE WHEN own THEN 40 ELSE 0 END + CASE WHEN vendor AND named THEN 35 ELSE 0 END + CASE WHEN named THEN 25 ELSE -40 END + 20 + CASE WHEN {1} LIKE '%招聘%' THEN 10 ELSE 0 END + 5 AS n, own OR (vendor AND named) AS strong FROM (SELECT {2} <> '' AND starts_with({0}, 'https://' || {2} || '/') AS own, {0} LIKE '%greenhouse.io%' AS vendor, contains(lower({1}), 'building') AS named)))"),
+    "official_score": Rule([_HIT, _HIT_TITLE, "CASE WHEN c_nationkey % 2 = 0 THEN lower(c_mktsegment) || '.com' ELSE '' END"], lambda u, t, d: text.let(classify.official_score(u, t, F.lit("2026"), F.lit("BUILDING"), d, F.lit(False), F.lit(2026), F.lit(""), F.lit(1)), lambda x: F.concat_ws(" ", x["totalScore"].cast("string"), x["decision"])), "(SELECT n || ' ' || CASE WHEN n >= 75 AND strong THEN 'auto_verify' WHEN n < 55 THEN 'reject' ELSE 'review' END FROM (SELECT CASE WHEN regexp_matches({0}, '(zhipin|liepin)\\.com') THEN -50 ELSE 0 END + CASE WHEN own THEN 40 ELSE 0 END + CASE WHEN vendor AND named THEN 35 ELSE 0 END + CASE WHEN named THEN 25 ELSE -40 END + 20 + CASE WHEN {1} LIKE '%招聘%' THEN 10 ELSE 0 END + 5 AS n, own OR (vendor AND named) AS strong FROM (SELECT {2} <> '' AND starts_with({0}, 'https://' || {2} || '/') AS own, {0} LIKE '%greenhouse.io%' AS vendor, contains(lower({1}), 'building') AS named)))"),
     "identity": Rule(["CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE '' END", "CASE c_nationkey % 3 WHEN 0 THEN 'x y' WHEN 1 THEN 'x' ELSE '' END", "CASE WHEN c_custkey % 11 = 0 THEN 'punycode_domain' ELSE 'other' END", "CASE WHEN c_nationkey % 4 = 0 THEN 'JOB_LIST' WHEN c_nationkey % 4 = 1 THEN 'CAREER_HOME' ELSE 'UNKNOWN' END", "CASE c_custkey % 7 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'UNKNOWN' ELSE 'ACTIVE' END"], lambda s, m, r, p, v: (lambda words: classify.identity(words(s), words(m), words(r), p, v, F.lit(200), F.lit(True), F.lit(False))["verdict"])(lambda x: F.filter(F.split(x, " "), lambda w: w != "")), _first(("{4} = 'BLOCKED'", "'BLOCKED'"), ("{2} = 'punycode_domain'", "'REJECT'"), ("{0} <> '' AND {3} <> 'UNKNOWN' AND {3} = 'JOB_LIST' AND {4} = 'ACTIVE'", "'AUTO_ACCEPT'"), ("{0} <> '' AND {3} <> 'UNKNOWN'", "'AUTO_ACCEPT_WITH_LIMITED_ROLE'"), ("{1} = 'x y'", "'MANUAL_REVIEW'"), default="'UNVERIFIED'")),
     "site_score": Rule([_HIT, "CASE WHEN c_nationkey % 2 = 0 THEN 'careers' ELSE '' END"], lambda u, t: classify.site_score(u, t, F.lit(""), F.array(F.lit("building")), F.lit("")).cast("double"), "(CASE WHEN {0} LIKE '%edu.cn%' OR {0} LIKE '%.com/%' OR {0} LIKE '%.io/%' THEN CASE WHEN {0} LIKE '%.building.edu.cn/%' THEN 0.8 + CASE WHEN {1} <> '' THEN 0.5 ELSE 0 END WHEN {0} LIKE 'https://building.com/%' THEN 1.0 + CASE WHEN {1} <> '' THEN 0.5 ELSE 0 END WHEN {0} LIKE '%//boards.greenhouse.io/%' THEN 0.4 + CASE WHEN {1} <> '' THEN 0.5 ELSE 0 END ELSE 0.0 END ELSE 0.0 END)::DOUBLE"),
     "domain_risks": Rule([f"CASE c_custkey % 5 WHEN 0 THEN 'https://10.2.3.' || {_S('c_nationkey')} || '/' WHEN 1 THEN 'https://acne.com/' WHEN 2 THEN 'bad' WHEN 3 THEN 'https://' || lower(c_mktsegment) || '.com:8443/' ELSE 'https://a-b-c-d-' || lower(c_mktsegment) || '.com/' END", "CASE WHEN c_nationkey % 3 = 0 THEN '加微信' ELSE c_name END"], lambda u, t: F.array_join(F.array_sort(classify.domain_risks(u, F.array(F.lit("acme.com")), t)), ","), "CASE WHEN {0} = 'bad' THEN 'invalid_url' ELSE concat_ws(',', CASE WHEN {0} LIKE '%//a-b-c-d-%' THEN 'abnormal_domain_shape' END, CASE WHEN {0} LIKE '%//10.%' THEN 'ip_literal_host' END, CASE WHEN {0} LIKE '%acne.com%' THEN 'lookalike_official_domain' END, CASE WHEN {0} LIKE '%:8443%' THEN 'non_standard_port' END, CASE WHEN {1} = '加微信' THEN 'payment_or_private_contact_risk' END) END"),
