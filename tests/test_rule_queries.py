@@ -5,6 +5,7 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
+from veldra.functions import text
 from veldra.plans import queries as plans
 
 
@@ -41,3 +42,8 @@ def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     df = plans.QUERIES["class_functions"](spark, str(tmp_path))
     used = df.select("c_custkey", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in used) == 3500 and len(used) == 4
+
+
+def test_words_of_slugs_are_made_once(spark):
+    plan = spark.range(1).select(text.slug_candidates(F.col("id").cast("string")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("split(") == 1

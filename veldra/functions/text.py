@@ -383,7 +383,10 @@ def redact(x: Column) -> Column:
 
 def slug_candidates(name: Column) -> Column:
     """Likely slugs of a company at job boards, most specific first."""
-    w = F.filter(F.split(clean(replace(F.lower(_s(name)), rf"[^a-z0-9{WS}]", " ")), " "), lambda x: x != "")
+    return let(F.filter(F.split(clean(replace(F.lower(_s(name)), rf"[^a-z0-9{WS}]", " ")), " "), lambda x: x != ""), _slugs)
+
+
+def _slugs(w: Column) -> Column:
     shapes = [F.array_join(w, ""), F.array_join(w, "-"), F.array_join(w, "_"), w[0]]
     for base in (F.array_join(w, ""), w[0]):
         shapes += [F.concat(base, F.lit(end)) for end in ("ai", "tech", "io", "hq", "labs", ".tech", ".io")]

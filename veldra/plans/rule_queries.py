@@ -109,7 +109,7 @@ TEXT_RULES = {
     "markdown_field": Rule(["p_name || '|[' || p_brand || ']' || chr(10) || chr(9) || '  x' || chr(92) || 'y '"], text.markdown_field, f"replace({_sub(_FLAT, r'([\\\[\]])', r'\\\1')}, '|', '/')"),
     "tsv_field": Rule(["CASE p_size % 5 WHEN 0 THEN '=' WHEN 1 THEN ' -' WHEN 2 THEN '@' ELSE '' END || p_name || chr(9) || p_brand"], text.tsv_field, f"CASE WHEN regexp_matches({_FLAT}, '^[=+\\-@]') THEN '''' ELSE '' END || {_FLAT}"),
     "fold_locations": Rule([f"'City ' || {_S('p_size % 3')}", f"'City ' || {_S('p_size % 2')}", "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_type END"], lambda a, b, c: text.fold_locations(a, F.array(F.struct(b.alias("location"), F.lit(" ").alias("locality"), c.alias("country")))), "concat_ws(' · ', {0}, CASE WHEN {1} <> {0} THEN {1} END, {2})"),
-    "thread_comment": Rule([f"p_brand || ' | ' || p_name || ' | City ' || {_S('p_size')} || ' https://x.example.com/<p>see <a href=\"https://jobs.example.com/' || {_S('p_partkey')} || '.\">it</a> &amp; more'"], lambda c: (lambda x: F.concat_ws("~", x["title"], x["url"], x["company"], x["location"]))(text.thread_comment(c, F.lit("https://t/1"))), "trim(regexp_replace(split_part({0}, '<p>', 1), 'https?://[^\\s]+', '', 'g')) || '~' || regexp_extract({0}, '(https?://[^\\s<>\"]+)', 1) || '~' || trim(split_part({0}, '|', 1)) || '~' || trim(regexp_replace(split_part(split_part({0}, '<p>', 1), '|', 3), 'https?://[^\\s]+', '', 'g'))"),
+    "thread_comment": Rule([f"p_brand || ' | ' || p_name || ' | City ' || {_S('p_size')} || ' https://x.example.com/<p>see <a href=\"https://jobs.example.com/' || {_S('p_partkey')} || '.\">it</a> &amp; more'"], lambda c: text.let(text.thread_comment(c, F.lit("https://t/1")), lambda x: F.concat_ws("~", x["title"], x["url"], x["company"], x["location"])), "trim(regexp_replace(split_part({0}, '<p>', 1), 'https?://[^\\s]+', '', 'g')) || '~' || regexp_extract({0}, '(https?://[^\\s<>\"]+)', 1) || '~' || trim(split_part({0}, '|', 1)) || '~' || trim(regexp_replace(split_part(split_part({0}, '<p>', 1), '|', 3), 'https?://[^\\s]+', '', 'g'))"),
     "redact": Rule(["'fetch ' || p_name || CASE p_size % 4 WHEN 0 THEN ' Bearer ' || p_brand WHEN 1 THEN ', api_key=' || p_type || ', ok' WHEN 2 THEN ' Token: ' || p_name ELSE '' END || repeat('x', p_size * 8)"], text.redact, f"substr({_sub('{0}', _twice(r'(?i)(?:authorization|bearer|api[_-]?key|token)\s*[:=]?\s*[^\s,;]+'), '[REDACTED]')}, 1, 240)"),
     "bounded_error": Rule(["CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN NULL ELSE repeat(p_name, p_size) END"], text.bounded_error, "substr(coalesce(nullif({0}, ''), 'unknown error'), 1, 240)"),
     "slugs": Rule(["p_name || CASE WHEN p_size % 2 = 0 THEN '! ' || p_type ELSE '' END"], lambda c: F.array_join(text.slug_candidates(c), ","), "(SELECT concat_ws(',', a, replace(w, ' ', '-'), replace(w, ' ', '_'), h, a || 'ai', a || 'tech', a || 'io', a || 'hq', a || 'labs', a || '.tech', a || '.io', h || 'ai', h || 'tech', h || 'io', h || 'hq', h || 'labs', h || '.tech', h || '.io') FROM (SELECT w, replace(w, ' ', '') AS a, split_part(w, ' ', 1) AS h FROM (SELECT trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) AS w)))"),
