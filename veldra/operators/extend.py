@@ -107,10 +107,11 @@ _LD = re.compile(r"""<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.
 
 def _sections(html: str | None) -> Iterator[tuple]:
     pos = 0
-    for tag, inner in _BLOCK.findall(html or ""):
+    for block in _BLOCK.finditer(html or ""):
+        tag, inner = block.groups()
         text = _WHITE.sub(" ", entities.unescape(re.sub("<[^>]+>", " ", inner))).strip()
         if text:
-            yield pos, tag.lower(), text
+            yield pos, tag.lower(), text, block.group()
             pos += 1
     for script in _LD.findall(html or ""):
         try:
@@ -119,12 +120,13 @@ def _sections(html: str | None) -> Iterator[tuple]:
             continue
         for x in found if isinstance(found, list) else [found]:
             if isinstance(x, dict):
-                yield pos, "json", json.dumps(x, sort_keys=True, ensure_ascii=False)
+                yield pos, "json", json.dumps(x, sort_keys=True, ensure_ascii=False), script
                 pos += 1
 
 
-#: What a page says, part by part: title, headings, paragraphs, cells, and its JSON-LD objects.
-SECTIONS = Expander("pos int, kind string, text string", _sections)
+#: What a page says, part by part: title, headings, paragraphs, cells, and its JSON-LD objects; ``raw`` is the part
+#: as the page has it.
+SECTIONS = Expander("pos int, kind string, text string, raw string", _sections)
 
 
 def _last(frame: pd.DataFrame, keys: list[str], value: str, at: str, empty: bool) -> pd.DataFrame:
