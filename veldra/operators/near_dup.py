@@ -142,14 +142,15 @@ def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: i
     pieces = agreeing(max(df.count() for df in one.values()), radius)
     wide = {n: df.withColumn("band", F.explode(bands(F.col("fingerprint"), radius, pieces))) for n, df in one.items()}
     count = {n: df.groupBy("band").agg(F.count("*").alias(n)) for n, df in wide.items()}
-    cuts = count["a"].join(count["b"], "band").where(F.greatest("a", "b") > part)
+    # what is exploded has many times the size that Spark supposes, so it is kept from broadcasting it through the driver
+    cuts = count["a"].hint("merge").join(count["b"].hint("merge"), "band").where(F.greatest("a", "b") > part)
     cuts = materialize(cuts.select("band", F.ceil(F.col("a") / part).cast("int").alias("x"), F.ceil(F.col("b") / part).cast("int").alias("y")))
     met = {}
     for n, own, other in (("a", "x", "y"), ("b", "y", "x")):
         df = wide[n].join(cuts, "band", "left").withColumn(own, F.pmod(F.xxhash64("company", "fingerprint"), F.coalesce(own, F.lit(1))).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
         met[n] = df.select("band", "x", "y", F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
-    pairs = met["a"].join(met["b"], ["band", "x", "y"]).where("a_company <> b_company").withColumn("score", similarity(F.col("a_fp"), F.col("b_fp")))
+    pairs = met["a"].hint("merge").join(met["b"].hint("merge"), ["band", "x", "y"]).where("a_company <> b_company").withColumn("score", similarity(F.col("a_fp"), F.col("b_fp")))
     pairs = pairs.where(F.col("score") >= threshold).select("a_company", "a_fp", "b_company", "b_fp", "score").distinct()
     back = lambda n, url: sides[n].select(F.col("url").alias(url), F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
     out = pairs.join(back("a", "offer_url"), ["a_company", "a_fp"]).join(back("b", "row_url"), ["b_company", "b_fp"]).where("offer_url <> row_url")
