@@ -34,6 +34,11 @@ def candidate_sets(left: DataFrame, right: DataFrame, least: float = 0.6, part:
     of many sets come last in the order and so are seldom looked up; a list that is long all the same is cut into parts
     on both sides.  Sets travel with their items, so they should be small, as titles are.
     """
+    return _met(left, right, least, part).dropDuplicates(["a", "b"])
+
+
+def _met(left: DataFrame, right: DataFrame, least: float, part: int) -> DataFrame:
+    """Pairs of ``candidate_sets``, once for every looked up item that they share."""
     sides = {"l": _distinct(left), "r": _distinct(right)}
     both = materialize(sides["l"].withColumn("side", F.lit("l")).unionByName(sides["r"].withColumn("side", F.lit("r"))))
     # counts combine before they are shuffled, by block and item: a block with half of all rows is many keys
@@ -59,7 +64,7 @@ def candidate_sets(left: DataFrame, right: DataFrame, least: float = 0.6, part:
     room = F.col("b.n") - F.col("b.p") >= _needed(F.col("a.n"), least)
     pairs = a.join(b, [*met, smaller, room])
     swap = lambda x, y, c: F.when(F.col("a.turn") == "l", F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-    return pairs.select(swap("a", "b", "set").alias("a"), swap("b", "a", "set").alias("b"), swap("a", "b", "items").alias("a_items"), swap("b", "a", "items").alias("b_items")).dropDuplicates(["a", "b"])
+    return pairs.select(swap("a", "b", "set").alias("a"), swap("b", "a", "set").alias("b"), swap("a", "b", "items").alias("a_items"), swap("b", "a", "items").alias("b_items"))
 
 
 def _needed(n: Column, least: float) -> Column:
@@ -72,8 +77,9 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float = 0.6, part: in
     compared once, and rows find their sets by an equi-join with the digest."""
     shared = F.size(F.array_intersect("a_items", "b_items"))
     overlap = shared / F.least(F.size("a_items"), F.size("b_items"))
-    found = candidate_sets(left, right, least, part).select("a", "b", shared.alias("shared"), overlap.alias("overlap"))
-    return found.where(F.col("overlap") >= least)
+    # compared where they meet: only similar pairs are shuffled, and without their items
+    found = _met(left, right, least, part).select("a", "b", shared.alias("shared"), overlap.alias("overlap"))
+    return found.where(F.col("overlap") >= least).dropDuplicates(["a", "b"])
 
 
 def deletions(x: Column, edits: int = 2) -> Column:
