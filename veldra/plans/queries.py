@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
 
 
+#: Rows of a task, where there are more than each core can have a thousand of.
+TASK_ROWS = 20_000
+
+
+def spread(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt to tasks by key: a narrow table is one file of few megabytes, which a single task would read and work on."""
+    n = rows.count()
+    tasks = max(-(-n // task_rows), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)))
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def query(oracle: str | None = None):
     """Register a query under its function's name."""
 

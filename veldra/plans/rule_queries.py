@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import classify, dates, rules, text, urls, values
 from veldra.operators import builders, filters, governance, resolve
-from veldra.plans.queries import ORACLE, QUERIES, table
+from veldra.plans.queries import ORACLE, QUERIES, spread, table
 from veldra.sources import files
 
 
@@ -36,22 +36,11 @@ def _sql(name: str, key: str, rules: dict[str, Rule]) -> str:
     return f"WITH i AS (SELECT {key}, {', '.join(inputs)} FROM {name}) SELECT {key}, {', '.join(results)} FROM i"
 
 
-#: Rows of a task, where there are more than each core can have a thousand of.
-TASK_ROWS = 20_000
-
-
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to tasks by key: a narrow table is one file of few megabytes, which a single task would read and work on."""
-    n = rows.count()
-    tasks = max(-(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)))
-    return rows.repartition(tasks, key) if tasks > 1 else rows
-
-
 def rules_query(query: str, ids: str, name: str, key: str, rules: dict[str, Rule]) -> None:
     """Register a query that applies all rules to every row of a table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _spread(table(spark, sf_dir, name), key)
+        rows = spread(table(spark, sf_dir, name), key)
         inputs = rows.select(key, *(F.expr(r.native.get(k, x)).alias(f"i_{n}_{k}") for n, r in rules.items() for k, x in enumerate(r.inputs)))
         return inputs.select(key, *(r.build(*(F.col(f"i_{n}_{k}") for k in range(len(r.inputs)))).cast("string").alias(n) for n, r in rules.items()))
 
