@@ -57,7 +57,9 @@ def document_texts(docs: DataFrame, id_col: str = "id", json: str = "json") -> D
     """M4: (id, strings, text, urls) of JSON documents: all strings of a document in the order of their steps, these cleaned
     and joined by spaces, and the addresses among them, each once."""
     rows = walk(docs.select(F.col(id_col).alias("id"), F.col(json).alias("json")))
-    strings = rows.select("id", F.struct("steps", F.when(kind(F.col("value")) == "STRING", F.try_variant_get("value", "$", "string")).alias("s")).alias("x"))
+    # of what is no string only the whole document is needed, so that it has a row
+    rows = rows.withColumn("text", F.when(kind(F.col("value")) == "STRING", F.try_variant_get("value", "$", "string"))).where("text is not null or depth = 0")
+    strings = rows.select("id", F.struct("steps", F.col("text").alias("s")).alias("x"))
     one = strings.groupBy("id").agg(F.array_compact(F.array_sort(F.collect_list("x"))["s"]).alias("s"))
     return one.select("id", F.col("s").alias("strings"), clean(F.array_join("s", " ")).alias("text"), F.array_distinct(F.filter("s", lambda s: s.rlike("^https?://"))).alias("urls"))
 
