@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,10 @@ from veldra.operators.scratch import materialize
 MIN_TEXT, THRESHOLD, WINDOW_DAYS = 200, 0.92, 90
 #: Fingerprints of a key beyond which it is cut into parts.
 PART = 4096
+#: Fingerprints that a key may have on average where numpy compares them, which costs less than a longer list of keys.
+MET = 2048
+#: Pairs compared at once, and those of a key from which on it is worth calls of its own.
+_AT_ONCE, _ALONE = 1 << 17, 4096
 
 _STRIP = re.compile(r"<[^>]*>|&[a-z#0-9]+;|https?://\S+", re.I)
 _LETTERS = re.compile(r"[^\W_]+")
@@ -87,14 +92,62 @@ def bands(fingerprint: Column, radius: int, agreeing: int = 1) -> Column:
     return F.array(*(F.concat(F.lit("-".join(map(str, c)) + ":"), *map(piece, c)) for c in combinations(range(n), agreeing)))
 
 
-def agreeing(n: int, radius: int) -> int:
+def agreeing(n: int, radius: int, met: int = 128) -> int:
     """Pieces that must agree so that n fingerprints spread over enough keys: the more of them, the more pieces."""
     k = 1
-    while k < 4 and n >> (64 * k // (radius + k)) > 128:
+    while k < 4 and n >> (64 * k // (radius + k)) > met:
         k += 1
     return k
 
 
+def number(fingerprint: Column) -> Column:
+    """The 64 bits of a fingerprint as a long."""
+    return F.shiftleft(_half(fingerprint, 1), 32).bitwiseOR(_half(fingerprint, 9))
+
+
+def masks(radius: int, agreeing: int = 1) -> np.ndarray:
+    """The bits that each of ``bands`` is made of, in their order."""
+    n = radius + agreeing
+    cuts = [64 - round(64 * i / n) for i in range(n + 1)]
+    pieces = [(1 << a) - (1 << b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.array([sum(c) for c in combinations(pieces, agreeing)], dtype=np.uint64)
+
+
+def close(values: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of the pairs of ``values`` (uint64) within the radius, i of a range (start, size) of ``a`` and j of
+    the range of ``b`` beside it.  Memory: a few times ``_AT_ONCE`` pairs, or one value against a range."""
+    (s, m), (t, n) = a, b
+    alone = m * n >= _ALONE
+    for start, size, other, width in zip(*(x[alone].tolist() for x in (s, m, t, n)), strict=True):
+        step, there = max(1, _AT_ONCE // width), values[None, other : other + width]
+        for at in range(start, start + size, step):
+            i, j = np.nonzero(np.bitwise_count(values[at : min(at + step, start + size), None] ^ there) <= radius)
+            if len(i):
+                yield i + at, j + other
+    few = ~alone & (m * n > 0)
+    s, m, t, n = s[few], m[few], t[few], n[few]
+    # every value of the ranges of a, with the range that it meets
+    count = lambda sizes: np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, first, width = np.repeat(s, m) + count(m), np.repeat(t, m), np.repeat(n, m)
+    ends = np.cumsum(width)
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _AT_ONCE, side="right")))
+        i, j = np.repeat(row[at:to], width[at:to]), np.repeat(first[at:to], width[at:to]) + count(width[at:to])
+        ok = np.bitwise_count(values[i] ^ values[j]) <= radius
+        if ok.any():
+            yield i[ok], j[ok]
+        at = to
+
+
+def first_met(differ: np.ndarray, band: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether a pair with these differing bits, which agrees in ``band`` of the masks ``of``, agrees in no earlier one."""
+    first = np.ones(len(band), dtype=bool)
+    for k in range(int(band.max(initial=0))):
+        first &= (band <= k) | (differ & of[k] != 0)
+    return first
+
+
 def near_pairs(docs: DataFrame, radius: int = 5) -> DataFrame:
     """(a, b, bits) of rows (id, fingerprint) within the radius.
 

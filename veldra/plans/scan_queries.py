@@ -84,14 +84,20 @@ def cross_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(near_dup.cross_listings(rows, rows.withColumn("seen", F.col("ts").cast("date")), F.lit("2024-06-30").cast("date")))
 
 
+#: Rows of a slot of the streams, in each band that they are in.
+SLOT_ROWS = 100_000
+
+
 @query(f"WITH {_LISTED} {_PAIRS} AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 90 DAYS")
 def cross_listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8, J5 on streams: the same as a join of two streams, each offer against the 90 days before it."""
+    """T8, J5 on streams: the same as rows of two streams that meet, each offer against the 90 days before it."""
     folder, out, at = (f"{scratch_root(spark)}/veldra/{uuid.uuid4().hex}" for _ in range(3))
     rows = _listings(spark, sf_dir)
     rows.write.parquet(folder)
-    pieces = near_dup.agreeing(spark.read.parquet(folder).count(), 5)
+    n = spark.read.parquet(folder).count()
+    pieces = near_dup.agreeing(n, 5, near_dup.MET)
+    slots = max(64, 2 * n * len(near_dup.masks(5, pieces)) // SLOT_ROWS)
     source = lambda: spark.readStream.schema(rows.schema).parquet(folder)
-    run = cross_listed_streams(source(), source(), pieces=pieces).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+    run = cross_listed_streams(source(), source(), pieces=pieces, slots=slots).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
     run.awaitTermination()
     return _pairs(spark.read.schema("offer_url string, row_url string, score double, offer_ts timestamp").parquet(out))
