@@ -77,3 +77,24 @@ def test_streams_keep_tables_of_slots_not_rows_of_bands(spark, tmp_path):
     want = [(a[0], b[0], 1 - bits(a, b) / 64, a[3]) for a in rows for b in rows if b[3] <= a[3] <= b[3] + datetime.timedelta(days=4) and bits(a, b) <= 5 and a[1] != b[1] and a[0] != b[0]]
     got = spark.read.parquet(str(tmp_path / "out")).select("offer_url", "row_url", "score", F.col("offer_ts").cast("timestamp_ntz"))
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_near_pairs_are_compared_in_groups_and_met_once(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(4)]
+    near = lambda v: v ^ sum(1 << b for b in r.sample(range(64), r.randrange(6)))
+    rows = [(k, "" if k % 40 == 0 else f"{near(r.choice(base)):016x}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "id long, fingerprint string")
+    least = {}
+    for i, f in rows:
+        least.setdefault(f, i)
+    ids = [(i, int(f, 16)) for f, i in least.items() if f]
+    want = sorted((a, b, (x ^ y).bit_count()) for a, x in ids for b, y in ids if a < b and (x ^ y).bit_count() <= 5)
+    # whole keys, and keys cut into many parts, some of which are empty
+    for part in (4096, 40, 2):
+        found = near_dup.near_pairs(docs, part=part)
+        assert sorted(map(tuple, found.collect())) == want and want
+    # before: candidates met in a join, were told by strings and shuffled again to drop repetitions
+    assert "Aggregate" not in optimized(found) and "x.band" not in optimized(found) and "MapInPandas" in optimized(found)
+    text = spark.createDataFrame([("ä", "00ff00ff00ff00ff"), ("b", "00ff00ff00ff00fe")], "id string, fingerprint string")
+    assert [tuple(x) for x in near_dup.near_pairs(text).collect()] == [("b", "ä", 1)]

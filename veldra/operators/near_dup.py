@@ -21,6 +21,8 @@ MIN_TEXT, THRESHOLD, WINDOW_DAYS = 200, 0.92, 90
 PART = 4096
 #: Fingerprints that a key may have on average where numpy compares them, which costs less than a longer list of keys.
 MET = 2048
+#: Rows of a task and those it holds at least before it compares them, and pairs that leave it at once.
+_TASK_ROWS, _ROWS_HELD, _ROWS_OUT = 200_000, 50_000, 100_000
 #: Pairs compared at once, and those of a key from which on it is worth calls of its own.
 _AT_ONCE, _ALONE = 1 << 17, 4096
 
@@ -115,15 +117,17 @@ def masks(radius: int, agreeing: int = 1) -> np.ndarray:
 
 def close(values: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of the pairs of ``values`` (uint64) within the radius, i of a range (start, size) of ``a`` and j of
-    the range of ``b`` beside it.  Memory: a few times ``_AT_ONCE`` pairs, or one value against a range."""
+    the range of ``b`` beside it; of a range beside itself some pairs are left out that are there with i < j.  Memory: a
+    few times ``_AT_ONCE`` pairs, or one value against a range."""
     (s, m), (t, n) = a, b
     alone = m * n >= _ALONE
     for start, size, other, width in zip(*(x[alone].tolist() for x in (s, m, t, n)), strict=True):
-        step, there = max(1, _AT_ONCE // width), values[None, other : other + width]
+        step = max(1, _AT_ONCE // width)
         for at in range(start, start + size, step):
-            i, j = np.nonzero(np.bitwise_count(values[at : min(at + step, start + size), None] ^ there) <= radius)
+            least = at if start == other else other
+            i, j = np.nonzero(np.bitwise_count(values[at : min(at + step, start + size), None] ^ values[None, least : other + width]) <= radius)
             if len(i):
-                yield i + at, j + other
+                yield i + at, j + least
     few = ~alone & (m * n > 0)
     s, m, t, n = s[few], m[few], t[few], n[few]
     # every value of the ranges of a, with the range that it meets
@@ -148,25 +152,99 @@ def first_met(differ: np.ndarray, band: np.ndarray, of: np.ndarray) -> np.ndarra
     return first
 
 
-def near_pairs(docs: DataFrame, radius: int = 5) -> DataFrame:
+def _meet(radius: int, of: np.ndarray):
+    columns = ["a", "a_fp", "b", "b_fp", "bits"]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by band, key and part.  Memory: some batches, one part of a key and pairs about to leave."""
+        held: list[pd.DataFrame] = []
+
+        def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if not len(rows):
+                return
+            groups = rows[["band", "key", "part"]].to_numpy()
+            group = np.cumsum(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)]) - 1
+            kind = rows["kind"].to_numpy()
+            order = np.lexsort((kind, group))
+            fp, band, item = rows["fp"].to_numpy()[order].view(np.uint64), rows["band"].to_numpy()[order], rows["item"].to_numpy()[order]
+            sizes = np.bincount(group * 3 + kind, minlength=3 * (group[-1] + 1)).reshape(-1, 3)
+            starts = (np.cumsum(sizes) - sizes.ravel()).reshape(-1, 3)
+            same = starts[:, 0], np.where(sizes[:, 0] > 1, sizes[:, 0], 0)
+            out, n = [], 0
+
+            def found() -> pd.DataFrame:
+                i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+                return pd.DataFrame({"a": item[i], "a_fp": fp[i].view(np.int64), "b": item[j], "b_fp": fp[j].view(np.int64), "bits": np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32)}, columns=columns)
+
+            for a, b in ((same, same), ((starts[:, 1], sizes[:, 1]), (starts[:, 2], sizes[:, 2]))):
+                for i, j in close(fp, a, b, radius):
+                    ok = (item[i] != item[j]) & ((i < j) | (kind[order[i]] > 0))
+                    i, j = i[ok], j[ok]
+                    ok = first_met(fp[i] ^ fp[j], band[i], of)
+                    out.append((i[ok], j[ok]))
+                    n += int(ok.sum())
+                    if n >= _ROWS_OUT:
+                        yield found()
+                        out, n = [], 0
+            if n:
+                yield found()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < _ROWS_HELD:
+                continue
+            rows, last = pd.concat(held, ignore_index=True), batch.iloc[-1]
+            open_ = ((rows["band"] == last["band"]) & (rows["key"] == last["key"]) & (rows["part"] == last["part"])).to_numpy()
+            yield from pairs(rows[~open_])
+            held = [rows[open_]]
+        if held:
+            yield from pairs(pd.concat(held, ignore_index=True))
+
+    return meet
+
+
+def keyed(rows: DataFrame, of: np.ndarray) -> DataFrame:
+    """``rows`` in each band: (band, key) beside their columns, of which ``fp`` is a fingerprint as a long."""
+    return rows.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(int(m))) for m in of.view(np.int64)))).alias("band", "key"))
+
+
+def met(wide: DataFrame, radius: int, of: np.ndarray, rows: int) -> DataFrame:
+    """(a, a_fp, b, b_fp, bits): the pairs within the radius of some ``rows`` rows (band, key, part, kind, item, fp) that
+    agree in band, key and part, each pair in its first band only, items different.  Rows of kind 0 pair up with each other,
+    those of kind 1 with those of kind 2."""
+    item = dict(wide.dtypes)["item"]
+    tasks = max(wide.sparkSession.sparkContext.defaultParallelism, rows // _TASK_ROWS)
+    dealt = wide.select("band", "key", F.col("part").cast("long").alias("part"), F.col("kind").cast("int").alias("kind"), "item", "fp")
+    dealt = dealt.repartition(tasks, "band", "key", "part").sortWithinPartitions("band", "key", "part")
+    return dealt.mapInPandas(_meet(radius, of), f"a {item}, a_fp long, b {item}, b_fp long, bits int")
+
+
+def near_pairs(docs: DataFrame, radius: int = 5, part: int = PART) -> DataFrame:
     """(a, b, bits) of rows (id, fingerprint) within the radius.
 
     Distinct fingerprints are compared, each standing for its rows by its smallest id, so that copies don't pair up;
     ``members`` tells who they stand for.  Keys get longer as fingerprints get more, and the fingerprints of a key that
-    many share are cut into parts, each pair of which is a task of its own, so that no task holds a large group.
+    many share are cut into parts, each pair of which is a group of its own, so that no task holds a large one.
     """
-    # written once: fingerprints cost most, and both sides of the join read them
-    one = materialize(docs.groupBy("fingerprint").agg(F.min("id").alias("id"))).where("fingerprint <> ''")
-    wide = one.withColumn("band", F.explode(bands(F.col("fingerprint"), radius, agreeing(one.count(), radius))))
-    large = wide.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("band", F.ceil(F.col("n") / (PART // 2)).cast("int").alias("s"))
-    wide = wide.join(large, "band", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("s")).cast("int")
-    both = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.least(i, mine) * F.col("s") + F.greatest(i, mine))
-    wide = materialize(wide.select("id", "fingerprint", "band", F.explode(both).alias("part")))
-    x, y = wide.alias("x"), wide.alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
-    close = x.join(y, met & (distance(F.col("x.fingerprint"), F.col("y.fingerprint")) <= radius))
-    return close.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.first(distance(F.col("x.fingerprint"), F.col("y.fingerprint"))).alias("bits"))
+    # written once: fingerprints cost most, and what follows reads them several times
+    some = docs.where("id is not null and fingerprint rlike '^[0-9a-fA-F]{16}$'")
+    one = materialize(some.groupBy("fingerprint").agg(F.min("id").alias("item")).select("item", number(F.col("fingerprint")).alias("fp")))
+    n = one.count()
+    of = masks(radius, agreeing(n, radius, MET))
+    wide = keyed(one, of)
+    large = materialize(wide.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("band", "key", F.ceil(F.col("n") / max(1, part // 2)).cast("int").alias("s")))
+    if large.isEmpty():
+        wide = wide.withColumn("part", F.lit(0)).withColumn("kind", F.lit(0))
+    else:
+        # a row goes to the groups of its part with every part; there it meets the other part, or its own in the group of it alone
+        wide = wide.join(large, ["band", "key"], "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+        wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        wide = wide.withColumn("part", F.least("mine", "other") * F.col("s").cast("long") + F.greatest("mine", "other"))
+        wide = wide.withColumn("kind", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
+    found = met(wide, radius, of, n * len(of))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
 
 
 def members(docs: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def cross_listed_streams(offers: DataFrame, history: DataFrame, days: int = 90,
     tell repetitions.
     """
     from veldra.functions.text import latin_key
-    from veldra.operators.near_dup import THRESHOLD, masks, number
+    from veldra.operators.near_dup import THRESHOLD, keyed, masks, number
 
     radius = int((1 - THRESHOLD) * 64)
     of = masks(radius, pieces)
@@ -149,7 +149,6 @@ def cross_listed_streams(offers: DataFrame, history: DataFrame, days: int = 90,
         return df.select("ts", F.unix_micros("ts").alias("at"), F.unix_micros(until).alias("until"), F.lit(offer).alias("offer"), "url", latin_key(F.col("company")).alias("company"), number(F.col("fingerprint")).alias("fp"))
 
     both = side(offers, True).unionByName(side(history, False)).where("at is not null and url is not null and company is not null")
-    keyed = both.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(int(m))) for m in of.view(np.int64)))).alias("band", "key"))
-    dealt = keyed.withColumn("slot", F.pmod(F.xxhash64("band", "key"), F.lit(slots))).drop("key")
+    dealt = keyed(both, of).withColumn("slot", F.pmod(F.xxhash64("band", "key"), F.lit(slots))).drop("key")
     found = dealt.groupBy("slot").applyInPandasWithState(_listed(radius, of), "offer_url string, row_url string, bits int, at long", "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("offer_url", "row_url", (1 - F.col("bits") / 64.0).alias("score"), F.timestamp_micros("at").alias("offer_ts"))
