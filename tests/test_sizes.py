@@ -98,3 +98,11 @@ def test_near_pairs_are_compared_in_groups_and_met_once(spark):
     assert "Aggregate" not in optimized(found) and "x.band" not in optimized(found) and "MapInPandas" in optimized(found)
     text = spark.createDataFrame([("ä", "00ff00ff00ff00ff"), ("b", "00ff00ff00ff00fe")], "id string, fingerprint string")
     assert [tuple(x) for x in near_dup.near_pairs(text).collect()] == [("b", "ä", 1)]
+
+
+def test_cross_listings_are_compared_as_numbers(spark):
+    rows = spark.createDataFrame([("u", "a", "00ff00ff00ff00ff"), ("v", "b", "00ff00ff00ff00fe")], "url string, company string, fingerprint string").withColumn("seen", F.lit(datetime.date(2026, 1, 1)))
+    found = near_dup.cross_listings(rows, rows, F.lit("2026-01-02").cast("date"))
+    # before: each candidate of the join was told by expressions on strings
+    assert "Join" in optimized(found) and "RLIKE" not in optimized(found) and "conv(" not in optimized(found)
+    assert sorted(map(tuple, found.collect())) == [("u", "v", 1 - 1 / 64), ("v", "u", 1 - 1 / 64)]

@@ -19,8 +19,9 @@ from veldra.operators.scratch import materialize
 MIN_TEXT, THRESHOLD, WINDOW_DAYS = 200, 0.92, 90
 #: Fingerprints of a key beyond which it is cut into parts.
 PART = 4096
-#: Fingerprints that a key may have on average where numpy compares them, which costs less than a longer list of keys.
-MET = 2048
+#: Fingerprints that a key may have on average where numpy compares them, which costs less than a longer list of keys, and
+#: where a join does.
+MET, _JOINED = 2048, 512
 #: Rows of a task and those it holds at least before it compares them, and pairs that leave it at once.
 _TASK_ROWS, _ROWS_HELD, _ROWS_OUT = 200_000, 50_000, 100_000
 #: Pairs compared at once, and those of a key from which on it is worth calls of its own.
@@ -94,7 +95,7 @@ def bands(fingerprint: Column, radius: int, agreeing: int = 1) -> Column:
     return F.array(*(F.concat(F.lit("-".join(map(str, c)) + ":"), *map(piece, c)) for c in combinations(range(n), agreeing)))
 
 
-def agreeing(n: int, radius: int, met: int = 128) -> int:
+def agreeing(n: int, radius: int, met: int = MET) -> int:
     """Pieces that must agree so that n fingerprints spread over enough keys: the more of them, the more pieces."""
     k = 1
     while k < 4 and n >> (64 * k // (radius + k)) > met:
@@ -232,7 +233,7 @@ def near_pairs(docs: DataFrame, radius: int = 5, part: int = PART) -> DataFrame:
     some = docs.where("id is not null and fingerprint rlike '^[0-9a-fA-F]{16}$'")
     one = materialize(some.groupBy("fingerprint").agg(F.min("id").alias("item")).select("item", number(F.col("fingerprint")).alias("fp")))
     n = one.count()
-    of = masks(radius, agreeing(n, radius, MET))
+    of = masks(radius, agreeing(n, radius))
     wide = keyed(one, of)
     large = materialize(wide.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("band", "key", F.ceil(F.col("n") / max(1, part // 2)).cast("int").alias("s")))
     if large.isEmpty():
@@ -267,22 +268,26 @@ def cross_listings(offers: DataFrame, history: DataFrame, today: Column, days: i
     """
     radius = int((1 - threshold) * 64)
     recent = history.where(F.col("seen") >= F.date_sub(today, days))
-    rows = lambda df: df.where("fingerprint <> ''").select("url", latin_key(F.col("company")).alias("company"), "fingerprint")
+    rows = lambda df: df.where("fingerprint rlike '^[0-9a-f]{16}$'").select("url", latin_key(F.col("company")).alias("company"), number(F.col("fingerprint")).alias("fp"))
     sides = {"a": materialize(rows(offers)), "b": materialize(rows(recent))}
-    one = {n: df.select("company", "fingerprint").distinct() for n, df in sides.items()}
-    pieces = agreeing(max(df.count() for df in one.values()), radius)
-    wide = {n: df.withColumn("band", F.explode(bands(F.col("fingerprint"), radius, pieces))) for n, df in one.items()}
-    count = {n: df.groupBy("band").agg(F.count("*").alias(n)) for n, df in wide.items()}
+    one = {n: df.select("company", "fp").distinct() for n, df in sides.items()}
+    of = masks(radius, agreeing(max(df.count() for df in one.values()), radius, _JOINED))
+    wide = {n: keyed(df, of) for n, df in one.items()}
+    count = {n: df.groupBy("band", "key").agg(F.count("*").alias(n)) for n, df in wide.items()}
     # what is exploded has many times the size that Spark supposes, so it is kept from broadcasting it through the driver
-    cuts = count["a"].hint("merge").join(count["b"].hint("merge"), "band").where(F.greatest("a", "b") > part)
-    cuts = materialize(cuts.select("band", F.ceil(F.col("a") / part).cast("int").alias("x"), F.ceil(F.col("b") / part).cast("int").alias("y")))
+    cuts = count["a"].hint("merge").join(count["b"].hint("merge"), ["band", "key"]).where(F.greatest("a", "b") > part)
+    cuts = materialize(cuts.select("band", "key", F.ceil(F.col("a") / part).cast("int").alias("x"), F.ceil(F.col("b") / part).cast("int").alias("y")))
     met = {}
     for n, own, other in (("a", "x", "y"), ("b", "y", "x")):
-        df = wide[n].join(cuts, "band", "left").withColumn(own, F.pmod(F.xxhash64("company", "fingerprint"), F.coalesce(own, F.lit(1))).cast("int"))
+        df = wide[n].join(cuts, ["band", "key"], "left").withColumn(own, F.pmod(F.xxhash64("company", "fp"), F.coalesce(own, F.lit(1))).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
-        met[n] = df.select("band", "x", "y", F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
-    pairs = met["a"].hint("merge").join(met["b"].hint("merge"), ["band", "x", "y"]).where("a_company <> b_company").withColumn("score", similarity(F.col("a_fp"), F.col("b_fp")))
-    pairs = pairs.where(F.col("score") >= threshold).select("a_company", "a_fp", "b_company", "b_fp", "score").distinct()
-    back = lambda n, url: sides[n].select(F.col("url").alias(url), F.col("company").alias(f"{n}_company"), F.col("fingerprint").alias(f"{n}_fp"))
+        met[n] = df.select("band", "key", "x", "y", F.col("company").alias(f"{n}_company"), F.col("fp").alias(f"{n}_fp"))
+    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+    # a pair that agrees in several bands is taken in the first of them
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(int(m))) == 0, k) for k, m in enumerate(of.view(np.int64))))
+    close = (F.bit_count(differ) <= radius) & (F.col("a_company") != F.col("b_company")) & (first == F.col("band"))
+    pairs = met["a"].hint("merge").join(met["b"].hint("merge"), ["band", "key", "x", "y"]).where(close).withColumn("score", 1 - F.bit_count(differ) / 64.0)
+    pairs = pairs.where(F.col("score") >= threshold).select("a_company", "a_fp", "b_company", "b_fp", "score")
+    back = lambda n, url: sides[n].select(F.col("url").alias(url), F.col("company").alias(f"{n}_company"), F.col("fp").alias(f"{n}_fp"))
     out = pairs.join(back("a", "offer_url"), ["a_company", "a_fp"]).join(back("b", "row_url"), ["b_company", "b_fp"]).where("offer_url <> row_url")
     return out.select("offer_url", "row_url", "score").distinct()

@@ -95,7 +95,7 @@ def cross_listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _listings(spark, sf_dir)
     rows.write.parquet(folder)
     n = spark.read.parquet(folder).count()
-    pieces = near_dup.agreeing(n, 5, near_dup.MET)
+    pieces = near_dup.agreeing(n, 5)
     slots = max(64, 2 * n * len(near_dup.masks(5, pieces)) // SLOT_ROWS)
     source = lambda: spark.readStream.schema(rows.schema).parquet(folder)
     run = cross_listed_streams(source(), source(), pieces=pieces, slots=slots).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
