@@ -106,3 +106,37 @@ def test_cross_listings_are_compared_as_numbers(spark):
     # before: each candidate of the join was told by expressions on strings
     assert "Join" in optimized(found) and "RLIKE" not in optimized(found) and "conv(" not in optimized(found)
     assert sorted(map(tuple, found.collect())) == [("u", "v", 1 - 1 / 64), ("v", "u", 1 - 1 / 64)]
+
+
+def test_totals_of_similar_sets_against_the_nested_loop(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    some = lambda n, most: [(k, r.choice("xxxy"), r.choices(words, weights=[1 / (w + 1) for w in range(30)], k=r.randrange(most))) for k in range(n)]
+    left = some(120, 8) + [(200, "x", words[:20] + [f"l{k}" for k in range(300)]), (201, "x", None), (202, None, ["w0"])]
+    right = some(200, 12) + [(400, "x", words + [f"l{k}" for k in range(300)]), (401, "x", [None]), (402, None, ["w0"]), (403, "z", ["w0"])]
+    side = lambda rows: spark.createDataFrame(rows, "id long, block string, items array<string>").repartition(3)
+    a, b = side(left), side(right)
+    want = {}
+    for _, x, s in left:
+        met = [(i, len(set(s) & set(t))) for i, y, t in right if s and t and x == y and x and len(set(s) & set(t)) / min(len(set(s)), len(set(t))) >= 0.6]
+        if met:
+            want[x, tuple(sorted(set(s)))] = (len(met), min(i for i, _ in met), max(n for _, n in met))
+    for part in (30, similarity.PART):
+        totals = similarity.similar_totals(a.drop("id"), b, 0.6, part)
+        keys = {row.a: (row.block, tuple(sorted(set(row["items"])))) for row in a.withColumn("a", similarity.set_key(F.col("block"), F.col("items"))).where("block is not null and size(items) > 0").collect()}
+        assert {keys[row.a]: (row.n, row.first, row.most) for row in totals.collect()} == want
+
+
+def test_titles_meet_sentences_without_rows_of_pairs(spark, tmp_path):
+    # all titles and sentences are alike and long: neither their pairs nor their items are rows, with all items in each
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    pages(spark, tmp_path, [(k, "u", f'<html lang="en"><title>{" ".join(words[: 90 + k])}</title>') for k in range(9)])
+    docs = [(k, " ".join(words[k:]) + ". End", "en") for k in range(20)] + [(30, None, "en"), (31, "aa. b", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["similar_titles"](spark, str(tmp_path))
+    assert not any(x in optimized(found) for x in ("posexplode", "array_intersect", "Deduplicate"))
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(plans.ORACLE["similar_titles"]).fetchall()
+    assert len(want) == 9 and want[0][1] == 20 and sorted(map(tuple, found.collect())) == sorted(want)

@@ -49,7 +49,7 @@ def promote_leads(leads: DataFrame, jobs: DataFrame, least: float = 0.6) -> tupl
     """(leads with their official job, leads without): the first job of the company with the same title or enough
     shared words.  ``leads``: (lead, company, title); ``jobs``: (pos, company, title, url).
 
-    Different titles of a company are compared once, by a set-similarity join; see ``similarity.candidate_sets``.
+    Different titles of a company are compared once, by a set-similarity join; see ``similarity.similar_sets``.
     """
     named = lambda df: df.withColumn("_c", planner_company(F.col("company"))).withColumn("_t", planner_text(F.col("title"))).withColumn("_set", set_key(F.col("_c"), tokens(F.col("title"))))
     a, b = named(leads), named(jobs)
